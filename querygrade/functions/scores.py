@@ -35,14 +35,16 @@ def column_recall(text: Column, truth: Column) -> Column:
 def repetition_penalty(tokens: Column, n: int = 5, threshold: float = 0.5) -> Column:
     """-1 when fewer than ``threshold`` of the n-grams are distinct, else 0.
 
-    N-grams are compared by a 64-bit hash: ``array_distinct`` on bigint uses a primitive hash
-    set, on nested arrays it compares all pairs.
+    N-grams are ``n`` shifted slices zipped together, so each token array is walked a fixed
+    number of times. They are compared by a 64-bit hash: ``array_distinct`` on bigint uses a
+    primitive hash set, on nested arrays it compares all pairs.
     """
     kept = F.filter(tokens, lambda t: t.isNull() | (t.cast("string") != str(TOKEN_PADDING)))
-    count = F.size(kept) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(kept, i, n)))
-    ratio = F.size(F.array_distinct(grams)) / count
-    return F.when(count >= 1, F.when(ratio < threshold, -1.0).otherwise(0.0)).otherwise(0.0)
+    count = F.greatest(F.size(kept) - (n - 1), F.lit(0))
+    shifted = [F.slice(kept, i + 1, count) for i in range(n)]
+    grams = F.transform(F.arrays_zip(*shifted), lambda gram: F.xxhash64(gram))
+    ratio = F.try_divide(F.size(F.array_distinct(grams)).cast("double"), count)
+    return F.when(ratio < threshold, -1.0).otherwise(0.0)
 
 
 def stepwise_reward(text: Column, both_ran: Column, match: Column) -> Column:

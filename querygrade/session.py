@@ -34,6 +34,7 @@ def local_session(cores: str = "8", name: str = "querygrade") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )

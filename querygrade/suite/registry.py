@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from querygrade.suite import compare_suite
+from querygrade.suite import answer_suite, compare_suite
 
-REGISTERED = {**compare_suite.QUERIES}
+REGISTERED = {**compare_suite.QUERIES, **answer_suite.QUERIES}
