@@ -16,15 +16,19 @@ BUCKETS = 16**BUCKET_DIGITS
 SHORTEST_TEXT = 5
 
 
-def word_buckets(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return F.transform(words, lambda word: F.substring(F.md5(word), 1, BUCKET_DIGITS))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def _bucket(word: str) -> Column:
+    return F.substring(F.md5(word), 1, BUCKET_DIGITS).alias("bucket")
 
 
 def language_profile(labelled: DataFrame, text: str, lang: str, languages: list[str]) -> DataFrame:
     """``(bucket, <language>...)`` word counts: at most ``BUCKETS`` rows of one number per language."""
-    words = labelled.select(F.col(lang).alias("lang"), F.explode(word_buckets(F.col(text))).alias("bucket"))
-    return words.groupBy("bucket").agg(*[F.count_if(F.col("lang") == name).alias(name) for name in languages])
+    words = labelled.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word"))
+    counts = [F.count_if(F.col("lang") == name).alias(name) for name in languages]
+    return words.select("lang", _bucket("word")).groupBy("bucket").agg(*counts)
 
 
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, languages: list[str]) -> DataFrame:
@@ -33,7 +37,7 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, l
     Only the key and one partial sum per language leave the map side.
     """
     weights = profile.select("bucket", *[F.log(F.col(name) + 1.0).alias(name) for name in languages])
-    words = texts.select(key, F.explode_outer(word_buckets(F.col(text))).alias("bucket"))
+    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).select(key, _bucket("word"))
     sums = (
         words.join(F.broadcast(weights), "bucket", "left")
         .groupBy(key)
@@ -42,10 +46,12 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, l
             *[F.sum(F.coalesce(F.col(name), F.lit(0.0))).alias(name) for name in languages],
         )
     )
-    mass = {name: F.log(profile.select(F.sum(name).cast("double")).scalar() + BUCKETS) for name in languages}
-    return sums.select(
-        key, "n_words", *[(F.col(name) - F.col("n_words") * mass[name]).alias(name) for name in languages]
-    )
+    # One subquery with all totals, so it shares the profile's own shuffle.
+    totals = profile.select(F.struct(*[F.sum(name).cast("double").alias(name) for name in languages])).scalar()
+    scored = [
+        (F.col(name) - F.col("n_words") * F.log(totals.getField(name) + BUCKETS)).alias(name) for name in languages
+    ]
+    return sums.select(key, "n_words", *scored)
 
 
 def probability_of(wanted: str, languages: list[str]) -> Column:

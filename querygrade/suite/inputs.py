@@ -47,8 +47,12 @@ ANSWERS_SQL = (
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, prompt_id, lang, source, body, sql, text)``."""
-    spark_text = lambda s: s.replace("\n", "\\n").replace('\\"', '"')
-    documents = table(spark, sf_dir, "documents").withColumn("sql", F.expr(_SQL_OF_DOC.format(string="STRING")))
+    return answers_of(table(spark, sf_dir, "documents"))
+
+
+def answers_of(documents: DataFrame) -> DataFrame:
+    """The same from any frame of documents, also a stream."""
+    documents = documents.withColumn("sql", F.expr(_SQL_OF_DOC.format(string="STRING")))
     return documents.select(
         "doc_id",
         F.floor(F.col("doc_id") / GENERATIONS).alias("prompt_id"),
@@ -56,7 +60,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         F.col("text").alias("body"),
         "sql",
-        F.expr(spark_text(_SHAPE_CASE)).alias("text"),
+        F.expr(_SHAPE_CASE.replace("\n", "\\n")).alias("text"),
     )
 
 

@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
-from querygrade.suite import answer_suite, compare_suite
+from querygrade.suite import (
+    answer_suite,
+    compare_suite,
+    curate_suite,
+    lineage_suite,
+    stream_suite,
+    workload_suite,
+)
 
-REGISTERED = {**compare_suite.QUERIES, **answer_suite.QUERIES}
+REGISTERED = {
+    **compare_suite.QUERIES,
+    **answer_suite.QUERIES,
+    **curate_suite.QUERIES,
+    **lineage_suite.QUERIES,
+    **workload_suite.QUERIES,
+    **stream_suite.QUERIES,
+}
