@@ -14,69 +14,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One pass over literals and comments, whichever starts first.
+# Literals and comments, whichever starts first.
 _NOT_CODE = r"'[^']*'|--[^\n]*|/\*(?s:.*?)\*/"
-_OPENS_SOURCES = r"\b(from|join)\b"
-_ENDS_SOURCES = (
-    r"\b(where|on|using|left|right|inner|outer|cross|full|natural|group|order|having|limit|"
-    r"union|intersect|except|window|select|set|values|offset|fetch)\b|[();]"
+# A source list runs from FROM or JOIN to a bracket or a word that can follow a source.
+_SOURCE_LIST = (
+    r"(?<!\w)(?:from|join) ([^();]*?)(?=[();]|$| (?:from|join|where|on|using|left|right|inner|cross|full|"
+    r"natural|group|order|having|limit|union|intersect|except|window|offset|fetch)\b)"
 )
-_OPEN, _END = "\u0001", "\u0002"
+_CTE_NAME = r"(?<!\w)(\w++) ?(?:\([^()]*+\) ?)?(?<=[ )])as (?:materialized )?\("
+# A word or a dotted pair that is no function call, no alias behind AS, and no star prefix.
+_NAME = r"(?<![\w.])(?<!\bas )([a-z_]\w*+(?:\.[a-z_]\w*+)?+)(?![\w.]| ?\()"
 
+_DOTTED_STAR = r"([a-z_]\w*+)\.\*"
+_BARE_STAR = r"(?:(?<!\w)(?:select|distinct|all)|[,(]) ?\*"
+_STAR_MARK = "\u0003"
 
-def _code(sql: Column) -> Column:
-    return F.translate(F.regexp_replace(F.lower(sql), _NOT_CODE, " "), '"`', "")
-
-
-def _source_items(code: Column) -> Column:
-    """Each ``name [as] [alias]`` behind FROM or JOIN or a comma of their lists, in text order."""
-    marked = F.regexp_replace(F.regexp_replace(code, _OPENS_SOURCES, _OPEN), _ENDS_SOURCES, _END)
-    lists = F.regexp_extract_all(marked, F.lit(f"{_OPEN}([^{_OPEN}{_END}]*)"), F.lit(1))
-    return F.split(F.array_join(lists, ","), ",")
-
-
-def _cte_names(code: Column) -> Column:
-    return F.regexp_extract_all(code, F.lit(r"(\w+)\s*(?:\([^()]*\)\s*)?\bas\s+(?:materialized\s+)?\("), F.lit(1))
 
-
-def _dotted_names(code: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"[a-z_]\w*\.[a-z_]\w*"), F.lit(0)))
-
-
-def _bare_words(code: Column) -> Column:
-    """Words that are no part of a dotted name, no function, and no alias behind AS."""
-    rest = F.regexp_replace(code, r"\w+\.(\w+|\*)|\bas\s+\w+|\w+\s*\(", " ")
-    return F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[a-z_]\w*"), F.lit(0)))
+def _code(sql: Column) -> Column:
+    """Lower case, without literals, comments and quotes, with single spaces."""
+    bare = F.translate(F.regexp_replace(F.lower(sql), _NOT_CODE, " "), '"`', "")
+    return F.regexp_replace(bare, r"\s+", " ")
 
 
-def source_mentions(log: DataFrame) -> DataFrame:
-    """``(query_id, place, table_name, alias, ...)``: every named source that is not a CTE.
+def source_mentions(log: DataFrame, with_stars: bool = False) -> DataFrame:
+    """``(query_id, place, table_name, alias, names)``: every named source that is not a CTE.
 
-    Carries the dotted names and bare words of the query, so later steps need no second look
-    at the text and no join back to the log.
+    ``names`` are the words and dotted pairs of the query. They travel with each source, so
+    later steps need no second look at the text and no join back to the log. With stars, the
+    qualifiers of ``q.*`` travel too ('' for a bare ``*``), and each also stands as a row of
+    its own, marked in ``table_name``, because its source may not be in the catalog.
     """
+    all_of = lambda pattern: F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
+    no_names = F.array().cast("array<string>")
     code = log.select("query_id", _code(F.col("sql")).alias("code"))
-    items = code.select(
+    bare_star = F.when(F.col("code").rlike(_BARE_STAR), F.array(F.lit(""))).otherwise(no_names)
+    lists = code.select(
         "query_id",
-        _cte_names(F.col("code")).alias("ctes"),
-        _dotted_names(F.col("code")).alias("dotted"),
-        _bare_words(F.col("code")).alias("words"),
-        F.posexplode(_source_items(F.col("code"))).alias("place", "item"),
+        F.split(F.array_join(all_of(_SOURCE_LIST), ","), " ?, ?").alias("items"),
+        # Never null, or Spark would add a null filter that computes the names twice.
+        F.coalesce(all_of(_CTE_NAME), no_names).alias("ctes"),
+        F.array_distinct(all_of(_NAME)).alias("names"),
+        (F.array_distinct(F.concat(all_of(_DOTTED_STAR), bare_star)) if with_stars else no_names).alias("stars"),
     )
-    parts = F.split(F.trim(F.regexp_replace("item", r"\s+", " ")), " ")
-    named = items.select(
-        "query_id",
-        "place",
-        "ctes",
-        "dotted",
-        "words",
-        F.substring_index(parts[0], ".", -1).alias("table_name"),
-        F.element_at(parts, -1).alias("last_word"),
-    )
-    alias = F.substring_index("last_word", ".", -1).alias("alias")
-    return named.where((F.col("table_name") != "") & ~F.array_contains("ctes", F.col("table_name"))).select(
-        "query_id", "place", "table_name", alias, "dotted", "words"
+    marked = F.transform("stars", lambda q: F.concat(F.lit(_STAR_MARK), q))
+    items = F.concat("items", marked) if with_stars else F.col("items")
+    # The outer form keeps Spark from adding a filter that computes the item list twice.
+    exploded = lists.select("query_id", "ctes", "names", "stars", F.posexplode_outer(items).alias("place", "item"))
+    table_name = F.substring_index(F.substring_index(F.ltrim("item"), " ", 1), ".", -1)
+    alias = F.substring_index(F.substring_index(F.rtrim("item"), " ", -1), ".", -1)
+    named = exploded.select(
+        "query_id", "place", table_name.alias("table_name"), alias.alias("alias"), "ctes", "names", "stars"
     )
+    return named.where((F.col("table_name") != "") & ~F.array_contains("ctes", F.col("table_name"))).drop("ctes")
 
 
 def mentioned_tables(log: DataFrame) -> DataFrame:
@@ -84,16 +73,20 @@ def mentioned_tables(log: DataFrame) -> DataFrame:
     return source_mentions(log).select("query_id", "table_name").distinct()
 
 
-def _known_sources(log: DataFrame, tables: DataFrame) -> DataFrame:
-    """Mentions of catalog tables, with the catalog's spelling and columns.
+def _known_sources(log: DataFrame, tables: DataFrame, with_stars: bool = False) -> DataFrame:
+    """Mentions of catalog tables, with the catalog's spelling and columns; star rows stay too.
 
     One catalog row per table, so a table that most queries name only meets one row.
     """
     known = tables.select(
         F.lower("table_name").alias("lower_name"), F.col("table_name").alias("known_name"), F.col("columns")
     )
-    mentions = source_mentions(log).withColumnRenamed("table_name", "lower_name")
-    return mentions.join(known, "lower_name")
+    mentions = source_mentions(log, with_stars).withColumnRenamed("table_name", "lower_name")
+    if not with_stars:
+        return mentions.join(known, "lower_name")
+    return mentions.join(known, "lower_name", "left").where(
+        F.col("known_name").isNotNull() | F.col("lower_name").startswith(_STAR_MARK)
+    )
 
 
 def used_tables(log: DataFrame, tables: DataFrame) -> DataFrame:
@@ -101,60 +94,57 @@ def used_tables(log: DataFrame, tables: DataFrame) -> DataFrame:
     return _known_sources(log, tables).select("query_id", F.col("known_name").alias("table_name")).distinct()
 
 
-def used_columns(log: DataFrame, tables: DataFrame) -> DataFrame:
-    """``(query_id, table_name, column_name)`` for columns of the catalog.
+def _first_owners(log: DataFrame, tables: DataFrame, with_stars: bool) -> DataFrame:
+    """``(query_id, table_name, column_name)``, one row per name of a query, left partitioned by query.
 
-    ``a.b`` goes to the source with that name or alias, if it has the column. A bare word goes
-    to the first source of the query that has a column of that name.
+    A dotted name belongs to the source with that name or alias, a bare word to the first
+    source with such a column, a star to its source, or to its qualifier if that is unknown.
     """
-    is_dotted = lambda c: F.array_contains("dotted", F.concat_ws(".", "alias", F.lower(c))) | F.array_contains(
-        "dotted", F.concat_ws(".", "lower_name", F.lower(c))
-    )
+    said = lambda name: F.array_contains("names", name)
+    dotted = lambda c: said(F.concat_ws(".", "alias", F.lower(c))) | said(F.concat_ws(".", "lower_name", F.lower(c)))
+    hit = lambda group, name: F.struct(group.alias("group"), name.alias("name"))
+    per_owner = lambda c: hit(F.col("known_name"), c)
     hits = F.concat(
-        F.transform(F.filter("columns", is_dotted), lambda c: F.struct(F.lit(True).alias("dotted"), c.alias("name"))),
-        F.transform(
-            F.filter("columns", lambda c: F.array_contains("words", F.lower(c))),
-            lambda c: F.struct(F.lit(False).alias("dotted"), c.alias("name")),
-        ),
+        F.transform(F.filter("columns", dotted), per_owner),
+        F.transform(F.filter("columns", lambda c: said(F.lower(c))), lambda c: hit(F.lit(""), c)),
+    )
+    owner, place = F.col("known_name"), F.col("place")
+    if with_stars:
+        mine = lambda q: (q == F.col("alias")) | (q == F.col("lower_name"))
+        stars = F.transform(F.filter("stars", mine), lambda q: hit(q, F.lit("*")))
+        qualifier = F.substring("lower_name", 2, 1 << 30)
+        is_mark = F.col("lower_name").startswith(_STAR_MARK)
+        hits = F.when(is_mark, F.array(hit(qualifier, F.lit("*")))).otherwise(F.concat(hits, stars))
+        owner = F.when(is_mark, F.nullif(qualifier, F.lit(""))).otherwise(owner)
+    found = _known_sources(log, tables, with_stars).select(
+        "query_id", place, owner.alias("owner"), F.explode_outer(hits).alias("hit")
     )
-    found = _known_sources(log, tables).select("query_id", "place", "known_name", F.explode(hits).alias("hit"))
-    # One shuffle by query serves both steps below; ids are unique, so no query is a hot key.
-    by_query = found.repartition("query_id")
-    owner = F.when(F.col("hit.dotted"), F.col("known_name")).alias("owner")
-    first = F.min(F.struct("place", F.col("known_name").alias("table_name"), F.col("hit.name").alias("column_name")))
+    # One shuffle by query serves all later steps; ids are unique, so no query is a hot key.
+    by_query = found.where(F.col("hit").isNotNull()).repartition("query_id")
+    first = F.min(F.struct("place", F.col("owner").alias("table_name"), F.col("hit.name").alias("column_name")))
     return (
-        by_query.groupBy("query_id", owner, F.lower("hit.name").alias("lower_column"))
+        by_query.groupBy("query_id", F.col("hit.group").alias("group"), F.lower("hit.name").alias("lower_column"))
         .agg(first.alias("first"))
         .select("query_id", "first.table_name", "first.column_name")
-        .distinct()
     )
 
 
-def stars(log: DataFrame) -> DataFrame:
-    """``(query_id, qualifier)`` for each ``q.*``; a null qualifier stands for a bare ``*``."""
-    code = log.select("query_id", _code(F.col("sql")).alias("code"))
-    dotted = F.regexp_extract_all("code", F.lit(r"([a-z_]\w*)\.\*"), F.lit(1))
-    bare = F.col("code").rlike(r"(\bselect|\bdistinct|\ball|,|\()\s*\*")
-    no_name = F.when(bare, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
-    return code.select("query_id", F.explode(F.array_distinct(F.concat(dotted, no_name))).alias("qualifier"))
+def used_columns(log: DataFrame, tables: DataFrame) -> DataFrame:
+    """``(query_id, table_name, column_name)`` for columns of the catalog."""
+    return _first_owners(log, tables, with_stars=False).distinct()
 
 
 def used_columns_with_stars(log: DataFrame, tables: DataFrame) -> DataFrame:
     """As ``used_columns``, plus ``*`` rows; a starred table's own columns are left out.
 
-    A bare star has a null table name.
+    A bare star has a null table name. Names are gathered per query, which its text bounds.
     """
-    starred = stars(log)
-    sources = _known_sources(log, tables).select("query_id", "alias", "lower_name", "known_name")
-    matches = (F.col("s.query_id") == F.col("m.query_id")) & F.col("s.qualifier").isin(F.col("m.alias"), F.col("m.lower_name"))
-    resolved = (
-        starred.where(F.col("qualifier").isNotNull())
-        .alias("s")
-        .join(sources.alias("m"), matches, "left")
-        .select("s.query_id", F.coalesce("m.known_name", "s.qualifier").alias("table_name"))
-        .distinct()
+    name = F.struct("table_name", "column_name")
+    is_star = F.col("column_name") == "*"
+    gathered = (
+        _first_owners(log, tables, with_stars=True)
+        .groupBy("query_id")
+        .agg(F.collect_set(name).alias("names"), F.collect_set(F.when(is_star, F.col("table_name"))).alias("starred"))
     )
-    named = used_columns(log, tables).join(resolved, ["query_id", "table_name"], "left_anti")
-    bare = starred.where(F.col("qualifier").isNull()).select("query_id", F.lit(None).cast("string").alias("table_name"))
-    star_rows = resolved.unionByName(bare).withColumn("column_name", F.lit("*"))
-    return named.unionByName(star_rows)
+    stays = lambda n: (n.column_name == "*") | ~F.array_contains("starred", n.table_name)
+    return gathered.select("query_id", F.explode_outer(F.filter("names", stays)).alias("name")).select("query_id", "name.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores for costly text work on an input with fewer splits than cores.
+
+    Inputs of a cluster's size have more splits than cores and pass unchanged, unshuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def local_session(cores: str = "8", name: str = "querygrade") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     spark = (

@@ -8,7 +8,7 @@ from querygrade.functions import formats, scores, text
 from querygrade.operators import completions, language, rewards
 from querygrade.operators.length_penalty import penalise_length, penalty_statistics
 from querygrade.suite import inputs
-from querygrade.suite.inputs import ANSWERS_SQL, GENERATIONS, answers, graded_answers, rounded, table
+from querygrade.suite.inputs import ANSWERS_SQL, GENERATIONS, answers, documents, graded_answers, rounded, table
 
 _WS = r"chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
 
@@ -83,7 +83,7 @@ def _listed(spark, sf_dir, tag):
         (F.col("doc_id") % 3).cast("string"), F.lit(f'"\n</{tag}>'),
     )
     truth = F.array("lang", "source", F.concat(F.lit("src"), (F.col("doc_id") % 2).cast("string")))
-    return table(spark, sf_dir, "documents").select("doc_id", listing.alias("text"), truth.alias("truth"))
+    return documents(spark, sf_dir).select("doc_id", listing.alias("text"), truth.alias("truth"))
 
 
 def _recall_sql(tag, quotes, name):
@@ -102,20 +102,20 @@ _KEYWORDS = "|".join(text.WRITE_KEYWORDS)
 
 
 def guard(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", text.read_only_or_marker(F.col("text")).alias("checked"))
-    return documents.select("doc_id", F.md5("checked").alias("checked_md5"), F.length("checked").alias("checked_length"))
+    checked = documents(spark, sf_dir).select("doc_id", text.read_only_or_marker(F.col("text")).alias("checked"))
+    return checked.select("doc_id", F.md5("checked").alias("checked_md5"), F.length("checked").alias("checked_length"))
 
 
 def quotes(spark, sf_dir):
     sql = F.concat(F.lit("SELECT `"), F.col("source"), F.lit("` FROM `"), F.col("lang"), F.lit("` WHERE note = '"), F.col("text"), F.lit("'"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.md5(text.double_quote_identifiers(sql)).alias("rewritten_md5")
     )
 
 
 def identifiers(spark, sf_dir):
     names = text.identifier_set(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.size(names).alias("n_names"), F.md5(F.array_join(names, "|")).alias("names_md5")
     )
 
@@ -135,13 +135,13 @@ def json_choices(spark, sf_dir):
     message = lambda role, content: F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
     choice = lambda i, content: F.struct(F.lit(i).alias("index"), message("assistant", content).alias("message"))
     response = F.to_json(F.struct(F.array(choice(0, "text"), choice(1, "source"), choice(2, "lang")).alias("choices")))
-    saved = table(spark, sf_dir, "documents").select("doc_id", response.alias("response"))
+    saved = documents(spark, sf_dir).select("doc_id", response.alias("response"))
     return completions.choices_of_responses(saved).select("doc_id", "sample_idx", F.md5("text").alias("text_md5"))
 
 
 def unwrapped(spark, sf_dir):
     content = lambda name: F.struct(F.col(name).alias("content"))
-    wrapped = table(spark, sf_dir, "documents").select("doc_id", F.array(content("text"), content("source")).alias("completion"))
+    wrapped = documents(spark, sf_dir).select("doc_id", F.array(content("text"), content("source")).alias("completion"))
     return completions.unwrap_completions(wrapped).select("doc_id", "sample_idx", F.md5("text").alias("text_md5"))
 
 
@@ -181,7 +181,7 @@ LANGUAGES = ["de", "en", "es", "fr"]
 
 
 def repetition(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", scores.repetition_penalty(F.split("text", " ")).alias("penalty")
     )
 
@@ -194,7 +194,7 @@ SELECT doc_id, CASE WHEN n < 1 THEN 0.0::DOUBLE WHEN len(list_distinct(grams))::
 
 
 def not_english(spark, sf_dir):
-    profile = language.language_profile(table(spark, sf_dir, "documents"), "text", "lang", LANGUAGES)
+    profile = language.language_profile(documents(spark, sf_dir), "text", "lang", LANGUAGES)
     return language.foreign_language_penalty(answers(spark, sf_dir), "doc_id", "text", profile, LANGUAGES)
 
 

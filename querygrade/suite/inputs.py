@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querygrade.functions.cells import canonical_cell
-from pyspark.sql import types as T
+from querygrade.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # --- answers: one model answer per document, in nine shapes ---------------------------------
 
 GENERATIONS = 8
@@ -47,7 +52,7 @@ ANSWERS_SQL = (
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, prompt_id, lang, source, body, sql, text)``."""
-    return answers_of(table(spark, sf_dir, "documents"))
+    return answers_of(documents(spark, sf_dir))
 
 
 def answers_of(documents: DataFrame) -> DataFrame:

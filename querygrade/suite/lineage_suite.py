@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from querygrade.operators import curate, lineage
 from querygrade.plans import plan_lineage
+from querygrade.session import spread
 from querygrade.sources import databases
 from querygrade.suite.inputs import rounded, table
+from querygrade.suite.workload_suite import session
 
 SHAPES = [
     "SELECT c.c_name, o.o_totalprice FROM customer AS c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey = {k}",
@@ -41,7 +43,7 @@ def query_log(spark, sf_dir):
     n = len(SHAPES)
     key, priority = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
     text = F.element_at(F.array(*[F.lit(s) for s in SHAPES]), (F.col("o_orderkey") % n + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")).select(
         F.col("o_orderkey").alias("query_id"), F.replace(F.replace(text, F.lit("{k}"), key), F.lit("{p}"), priority).alias("sql")
     )
 
@@ -101,8 +103,8 @@ def lineage_plan(spark, sf_dir):
     shapes = query_log(spark, sf_dir).select("query_id", "sql", shape).groupBy(F.md5("shape").alias("shape_key")).agg(
         F.count(F.lit(1)).alias("n_queries"), F.min_by("sql", "query_id").alias("sql"), F.min("query_id").alias("first_query")
     )
-    session = databases.attach_database(spark, sf_dir)
-    plans = plan_lineage.plans_of(spark, shapes.select(F.col("shape_key").alias("query_id"), "sql"), session)
+    texts = shapes.select(F.col("shape_key").alias("query_id"), "sql")
+    plans = plan_lineage.plans_of(spark, texts, session(spark, sf_dir))
     found = plan_lineage.lineage_of_plans(plans).withColumnRenamed("query_id", "shape_key")
     return found.join(shapes.select("shape_key", "n_queries", "first_query"), "shape_key").select(
         "first_query", "n_queries", "status", "table_name", "column_name"
