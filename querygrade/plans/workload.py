@@ -24,6 +24,7 @@ RESULT_SCHEMA = "row_idx bigint, cells array<string>, hash_key string"
 # Functions that reach outside the query.
 _FORBIDDEN = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
 STATUS_BATCH = 1000
+CANCEL_EVERY_S = 0.5
 
 
 def as_subquery(sql: str) -> str:
@@ -44,17 +45,19 @@ def _error_class(error: Exception) -> str:
 
 def run_query(session: SparkSession, key: str, sql: str, timeout_s: float, results: str) -> tuple:
     """Run one query into ``results/hash_key=<key>`` and return its execution row."""
-    expired = threading.Event()
+    context = session.sparkContext
+    done, expired = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        expired.set()
-        session.interruptTag(key)
+    def watch() -> None:
+        # Repeated: a cancel that comes before the query's next job finds nothing to stop.
+        if not done.wait(timeout_s):
+            expired.set()
+            while not done.wait(CANCEL_EVERY_S):
+                context.cancelJobsWithTag(key)
 
-    timer = threading.Timer(timeout_s, stop)
-    timer.daemon = True
     start = time.perf_counter()
-    session.addTag(key)
-    timer.start()
+    context.addJobTag(key)
+    threading.Thread(target=watch, daemon=True).start()
     n_cols = None
     try:
         if _FORBIDDEN.search(sql):
@@ -66,8 +69,8 @@ def run_query(session: SparkSession, key: str, sql: str, timeout_s: float, resul
     except Exception as error:  # noqa: BLE001 - errors are data here
         status, error_class = ("timeout", "TIME_LIMIT") if expired.is_set() else ("error", _error_class(error))
     finally:
-        timer.cancel()
-        session.removeTag(key)
+        done.set()
+        context.removeJobTag(key)
     return key, status, error_class, int((time.perf_counter() - start) * 1000), n_cols
 
 
