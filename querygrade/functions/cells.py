@@ -22,22 +22,30 @@ def canonical_cell(column: Column, dtype: T.DataType) -> Column:
     return column.cast("string")
 
 
-def _length_marked(cell: Column) -> Column:
-    """Null and empty differ, and joined cells cannot run into each other."""
-    return F.coalesce(F.concat(F.length(cell).cast("string"), F.lit(":"), cell), F.lit("N"))
+def bounded_key(key: Column) -> Column:
+    """Long keys as a digest. Plain keys must hold a character that no digest has."""
+    return F.when(F.length(key) <= LONGEST_PLAIN_KEY, key).otherwise(F.sha2(key, 256))
 
 
-def _bounded(key: Column) -> Column:
-    """Long keys as a digest. A plain key always holds ':' or 'N', so it cannot equal one."""
-    return F.when(F.length(key) <= LONGEST_PLAIN_KEY, key).otherwise(F.sha2(key, 256))
+def cell_mark(cell: Column) -> Column:
+    """Null and empty differ, and the mark keeps a plain cell apart from a digest."""
+    return F.coalesce(F.concat(F.lit(":"), cell), F.lit("null"))
+
+
+def row_mark(cells: Column) -> Column:
+    """The cells as a JSON array: joined cells cannot run into each other, nulls stay nulls.
+
+    A compiled expression; a ``transform`` over the cells would be interpreted per row.
+    """
+    return F.coalesce(F.to_json(cells), F.lit("null"))
 
 
 def cell_key(cell: Column) -> Column:
-    return _bounded(_length_marked(cell))
+    return bounded_key(cell_mark(cell))
 
 
 def row_key(cells: Column) -> Column:
-    return _bounded(F.array_join(F.transform(cells, _length_marked), ""))
+    return bounded_key(row_mark(cells))
 
 
 def query_key(db_id: Column, sql: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querygrade.functions.cells import cell_key, row_key
+from querygrade.functions.cells import bounded_key, cell_mark, row_key, row_mark
 
 METRICS = (
     "cell_precision",
@@ -31,22 +31,20 @@ BLOCK_BITS = 16
 
 def count_values(rows: DataFrame) -> DataFrame:
     """Per pair and distinct row or cell: copies on each side, and first position of rows."""
-    entry = lambda is_row, value: F.struct(is_row.alias("is_row"), value.alias("value"))
-    entries = F.concat(
-        F.array(entry(F.lit(True), row_key(F.col("cells")))),
-        F.transform("cells", lambda c: entry(F.lit(False), cell_key(c))),
+    # Place 0 holds the row, the others its cells. Keys are built after the explode, where
+    # they are compiled, not in an interpreted lambda.
+    entries = F.posexplode(F.concat(F.array(row_mark(F.col("cells"))), "cells"))
+    pred, is_row = F.col("side") == "pred", F.col("entry") == 0
+    mark = F.when(is_row, F.col("mark")).otherwise(cell_mark(F.col("mark")))
+    keyed = rows.select("pair_id", "side", "row_idx", entries.alias("entry", "mark")).select(
+        "pair_id", "side", "row_idx", is_row.alias("is_row"), bounded_key(mark).alias("value")
     )
-    pred = F.col("side") == "pred"
-    is_row = F.col("entry.is_row")
-    return (
-        rows.select("pair_id", "side", "row_idx", F.explode(entries).alias("entry"))
-        .groupBy("pair_id", is_row.alias("is_row"), F.col("entry.value").alias("value"))
-        .agg(
-            F.count_if(pred).alias("n_pred"),
-            F.count_if(~pred).alias("n_gold"),
-            F.min(F.when(is_row & pred, F.col("row_idx"))).alias("first_pred"),
-            F.min(F.when(is_row & ~pred, F.col("row_idx"))).alias("first_gold"),
-        )
+    is_row = F.col("is_row")
+    return keyed.groupBy("pair_id", "is_row", "value").agg(
+        F.count_if(pred).alias("n_pred"),
+        F.count_if(~pred).alias("n_gold"),
+        F.min(F.when(is_row & pred, F.col("row_idx"))).alias("first_pred"),
+        F.min(F.when(is_row & ~pred, F.col("row_idx"))).alias("first_gold"),
     )
 
 

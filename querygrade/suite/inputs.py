@@ -107,7 +107,8 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     kind = F.col("pair_id") % 6
     bucket = canonical_cell(F.floor(F.col("o_totalprice") / 100000), T.LongType())
-    gold = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    gold = spread(orders).select(
         F.col("o_custkey").alias("pair_id"),
         F.lit("gold").alias("side"),
         F.col("o_orderkey").alias("row_idx"),
