@@ -6,12 +6,17 @@ location and, after column pruning, just the columns that are read.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygrade.plans.workload import as_subquery
+from querygrade.session import shared_dir
 
+PLAN_BATCH = 1000
 PLAN_SCHEMA = "query_id string, status string, plan string"
 
 
@@ -24,10 +29,22 @@ def explain(session: SparkSession, sql: str) -> tuple[str, str]:
     return ("error", "") if plan.startswith("Error occurred") else ("ok", plan)
 
 
-def plans_of(spark: SparkSession, queries: DataFrame, session: SparkSession) -> DataFrame:
-    """``(query_id, status, plan)``. Query texts pass the driver one partition at a time."""
-    rows = [(str(row.query_id), *explain(session, row.sql)) for row in queries.select("query_id", "sql").toLocalIterator()]
-    return spark.createDataFrame(rows, PLAN_SCHEMA)
+def plans_of(
+    spark: SparkSession, queries: DataFrame, session: SparkSession, folder: str | None = None, parallel: int = 8
+) -> DataFrame:
+    """``(query_id, status, plan)`` of ``queries(query_id, sql)``.
+
+    Planning is work of the driver, so texts pass it in batches, and each batch of plans is
+    written to ``folder`` before the next is read.
+    """
+    folder = folder or shared_dir(spark, "plans")
+    texts = queries.select(F.col("query_id").cast("string").alias("query_id"), "sql").toLocalIterator()
+    spark.createDataFrame([], PLAN_SCHEMA).write.mode("overwrite").parquet(folder)
+    with ThreadPoolExecutor(parallel) as pool:
+        while batch := list(islice(texts, PLAN_BATCH)):
+            rows = pool.map(lambda row: (row.query_id, *explain(session, row.sql)), batch)
+            spark.createDataFrame(list(rows), PLAN_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(PLAN_SCHEMA).parquet(folder)
 
 
 def lineage_of_plans(plans: DataFrame) -> DataFrame:

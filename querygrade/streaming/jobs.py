@@ -28,11 +28,7 @@ def _replace_batch(folder: str) -> Callable[[DataFrame, int], None]:
 def score_stream(
     answers: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, once: bool = True
 ) -> StreamingQuery:
-    """Score answers as they arrive. ``score`` gets each batch as a plain DataFrame.
-
-    Any column score works row by row. A score that needs whole prompt groups is right when
-    a batch holds whole groups; ``complete_groups`` holds back the others.
-    """
+    """Score answers as they arrive, each row on its own. ``score`` gets each batch as a plain DataFrame."""
     write = _replace_batch(folder)
     return _start(answers, "append", folder, lambda batch, number: write(score(batch), number), once)
 
@@ -45,6 +41,30 @@ def complete_groups(answers: DataFrame, group: str, members: int) -> tuple[DataF
     return sized.where(full).drop("arrived"), sized.where(~full).drop("arrived")
 
 
+def score_groups_stream(
+    answers: DataFrame, group: str, members: int, score: Callable[[DataFrame], DataFrame], folder: str, once: bool = True
+) -> StreamingQuery:
+    """Score whole groups, such as all answers of a prompt, once their last member has arrived.
+
+    Answers of open groups wait in ``folder/waiting`` and join the next batch; ``read_waiting``
+    gives those still open.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number > 0:
+            batch = batch.unionByName(read_waiting(batch.sparkSession, folder, number - 1))
+        full, waiting = complete_groups(batch, group, members)
+        waiting.write.mode("overwrite").parquet(f"{folder}/waiting/{number}")
+        _replace_batch(folder)(score(full), number)
+
+    return _start(answers, "append", folder, write, once)
+
+
+def read_waiting(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+    """Answers whose group was still open after a batch."""
+    return spark.read.parquet(f"{folder}/waiting/{batch}")
+
+
 def assemble_stream(deltas: DataFrame, keys: list[str], folder: str, once: bool = True) -> StreamingQuery:
     """Put streamed pieces together per run of sequence numbers; ``read_assembled`` joins the runs.
 

@@ -52,8 +52,12 @@ def catalog(spark, sf_dir):
     return databases.catalog_tables(databases.catalog_rows(spark, {"sales": sf_dir}))
 
 
+def _row_sql(row):
+    return "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")"
+
+
 def _expected_sql(rows, columns):
-    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    values = ", ".join(map(_row_sql, rows))
     names = ", ".join(columns)
     return f"WITH e(shape, {names}) AS (VALUES {values}) SELECT o_orderkey AS query_id, {names} FROM orders JOIN e ON shape = o_orderkey % {len(SHAPES)}"
 
@@ -111,6 +115,25 @@ def lineage_plan(spark, sf_dir):
     )
 
 
+# A star reads every column; the two shapes that name what is not there have no plan.
+_ALL_READ = {
+    2: {"part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(), "supplier": "s_suppkey s_name s_nationkey s_acctbal".split()},
+    3: {"nation": "n_nationkey n_name n_regionkey".split(), "region": ["r_name", "r_regionkey"]},
+    4: {},
+    6: {},
+}
+_PLAN_ROWS = [
+    row
+    for shape in COLUMNS
+    for row in [(shape, "ok", t, c) for t, columns in _ALL_READ.get(shape, COLUMNS[shape]).items() for c in columns]
+    or [(shape, "error", None, None)]
+]
+PLAN_SQL = (
+    f"WITH n AS (SELECT o_orderkey % {len(SHAPES)} AS shape, count(*) AS n_queries, min(o_orderkey) AS first_query FROM orders GROUP BY 1), "
+    f"e(shape, status, table_name, column_name) AS (VALUES {', '.join(_row_sql(row) for row in _PLAN_ROWS)}) "
+    "SELECT first_query, n_queries, status, table_name, column_name FROM n JOIN e USING (shape)"
+)
+
 QUERIES = {
     "lineage_tables": (
         lambda spark, sf_dir: lineage.used_tables(query_log(spark, sf_dir), catalog(spark, sf_dir)),
@@ -129,5 +152,5 @@ QUERIES = {
         _expected_sql(_STAR_ROWS, ["table_name", "column_name"]),
     ),
     "enrich_labels": (enrich_labels, ENRICH_SQL),
-    "lineage_plan": (lineage_plan, None),
+    "lineage_plan": (lineage_plan, PLAN_SQL),
 }

@@ -39,19 +39,17 @@ def stream_score(spark, sf_dir):
 
 
 def stream_length_penalty(spark, sf_dir):
-    """The group penalty on a stream: each batch holds back prompts that are not complete."""
+    """The group penalty on a stream; prompts that never become complete keep their scores."""
     answers = inputs.answers_of(stream_of(spark, sf_dir, "documents")).select(
         "doc_id", "prompt_id", F.length("text").alias("length"), F.lit(1.0).alias("score")
     )
     folder = shared_dir(spark, "penalty")
-
-    def score(batch):
-        full, waiting = jobs.complete_groups(batch, "prompt_id", GENERATIONS)
-        scored = penalise_length(full, "prompt_id", GENERATIONS).select("doc_id", "penalised")
-        return scored.unionByName(waiting.select("doc_id", F.col("score").alias("penalised")))
-
-    jobs.score_stream(answers, score, folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("doc_id", rounded("penalised").alias("penalised"))
+    score = lambda full: penalise_length(full, "prompt_id", GENERATIONS).select("doc_id", "penalised")
+    query = jobs.score_groups_stream(answers, "prompt_id", GENERATIONS, score, folder)
+    query.awaitTermination()
+    open_groups = jobs.read_waiting(spark, folder, query.lastProgress.batchId).select("doc_id", F.col("score").alias("penalised"))
+    scored = spark.read.parquet(f"{folder}/rows").drop("batch").unionByName(open_groups)
+    return scored.select("doc_id", rounded("penalised").alias("penalised"))
 
 
 def stream_cache(spark, sf_dir):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from querygrade.functions import formats
 from querygrade.operators import cache, completions
+from querygrade.operators.length_penalty import penalise_length
 from querygrade.streaming import jobs
 
 DELTA = "request int, choice int, seq int, delta string, arrived timestamp"
@@ -73,3 +74,16 @@ def test_cache(spark, tmp_path):
         assert {(r.hash_key, r.v) for r in got.collect()} == {("a", "first"), ("b", "b"), ("c", "c")} and got.count() == 3
     merged = cache.merge_caches([batch])
     assert {r.hash_key for r in merged.collect()} == {"a", "b", "c"}
+
+
+def test_groups_across_batches(spark, tmp_path):
+    """A group scores once it is whole, in whichever batch its last member comes."""
+    parts = [[(1, 10), (1, 11), (2, 5)], [(1, 400), (2, 6)], [(3, 1), (2, 7)]]
+    stream, batch = source(spark, tmp_path / "in", "g int, length int", parts)
+    folder = str(tmp_path / "out")
+    score = lambda full: penalise_length(full.withColumn("score", F.lit(1.0)), "g", 3).select("g", "length", "penalised")
+    query = jobs.score_groups_stream(stream, "g", 3, score, folder)
+    query.awaitTermination()
+    got = spark.read.parquet(f"{folder}/rows").drop("batch")
+    assert rows_of(got) == rows_of(score(batch.where("g < 3")))
+    assert [r.g for r in jobs.read_waiting(spark, folder, 2).collect()] == [3]
