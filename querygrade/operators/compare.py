@@ -183,10 +183,12 @@ def majority_vote(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     the earliest sample. A question with failures only gets its first sample and 0 votes.
     """
     keys = ["question_id", "sample_idx"]
-    marked = candidates.join(result_fingerprints(rows, keys), keys, "left").select(
-        *keys,
-        F.when(F.col("ok"), F.coalesce("fingerprint", F.lit("0"))).alias("fingerprint"),
-    )
+    marked = candidates.join(result_fingerprints(rows, keys), keys, "left")
+    return vote(marked.select(*keys, F.when(F.col("ok"), F.coalesce("fingerprint", F.lit("0"))).alias("fingerprint")))
+
+
+def vote(marked: DataFrame) -> DataFrame:
+    """``(question_id, sample_idx, votes)`` from ``marked(question_id, sample_idx, fingerprint)``; null does not vote."""
     groups = marked.groupBy("question_id", "fingerprint").agg(
         F.count("fingerprint").alias("votes"), F.min("sample_idx").alias("first_idx")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygrade.functions.text import extract_sql, short_dataset_name, short_model_name, time_limit
-from querygrade.operators.compare import METRICS, compare_results, metrics_long
+from querygrade.operators.compare import METRICS, compare_results, metrics_long, result_fingerprints, vote
 from querygrade.operators.curate import drop_bad_gold
 from querygrade.operators.report import summarise
 from querygrade.plans.workload import result_pairs, run_workload
@@ -27,6 +27,16 @@ class Evaluation:
     summary: DataFrame
 
 
+def _voted_pairs(pairs: DataFrame, rows: DataFrame, ran: DataFrame) -> DataFrame:
+    """``(pair_id)`` of the sample that wins the majority vote of its question and experiment."""
+    group = F.sha2(F.to_json(F.struct("question_id", "experiment", "model_name", "dataset_name")), 256)
+    prints = result_fingerprints(rows.where(F.col("side") == "pred"), ["pair_id"])
+    marked = pairs.select("pair_id", group.alias("question_id"), "sample_idx").join(ran, "pair_id").join(prints, "pair_id", "left")
+    mark = F.when(F.col("pred_ok"), F.coalesce("fingerprint", F.lit("0"))).alias("fingerprint")
+    winners = vote(marked.select("question_id", "sample_idx", mark))
+    return marked.join(winners, ["question_id", "sample_idx"], "left_semi").select("pair_id")
+
+
 def evaluate_predictions(
     spark: SparkSession,
     questions: DataFrame,
@@ -39,7 +49,8 @@ def evaluate_predictions(
     """Score ``predictions(question_id, experiment, sample_idx, model_name, dataset_name, text)``.
 
     ``questions(question_id, db_id, SQL, sql_execution_time)`` are the gold side. Every
-    distinct query runs once, and all metrics come from those results.
+    distinct query runs once, and all metrics come from those results. With several
+    completions, only the sample that wins the majority vote of its question is scored.
     """
     keys = ["question_id", "experiment", "sample_idx", "model_name", "dataset_name"]
     gold = drop_bad_gold(questions).select("question_id", "db_id", F.col("SQL").alias("gold_sql"))
@@ -54,6 +65,9 @@ def evaluate_predictions(
     work = pairs.select("db_id", F.explode(F.array("gold_sql", "pred_sql")).alias("sql"), limit)
     executions, results = run_workload(spark, work, sessions, folder or shared_dir(spark, "evaluation"), cache)
     rows, ran = result_pairs(pairs, executions, results)
+    if number_of_completions > 1:
+        voted = _voted_pairs(pairs, rows, ran)
+        rows, ran = rows.join(voted, "pair_id", "left_semi"), ran.join(voted, "pair_id", "left_semi")
     metrics = compare_results(rows, ran).join(pairs.select("pair_id", *keys), "pair_id")
     scores = metrics_long(metrics, keys, METRICS).select(
         "question_id",

@@ -48,6 +48,16 @@ def test_cache_files(spark, tmp_path):
     assert cache_files.read_cache_files(spark, str(tmp_path), (name,)).count() == 2
 
 
+def test_append_to_cache(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "late"), ("a", 0, "first"), ("b", 2, "b")], "hash_key string, row_rank int, v string")
+    path = f"{tmp_path}/cache"
+    for _ in range(2):
+        cache_files.append_to_cache(spark, rows, path)
+    cache_files.append_to_cache(spark, rows.selectExpr("if(hash_key = 'b', 'c', hash_key) AS hash_key", "row_rank", "v"), path)
+    assert {(r.hash_key, r.v) for r in spark.read.parquet(path).collect()} == {("a", "first"), ("b", "b"), ("c", "b")}
+    assert spark.read.parquet(path).count() == 3
+
+
 @dataclasses.dataclass
 class Settings:
     n: int = 1

@@ -173,3 +173,14 @@ def test_evaluation(spark, session, tmp_path):
     assert (summary["bird_ex"].score, summary["bird_ex"].std) == (75.0, pytest.approx(35.355))
     assert (summary["ex"].model_name, summary["ex"].dataset_name) == ("m-1_5", "data_dev")
     assert done.executions.count() == 4 and done.scores.count() == 4 * 7
+
+
+def test_evaluation_with_votes(spark, session, tmp_path):
+    """Two of three samples agree on a wrong result, so the wrong one is scored."""
+    questions = spark.createDataFrame([(1, "shop", "SELECT id FROM orders", 1.0)], "question_id int, db_id string, SQL string, sql_execution_time double")
+    texts = ["SELECT id FROM orders", "SELECT name FROM customers", "SELECT name FROM customers ORDER BY name", "SELECT oops"]
+    rows = [(1, 0, i, "m", "d", t) for i, t in enumerate(texts)]
+    predictions = spark.createDataFrame(rows, "question_id int, experiment int, sample_idx int, model_name string, dataset_name string, text string")
+    done = evaluate.evaluate_predictions(spark, questions, predictions, {"shop": session}, 4, str(tmp_path))
+    assert {r.sample_idx for r in done.scores.collect()} == {1}
+    assert {r.score_name: r.score for r in done.summary.collect()}["bird_ex"] == 0.0
