@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESPONSE_SCHEMA = "choices array<struct<index:int, message:struct<role:string, content:string>>>"
-DELTAS_PER_CHUNK = 1024
+CHUNK_BITS = 10
 
 
 def unwrap_completions(frame: DataFrame, column: str = "completion") -> DataFrame:
@@ -35,9 +35,9 @@ def join_in_order(frame: DataFrame, keys: list[str], order: str, text: str) -> D
 def assemble_deltas(deltas: DataFrame, keys: list[str], seq: str = "seq", delta: str = "delta") -> DataFrame:
     """``(*keys, text)``: streamed pieces put together in order of ``seq``.
 
-    Runs of ``DELTAS_PER_CHUNK`` sequence numbers are joined first, so the pieces of one long
+    Runs of ``2^CHUNK_BITS`` sequence numbers are joined first, so the pieces of one long
     stream are sorted by many tasks and only whole runs meet at the end.
     """
-    chunked = deltas.withColumn("chunk", F.floor(F.col(seq) / DELTAS_PER_CHUNK))
+    chunked = deltas.withColumn("chunk", F.shiftright(seq, CHUNK_BITS))
     runs = join_in_order(chunked, [*keys, "chunk"], seq, delta)
     return join_in_order(runs, keys, "chunk", delta).withColumnRenamed(delta, "text")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from querygrade.operators.cache import KEY, new_rows
-from querygrade.operators.completions import DELTAS_PER_CHUNK, join_in_order
+from querygrade.operators.completions import CHUNK_BITS, join_in_order
 
 
 def _start(stream: DataFrame, mode: str, folder: str, write: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -70,7 +70,7 @@ def assemble_stream(deltas: DataFrame, keys: list[str], folder: str, once: bool
 
     State holds one entry per run. Each batch writes the runs it changed; the latest counts.
     """
-    chunked = deltas.withColumn("chunk", F.floor(F.col("seq") / DELTAS_PER_CHUNK))
+    chunked = deltas.withColumn("chunk", F.shiftright("seq", CHUNK_BITS))
     runs = join_in_order(chunked, [*keys, "chunk"], "seq", "delta")
     return _start(runs, "update", folder, _replace_batch(folder), once)
 
@@ -80,7 +80,7 @@ def assemble_stream_until(
 ) -> StreamingQuery:
     """As ``assemble_stream`` for endless streams: a run is written and dropped from state when
     the watermark passes its arrival window, so state stays bounded. Later pieces are ignored."""
-    chunked = deltas.withWatermark(arrival, lateness).withColumn("chunk", F.floor(F.col("seq") / DELTAS_PER_CHUNK))
+    chunked = deltas.withWatermark(arrival, lateness).withColumn("chunk", F.shiftright("seq", CHUNK_BITS))
     pieces = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("t"))))
     runs = chunked.groupBy(*keys, "chunk", F.window(arrival, window)).agg(
         F.array_join(F.transform(pieces, lambda p: p.t), "").alias("delta")

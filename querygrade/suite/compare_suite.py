@@ -88,7 +88,7 @@ SELECT question_id, first_idx AS sample_idx, votes FROM ranked WHERE rn = 1
 
 
 def vote(spark, sf_dir):
-    question, sample = (lambda c: F.floor(F.col(c) / 8)), (lambda c: F.col(c) % 8)
+    question, sample = (lambda c: F.expr(f"{c} DIV 8")), (lambda c: F.col(c) % 8)
     candidates = inputs.table(spark, sf_dir, "customer").select(
         question("c_custkey").alias("question_id"),
         sample("c_custkey").alias("sample_idx"),

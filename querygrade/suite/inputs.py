@@ -60,7 +60,7 @@ def answers_of(documents: DataFrame) -> DataFrame:
     documents = documents.withColumn("sql", F.expr(_SQL_OF_DOC.format(string="STRING")))
     return documents.select(
         "doc_id",
-        F.floor(F.col("doc_id") / GENERATIONS).alias("prompt_id"),
+        F.expr(f"doc_id DIV {GENERATIONS}").alias("prompt_id"),
         "lang",
         "source",
         F.col("text").alias("body"),
