@@ -14,7 +14,11 @@ def canonical_cell(column: Column, dtype: T.DataType) -> Column:
     """One cell as a string: equal values of different numeric types give equal strings."""
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         number = F.round(column.cast("double"), DIGITS)
-        return F.when(number == 0, "0.0").otherwise(number.cast("string"))
+        plain = F.when(number == 0, "0.0").otherwise(number.cast("string"))
+        if isinstance(dtype, T.LongType):
+            # Larger whole numbers would lose digits as doubles.
+            return F.when(column.between(-(2**53), 2**53), plain).otherwise(column.cast("string"))
+        return plain
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.to_json(column)
     if isinstance(dtype, T.BinaryType):

@@ -3,7 +3,7 @@
 Rows are ordered by ``md5(seed-id)``. Taking the first k of that order needs only the k-th
 smallest hash: it is found from counts per hash prefix and one small sort inside the prefix
 that holds it. The rows themselves are then kept by a filter, so they are never shuffled,
-and one seed gives nested samples. Ids must be unique.
+and one seed gives nested samples. Ids must be unique; a row without id is never taken.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def share_rounded_up(weight: float) -> Take:
 
 def cutoff_hashes(frame: DataFrame, id_column: str, seed: int, takes: dict[str, Take]) -> DataFrame:
     """``(label, cutoff)``: the hash of the last row taken, per label; no row when none is taken."""
-    hashes = frame.select(shuffle_key(id_column, seed).alias("hash")).withColumn(
-        "prefix", F.substring("hash", 1, PREFIX_DIGITS)
-    )
+    known = frame.where(F.col(id_column).isNotNull()).select(shuffle_key(id_column, seed).alias("hash"))
+    # Never null, or Spark would add a null filter to the join that computes the hash twice.
+    hashes = known.withColumn("prefix", F.coalesce(F.substring("hash", 1, PREFIX_DIGITS), F.lit("")))
     # At most MOST_PREFIXES rows, whatever the input, so one ordered window is enough.
     everything = Window.partitionBy(F.lit(0))
     counts = hashes.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"))

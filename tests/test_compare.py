@@ -116,6 +116,12 @@ def test_canonical_cells(spark):
     assert (cells.z, cells.s, cells.t, cells.n, cells.a, cells.r) == ("0.0", "A", "2024-01-02", None, "[1]", "0.123457")
 
 
+def test_large_whole_numbers_keep_their_digits(spark):
+    frame = spark.sql("SELECT explode(array(9223372036854775806, 9223372036854775807, -9223372036854775808, null, 7)) AS n")
+    cells = [r.c for r in frame.select(canonical_cell(F.col("n"), frame.schema["n"].dataType).alias("c")).collect()]
+    assert cells == ["9223372036854775806", "9223372036854775807", "-9223372036854775808", None, "7.0"]
+
+
 def test_keys_are_bounded_and_distinct(spark):
     frame = spark.createDataFrame([(["a" * 300],), (["a" * 301],), ([None],), ([""],), (["N"],)], "cells array<string>")
     keys = [r.k for r in frame.select(row_key(F.col("cells")).alias("k")).collect()]

@@ -31,6 +31,12 @@ def test_subsample_takes_the_smallest_hashes(spark):
     assert [r.id for r in sampling.shuffled(spark.range(200), "id", 9).collect()] == order
 
 
+def test_rows_without_id_are_not_taken(spark):
+    frame = spark.range(10).union(spark.createDataFrame([(None,)] * 10, "id bigint"))
+    taken = [r.id for r in sampling.subsample(frame, "id", 1, 1.0).collect()]
+    assert sorted(taken) == list(range(10))
+
+
 def test_split_is_disjoint_and_complete(spark):
     parts = sampling.train_test_split(spark.range(101), "id", 1, 0.2)
     train, test = ids(parts["train"]), ids(parts["test"])
