@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,25 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_querygrade_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.NamedTemporaryFile(prefix="querygrade-", suffix=".zip", delete=False) as file:
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as archive:
+            for folder, _, names in os.walk(home):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(home)))
+        file.write(body.getvalue())
+    context.addPyFile(file.name)
+    context._querygrade_shipped = True
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """Use all cores for costly text work on an input with fewer splits than cores.
 
