@@ -55,7 +55,7 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, bounds - bounds[0]
 
 
-def text_slices(batches, max_bytes: int = 8_000_000, max_rows: int = 4096, column: str = "text"):
+def text_slices(batches, max_bytes: int = 2_000_000, max_rows: int = 4096, column: str = "text"):
     """Cut Arrow batches so that vectorised work on the text column stays in bounded memory; one text may be larger."""
     for batch in batches:
         if batch.num_rows == 0:

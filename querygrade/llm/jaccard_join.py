@@ -12,8 +12,8 @@ Steps, each over all documents:
    in the long lists by binary search.
 4. Connected classes of the links.
 
-No list is cut. A group of near copies costs one search for each member, as pairs inside a class are not
-searched again. Only frequencies of at most ``HOT_SHINGLES`` shingles and a filter of ``FILTER_BITS`` bits
+No list is cut. A large group of near copies costs few searches for each member, as pairs inside a class are
+not searched again. Only frequencies of at most ``HOT_SHINGLES`` shingles and a filter of ``FILTER_BITS`` bits
 are sent to the executors.
 """
 
@@ -38,10 +38,16 @@ HOT_FROM = 16
 #: Bits of the filter that names the sets with a possible partner.
 FILTER_BITS = 1 << 26
 #: Shingles gathered by a task before it deals them out to buckets.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
+#: Sets of a list from which on it is long: its pairs are then made by turns of hubs and not all at once.
+LONG_LIST = 64
+#: Bits of the sketch that rules out pairs before their sets are compared.
+SKETCH_BITS = 2048
 #: Most turns with hubs before the pairs that are left, and fewer links than one in so many open sets that end them.
-HUB_TURNS = 8
-FEW_LINKS = 100
+HUB_TURNS = 3
+FEW_LINKS = 50
+#: Most pairs whose keys are sent to all tasks to pick their sets (8 bytes each); beyond, all sets are joined.
+SENT_KEYS = 1 << 18
 #: DivideSkip's weight of probing against merging.
 SKIP_WEIGHT = 0.01
 
@@ -165,7 +171,7 @@ def _list_blocks(buckets: int, shared_hot):
                 held += len(taken)
             if len(listed) > 200_000:
                 listed.clear()  # bounds memory; a set listed twice is only dropped later
-            if held >= FLUSH // 2:
+            if held >= FLUSH:
                 yield flush(parts)
                 parts, held = [], 0
         if held:
@@ -213,25 +219,54 @@ def key_filter(spark, keys: DataFrame) -> np.ndarray:
     return table
 
 
-def _named_sets(shared_filter):
-    """A row for each document, with its set if its key may have a partner and the task has not given it yet."""
+def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    passed = keys >= 0
+    for p in _filter_places(np.maximum(keys, 0)):
+        passed &= (bits[p // 32] >> (p % 32).astype(np.uint32)) & 1 == 1
+    return passed
+
+
+def _keys_of(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([set_key(s) if len(s) else -1 for s in sets], np.int64)
+
+
+def _sketch(own: np.ndarray) -> list[int]:
+    """A bit for each of the hash values that occur, as 64-bit words."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[(own >> np.uint64(40)) % np.uint64(SKETCH_BITS)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _described(shared_filter):
+    """A row for each document: size and key of its set, and a sketch if its key is in a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = _sets_of(batch)
+            keys = _keys_of(sets)
+            sketches = [_sketch(s) if ok else None for s, ok in zip(sets, _in_filter(shared_filter.value, keys).tolist())]
+            doc_ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+            yield pa.record_batch([doc_ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sketch"])
+
+    return run
+
+
+def _bodies(shared_filter):
+    """The sets whose key is in the filter; a task gives equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, given = shared_filter.value, set()
+        given: set[int] = set()
         for batch in text_slices(batches):
             sets = _sets_of(batch)
-            keys = np.array([set_key(s) if len(s) else -1 for s in sets], np.int64)
-            passed = keys >= 0
-            for p in _filter_places(np.maximum(keys, 0)):
-                passed &= (bits[p // 32] >> (p % 32).astype(np.uint32)) & 1 == 1
-            bodies = []
-            for own, key, ok in zip(sets, keys.tolist(), passed.tolist()):
-                bodies.append(own.tobytes() if ok and key not in given else None)
-                if ok:
+            keys = _keys_of(sets)
+            rows = []
+            for own, key, ok in zip(sets, keys.tolist(), _in_filter(shared_filter.value, keys).tolist()):
+                if ok and key not in given:
                     given.add(key)
+                    rows.append((key, own.tobytes()))
             if len(given) > 200_000:
                 given.clear()
-            yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys), pa.array(bodies, pa.binary())], ["doc_id", "n_shingles", "key", "body"])
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "body"])
 
     return run
 
@@ -303,29 +338,68 @@ def _possible(a: str, b: str):
     return rest * (SHARE[0] + SHARE[1]) >= SHARE[0] * (n_a + n_b)
 
 
+def _plausible(n_a, sketch_a, n_b, sketch_b):
+    """Whether the sketches allow the overlap: every bit that only one set has is a shingle the other lacks."""
+
+    def alone(x, y):
+        words = [F.bit_count(x[k].bitwiseAND(F.bitwise_not(y[k]))) for k in range(SKETCH_BITS // 64)]
+        while len(words) > 1:
+            words = [left + right for left, right in zip(words[::2], words[1::2])]
+        return words[0]
+
+    rest = F.least(n_a - alone(sketch_a, sketch_b), n_b - alone(sketch_b, sketch_a))
+    return rest * (SHARE[0] + SHARE[1]) >= SHARE[0] * (n_a + n_b)
+
+
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (hub, key) that link, found by searching each hub among its keys."""
-    named = pairs.join(bodies, "key")
+    pairs = stored(pairs, "pairs")
+    if pairs.count() <= SENT_KEYS:
+        named = pairs.select("key").union(pairs.select("hub")).distinct()
+        bodies = bodies.join(F.broadcast(named), "key", "left_semi")
     hubs = bodies.select(F.col("key").alias("hub"), F.col("body").alias("hub_body"))
-    return named.join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(_search, "hub long, key long")
+    found = pairs.join(bodies, "key").join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(_search, "hub long, key long")
+    return stored(found, "linked")
+
+
+def _list_pairs(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs of sets in one of the lists that lie in different classes and may link."""
+    lists = lists.select("shingle", "key", "size", "place", "class")
+    apart = (F.col("a.key") < F.col("b.key")) & (F.col("a.class") != F.col("b.class"))
+    pairs = (
+        lists.alias("a").join(lists.alias("b"), "shingle").where(apart & _possible("a", "b"))
+        .select(F.col("a.key").alias("hub"), F.col("b.key").alias("key")).distinct()
+    )
+    hubs = sketches.select(F.col("key").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("size").alias("hub_size"))
+    both = pairs.join(sketches, "key").join(hubs, "hub")
+    return both.where(_plausible(F.col("hub_size"), F.col("hub_sketch"), F.col("size"), F.col("sketch"))).select("hub", "key")
+
+
+def _apart(a: str, b: str):
+    sketches = _plausible(F.col(f"{a}.size"), F.col(f"{a}.sketch"), F.col(f"{b}.size"), F.col(f"{b}.sketch"))
+    return (F.col(f"{a}.class") != F.col(f"{b}.class")) & sketches
 
 
 def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """In each list and band of sizes, every set with the set that this turn's hash puts first, if not yet in one class."""
-    first = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "size", "place", "class")).alias("hub")
+    """In each list and band of sizes, every set with the one that this turn's hash puts first, if not yet in one class.
+
+    Bands lie half a step higher every other turn. The hash differs by list, so that a set which shares many lists with a class meets many of its members.
+    """
+    first = F.min(F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("h"), "key", "size", "place", "class", "sketch")).alias("hub")
+    steps = F.log("size") / F.log(F.lit(SHARE[1] / SHARE[0]))
+    lists = lists.withColumn("band", F.floor(steps + F.lit(turn % 2 / 2)).cast("int"))
     hubs = lists.groupBy("shingle", "band").agg(first)
     return (
-        lists.alias("x").join(hubs, ["shingle", "band"])
-        .where((F.col("hub.class") != F.col("x.class")) & _possible("hub", "x"))
+        lists.alias("x").join(hubs, ["shingle", "band"]).where(_apart("hub", "x"))
         .select(F.col("hub.key").alias("hub"), F.col("x.key").alias("key")).distinct()
     )
 
 
 def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """The lists whose sets lie in different classes, with the class of each set."""
-    marked = lists.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    marked = lists.drop("class").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     mixed = marked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    return marked.join(mixed.where(F.col("low") != F.col("high")).select("shingle"), "shingle")
+    return stored(marked.join(mixed.where(F.col("low") != F.col("high")).select("shingle"), "shingle"), "open")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -343,25 +417,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, buckets))
     blocks = docs.select("text").mapInArrow(_list_blocks(buckets, hot), "bucket int, hot boolean, tokens binary, keys binary, sizes binary, places binary")
     lists = blocks.groupBy("bucket").applyInArrow(_shared_lists, "shingle long, key long, size int, place int")
-    lists = stored(lists.withColumn("band", F.floor(F.log("size") / F.log(F.lit(SHARE[1] / SHARE[0]))).cast("int")), "lists")
-    named = spark.sparkContext.broadcast(key_filter(spark, lists.select("key").distinct()))
-    sets = stored(docs.mapInArrow(_named_sets(named), "doc_id long, n_shingles long, key long, body binary"), "sets")
-    bodies = sets.where(F.col("body").isNotNull()).select("key", "body").dropDuplicates(["key"])
-    open_lists, links, classes = lists.withColumn("class", F.col("key")), None, None
+    lists = stored(lists, "lists")
+    listed = spark.sparkContext.broadcast(key_filter(spark, lists.select("key").distinct()))
+    sets = stored(docs.mapInArrow(_described(listed), "doc_id long, n_shingles long, key long, sketch array<long>"), "sets")
+    sketches = sets.where(F.col("sketch").isNotNull()).select("key", "sketch", F.col("n_shingles").cast("int").alias("size")).dropDuplicates(["key"])
+    sketches = stored(sketches, "sketches")
+    lengths = lists.groupBy("shingle").count()
+    long = stored(lengths.where(F.col("count") > LONG_LIST).select("shingle"), "long")
+    pairs = stored(_list_pairs(lists.join(long, "shingle", "left_anti").withColumn("class", F.col("key")), sketches), "pairs")
+    open_lists = lists.join(long, "shingle").join(sketches.drop("size"), "key").withColumn("class", F.col("key"))
+    open_lists = stored(open_lists, "open")
+    partners = pairs.select("key").union(pairs.select("hub")).union(open_lists.select("key")).distinct()
+    named = spark.sparkContext.broadcast(key_filter(spark, partners))
+    bodies = stored(docs.select("text").mapInArrow(_bodies(named), "key long, body binary").dropDuplicates(["key"]), "bodies")
+    links = _linked(pairs, bodies)
     for turn in range(HUB_TURNS):
-        found = stored(_linked(_hub_pairs(open_lists, turn), bodies), "linked")
-        links = found if links is None else links.union(found)
         classes = stored(connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key"), "classes")
-        open_lists = stored(_open_lists(lists, classes), "open")
+        open_lists = _open_lists(open_lists, classes)
+        found = _linked(_hub_pairs(open_lists, turn), bodies)
+        links = links.union(found)
         if found.count() * FEW_LINKS < open_lists.select("key").distinct().count():
             break
-    rest = (
-        open_lists.alias("a").join(open_lists.alias("b"), "shingle")
-        .where((F.col("a.key") < F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & _possible("a", "b"))
-        .select(F.col("a.key").alias("hub"), F.col("b.key").alias("key")).distinct()
-    )
-    more = stored(_linked(rest, bodies), "linked")
-    classes = connected_classes(links.union(more), "hub", "key", "class").withColumnRenamed("node", "key")
+    classes = stored(connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key"), "classes")
+    links = links.union(_linked(_list_pairs(_open_lists(open_lists, classes), sketches), bodies))
+    classes = connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key")
     smallest = sets.where("key >= 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     tops = smallest.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     firsts = tops.groupBy("class").agg(F.min("first_id").alias("component_id"))
