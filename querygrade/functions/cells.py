@@ -6,12 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONGEST_PLAIN_KEY = 64
 DIGITS = 6
 
 
 def canonical_cell(column: Column, dtype: T.DataType) -> Column:
     """One cell as a string: equal values of different numeric types give equal strings."""
+    if isinstance(dtype, T.DecimalType):
+        # Digits that a double would lose stay; where none are lost, the form is that of the other numbers.
+        exact = F.round(column, DIGITS)
+        held = (F.abs(column) < 10**9) | ((column == F.round(column, 0)) & column.between(-(2**53), 2**53))
+        text = exact.cast("string")
+        whole = F.regexp_replace(text, r"\.?0+$", "") if dtype.scale > 0 else text
+        return F.when(held, canonical_cell(column.cast("double"), T.DoubleType())).otherwise(whole)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         number = F.round(column.cast("double"), DIGITS)
         plain = F.when(number == 0, "0.0").otherwise(number.cast("string"))
@@ -27,12 +33,12 @@ def canonical_cell(column: Column, dtype: T.DataType) -> Column:
 
 
 def bounded_key(key: Column) -> Column:
-    """Long keys as a digest. Plain keys must hold a character that no digest has."""
-    return F.when(F.length(key) <= LONGEST_PLAIN_KEY, key).otherwise(F.sha2(key, 256))
+    """A digest of the key: of one length, whatever the key's."""
+    return F.md5(key)
 
 
 def cell_mark(cell: Column) -> Column:
-    """Null and empty differ, and the mark keeps a plain cell apart from a digest."""
+    """Null and empty differ."""
     return F.coalesce(F.concat(F.lit(":"), cell), F.lit("null"))
 
 

@@ -1,7 +1,8 @@
 """Language profile from labelled text, and the penalty for answers that are not English.
 
-Naive Bayes over words, folded into a fixed number of buckets. The bucket count bounds the
-profile whatever the vocabulary, which is what makes it safe to broadcast.
+Naive Bayes over whole words with add-one smoothing. The profile grows with the vocabulary, so it is joined
+and not sent to all tasks; only the words that make up a fixed share of all text are, and there can be no
+more of them than one over that share. These are also the words that would be hot keys of the join.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from querygrade.functions.text import remove_sql_blocks, strip
 
-BUCKET_DIGITS = 4
-BUCKETS = 16**BUCKET_DIGITS
+#: A word is common if it is one in so many of all words; so there are no more common words than that.
+COMMON = 2000
 SHORTEST_TEXT = 5
 
 
@@ -20,36 +21,36 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def _bucket(word: str) -> Column:
-    return F.substring(F.md5(word), 1, BUCKET_DIGITS).alias("bucket")
-
-
 def language_profile(labelled: DataFrame, text: str, lang: str, languages: list[str]) -> DataFrame:
-    """``(bucket, <language>...)`` word counts: at most ``BUCKETS`` rows of one number per language."""
+    """``(word, <language>...)``: how often each distinct word comes up in each language."""
     words = labelled.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word"))
     counts = [F.count_if(F.col("lang") == name).alias(name) for name in languages]
-    return words.select("lang", _bucket("word")).groupBy("bucket").agg(*counts)
+    return words.groupBy("word").agg(*counts)
 
 
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, languages: list[str]) -> DataFrame:
-    """``(key, n_words, <language>...)``: log likelihood with add-one smoothing.
+    """``(key, n_words, <language>...)``: log likelihood with add-one smoothing over the profile's vocabulary.
 
-    Only the key and one partial sum per language leave the map side.
+    Words are counted per text before any join. Common words meet a bounded table in every task, all others are
+    joined by word; then one partial sum per text and language is shuffled.
     """
-    weights = profile.select("bucket", *[F.log(F.col(name) + 1.0).alias(name) for name in languages])
-    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).select(key, _bucket("word"))
-    sums = (
-        words.join(F.broadcast(weights), "bucket", "left")
-        .groupBy(key)
-        .agg(
-            F.count("bucket").alias("n_words"),
-            *[F.sum(F.coalesce(F.col(name), F.lit(0.0))).alias(name) for name in languages],
-        )
-    )
     # One subquery with all totals, so it shares the profile's own shuffle.
-    totals = profile.select(F.struct(*[F.sum(name).cast("double").alias(name) for name in languages])).scalar()
+    mass = [F.sum(name).cast("double").alias(name) for name in languages]
+    totals = profile.select(F.struct(F.count(F.lit(1)).cast("double").alias("vocabulary"), *mass)).scalar()
+    everything = sum((totals.getField(name) for name in languages), F.lit(0.0))
+    own = sum((F.col(name) for name in languages), F.lit(0))
+    logs = [F.log(F.col(name) + 1.0).alias(f"log_{name}") for name in languages]
+    weights = profile.select("word", (own * COMMON > everything).alias("common"), *logs)
+    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
+    marked = words.join(F.broadcast(weights.where("common")), "word", "left")
+    rare = marked.where(F.col("common").isNull()).select(key, "word", "n").join(weights.where(~F.col("common")), "word", "left")
+    partial = marked.where("common").unionByName(rare)
+    sums = partial.groupBy(key).agg(
+        F.sum("n").alias("n_words"),
+        *[F.sum(F.coalesce(F.col("n") * F.col(f"log_{name}"), F.lit(0.0))).alias(name) for name in languages],
+    )
     scored = [
-        (F.col(name) - F.col("n_words") * F.log(totals.getField(name) + BUCKETS)).alias(name) for name in languages
+        (F.col(name) - F.col("n_words") * F.log(totals.getField(name) + totals.getField("vocabulary"))).alias(name) for name in languages
     ]
     return sums.select(key, "n_words", *scored)
 

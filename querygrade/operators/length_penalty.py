@@ -33,7 +33,8 @@ def penalise_length(answers: DataFrame, group: str, generations: int, strength:
     fewer than ``generations`` answers, or fewer than two correct ones, keeps its scores.
     """
     stats = length_statistics(answers, group, generations)
-    joined = answers.join(stats, group, "left")
+    stats = stats.withColumnRenamed(group, "stats_of")
+    joined = answers.join(stats, F.col(group).eqNullSafe(F.col("stats_of")), "left").drop("stats_of")
     z = F.try_divide(F.col("length") - F.col("avg_length"), F.col("spread"))
     penalty = F.when((F.col("score") > 0) & (z > 0), F.least(F.lit(LARGEST_PENALTY), z * strength)).otherwise(0.0)
     lowered = F.when(F.col("penalty") > 0, F.greatest(F.lit(0.0), F.col("score") - F.col("penalty")))
@@ -49,4 +50,5 @@ def penalty_statistics(answers: DataFrame, group: str, generations: int, strengt
     penalised = penalise_length(answers, group, generations, strength)
     applied = F.when(F.col("penalty") > 0, F.col("penalty"))
     means = penalised.groupBy(group).agg(F.coalesce(F.avg(applied), F.lit(0.0)).alias("mean_penalty"))
-    return length_statistics(answers, group, generations).join(means, group)
+    means = means.withColumnRenamed(group, "means_of")
+    return length_statistics(answers, group, generations).join(means, F.col(group).eqNullSafe(F.col("means_of"))).drop("means_of")

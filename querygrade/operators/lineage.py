@@ -25,6 +25,9 @@ _CTE_NAME = r"(?<!\w)(\w++) ?(?:\([^()]*+\) ?)?(?<=[ )])as (?:materialized )?\("
 # A word or a dotted pair that is no function call, no alias behind AS, and no star prefix.
 _NAME = r"(?<![\w.])(?<!\bas )([a-z_]\w*+(?:\.[a-z_]\w*+)?+)(?![\w.]| ?\()"
 
+#: Largest catalog, in tables, that is sent to all tasks.
+SENT_TABLES = 20_000
+
 _DOTTED_STAR = r"([a-z_]\w*+)\.\*"
 _BARE_STAR = r"(?:(?<!\w)(?:select|distinct|all)|[,(]) ?\*"
 _STAR_MARK = "\u0003"
@@ -33,7 +36,10 @@ _STAR_MARK = "\u0003"
 def _code(sql: Column) -> Column:
     """Lower case, without literals, comments and quotes, with single spaces."""
     bare = F.translate(F.regexp_replace(F.lower(sql), _NOT_CODE, " "), '"`', "")
-    return F.regexp_replace(bare, r"\s+", " ")
+    spaced = F.regexp_replace(bare, r"\s+", " ")
+    # FROM that names no source: in calls such as EXTRACT(year FROM x), and in IS DISTINCT FROM.
+    called = F.regexp_replace(spaced, r"(?<!\w)(extract|trim|substring|overlay) ?\(([^()]*?)(?<!\w)from(?!\w)", "$1($2,")
+    return F.regexp_replace(called, r"(?<!\w)is (not )?distinct from(?!\w)", "=")
 
 
 def source_mentions(log: DataFrame, with_stars: bool = False) -> DataFrame:
@@ -81,6 +87,8 @@ def _known_sources(log: DataFrame, tables: DataFrame, with_stars: bool = False)
     known = tables.select(
         F.lower("table_name").alias("lower_name"), F.col("table_name").alias("known_name"), F.col("columns")
     )
+    if known.count() <= SENT_TABLES:
+        known = F.broadcast(known)  # else the log would be shuffled by table, and a popular table is a hot key
     mentions = source_mentions(log, with_stars).withColumnRenamed("table_name", "lower_name")
     if not with_stars:
         return mentions.join(known, "lower_name")

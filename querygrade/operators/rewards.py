@@ -99,10 +99,13 @@ def weighted_sum(rewards: dict[str, Column], weights: dict[str, float]) -> Colum
 def scale_rewards(answers: DataFrame, reward: str, group: str, by: str = "group") -> DataFrame:
     """Adds ``scaled``: the reward minus its group mean, over a standard deviation.
 
-    ``by`` names the deviation used: that of the ``group``, of the whole ``batch``, or ``none``.
+    ``by`` names the deviation used: that of the ``group``, of the whole ``batch``, or ``none``. Rows without a
+    group are one group.
     """
     stats = answers.groupBy(group).agg(F.avg(reward).alias("group_mean"), F.stddev_samp(reward).alias("group_std"))
-    centred = answers.join(stats, group).withColumn("scaled", F.col(reward) - F.col("group_mean"))
+    stats = stats.withColumnRenamed(group, "stats_of")
+    joined = answers.join(stats, F.col(group).eqNullSafe(F.col("stats_of"))).drop("stats_of")
+    centred = joined.withColumn("scaled", F.col(reward) - F.col("group_mean"))
     if by == "group":
         spread = F.coalesce("group_std", F.lit(0.0)) + STD_GUARD
     elif by == "batch":

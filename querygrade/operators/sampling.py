@@ -3,7 +3,8 @@
 Rows are ordered by ``md5(seed-id)``. Taking the first k of that order needs only the k-th
 smallest hash: it is found from counts per hash prefix and one small sort inside the prefix
 that holds it. The rows themselves are then kept by a filter, so they are never shuffled,
-and one seed gives nested samples. Ids must be unique; a row without id is never taken.
+and one seed gives nested samples. Ids must be unique. Rows without an id are ordered by a hash
+of the whole row, so they are sampled too; equal rows without an id are taken together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ def shuffle_key(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_column).cast("string")))
 
 
+def row_key(frame: DataFrame, id_column: str, seed: int) -> Column:
+    """The row's place in the seeded order: by its id, or by all its columns if it has none."""
+    whole = F.md5(F.concat(F.lit(f"{seed}-no-id-"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]))))
+    return F.coalesce(shuffle_key(id_column, seed), whole)
+
+
 def share_rounded_down(weight: float) -> Take:
     return lambda n: F.floor(n.cast("double") * weight)
 
@@ -34,7 +41,7 @@ def share_rounded_up(weight: float) -> Take:
 
 def cutoff_hashes(frame: DataFrame, id_column: str, seed: int, takes: dict[str, Take]) -> DataFrame:
     """``(label, cutoff)``: the hash of the last row taken, per label; no row when none is taken."""
-    known = frame.where(F.col(id_column).isNotNull()).select(shuffle_key(id_column, seed).alias("hash"))
+    known = frame.select(row_key(frame, id_column, seed).alias("hash"))
     # Never null, or Spark would add a null filter to the join that computes the hash twice.
     hashes = known.withColumn("prefix", F.coalesce(F.substring("hash", 1, PREFIX_DIGITS), F.lit("")))
     # At most MOST_PREFIXES rows, whatever the input, so one ordered window is enough.
@@ -63,29 +70,33 @@ def cutoff_hashes(frame: DataFrame, id_column: str, seed: int, takes: dict[str,
     )
 
 
-def _taken(cutoffs: DataFrame, labels: list[str], id_column: str, seed: int) -> dict[str, Column]:
+def _taken(frame: DataFrame, cutoffs: DataFrame, labels: list[str], id_column: str, seed: int) -> dict[str, Column]:
     """Per label: is this row taken? All cutoffs come from one scalar subquery."""
     of_label = lambda name: F.max(F.when(F.col("label") == name, F.col("cutoff"))).alias(name)
     found = cutoffs.select(F.struct(*[of_label(name) for name in labels])).scalar()
-    key = shuffle_key(id_column, seed)
+    key = row_key(frame, id_column, seed)
     return {name: F.coalesce(key <= found.getField(name), F.lit(False)) for name in labels}
 
 
 def subsample(frame: DataFrame, id_column: str, seed: int, weight: float) -> DataFrame:
-    """Exactly ``int(rows * weight)`` rows."""
+    """Exactly ``int(rows * weight)`` rows; a weight of 1 gives the frame itself."""
+    if not 0 <= weight <= 1:
+        raise ValueError(f"a weight lies between 0 and 1, not at {weight}")
+    if weight == 1:
+        return frame
     cutoffs = cutoff_hashes(frame, id_column, seed, {"taken": share_rounded_down(weight)})
-    return frame.where(_taken(cutoffs, ["taken"], id_column, seed)["taken"])
+    return frame.where(_taken(frame, cutoffs, ["taken"], id_column, seed)["taken"])
 
 
 def shuffled(frame: DataFrame, id_column: str, seed: int) -> DataFrame:
     """Rows in seeded random order: a range-partitioned global sort."""
-    return frame.orderBy(shuffle_key(id_column, seed))
+    return frame.orderBy(row_key(frame, id_column, seed))
 
 
 def with_split(frame: DataFrame, id_column: str, seed: int, test_share: float) -> DataFrame:
     """Adds ``split``: ``test`` for exactly ``ceil(rows * test_share)`` rows, else ``train``."""
     cutoffs = cutoff_hashes(frame, id_column, seed, {"test": share_rounded_up(test_share)})
-    is_test = _taken(cutoffs, ["test"], id_column, seed)["test"]
+    is_test = _taken(frame, cutoffs, ["test"], id_column, seed)["test"]
     return frame.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
@@ -103,6 +114,6 @@ def with_smallest_subset(frame: DataFrame, id_column: str, seed: int, halvings:
     takes = {f"step{step}": share_rounded_down(math.ldexp(1.0, -step)) for step in range(1, halvings + 1)}
     cutoffs = cutoff_hashes(frame, id_column, seed, takes)
     total = F.lit(0)
-    for holds in _taken(cutoffs, list(takes), id_column, seed).values():
+    for holds in _taken(frame, cutoffs, list(takes), id_column, seed).values():
         total = total + holds.cast("int")
     return frame.withColumn("subset", total)

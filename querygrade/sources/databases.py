@@ -9,18 +9,16 @@ CATALOG_SCHEMA = "db_id string, table_name string, column_name string, ordinal i
 
 
 def table_paths(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Table name to path, for every Parquet file or folder right under a database folder."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(folder)
-        .select("path")
-    )
-    marker = "/" + folder.rstrip("/").split("/")[-1] + "/"
-    entry = F.substring_index(F.substring_index("path", marker, -1), "/", 1).alias("entry")
-    names = sorted(row.entry for row in files.select(entry).distinct().toLocalIterator())
-    return {name.removesuffix(".parquet"): f"{folder.rstrip('/')}/{name}" for name in names}
+    """Table name to path, for every Parquet file and every folder right under a database folder; one level is listed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    entries = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    found = {}
+    for entry in entries:
+        name = entry.getPath().getName()
+        if not name.startswith(("_", ".")) and (entry.isDirectory() or name.endswith(".parquet")):
+            found[name.removesuffix(".parquet")] = f"{folder.rstrip('/')}/{name}"
+    return dict(sorted(found.items()))
 
 
 def attach_database(spark: SparkSession, folder: str) -> SparkSession:
@@ -31,7 +29,7 @@ def attach_database(spark: SparkSession, folder: str) -> SparkSession:
     session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     session.conf.set("spark.sql.maxMetadataStringLength", "100000")
     for name, path in table_paths(spark, folder).items():
-        session.read.parquet(path).createOrReplaceTempView(f"`{name}`" if "-" in name else name)
+        session.read.parquet(path).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     return session
 

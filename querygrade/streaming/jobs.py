@@ -34,9 +34,9 @@ def score_stream(
 
 
 def complete_groups(answers: DataFrame, group: str, members: int) -> tuple[DataFrame, DataFrame]:
-    """Answers of groups that have all members, and the rest to wait for."""
-    sizes = answers.groupBy(group).agg(F.count(F.lit(1)).alias("arrived"))
-    sized = answers.join(sizes, group)
+    """Answers of groups that have all members, and the rest to wait for. Answers without a group are one group."""
+    sizes = answers.groupBy(F.col(group).alias("sizes_of")).agg(F.count(F.lit(1)).alias("arrived"))
+    sized = answers.join(sizes, F.col(group).eqNullSafe(F.col("sizes_of"))).drop("sizes_of")
     full = F.col("arrived") >= members
     return sized.where(full).drop("arrived"), sized.where(~full).drop("arrived")
 
@@ -79,18 +79,30 @@ def assemble_stream_until(
     deltas: DataFrame, keys: list[str], arrival: str, lateness: str, window: str, folder: str, once: bool = True
 ) -> StreamingQuery:
     """As ``assemble_stream`` for endless streams: a run is written and dropped from state when
-    the watermark passes its arrival window, so state stays bounded. Later pieces are ignored."""
+    the watermark passes its arrival window, so state stays bounded. A run that arrives over several
+    windows is put together from all of them; ``late_pieces`` counts the pieces that came after theirs."""
     chunked = deltas.withWatermark(arrival, lateness).withColumn("chunk", F.shiftright("seq", CHUNK_BITS))
     pieces = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("t"))))
     runs = chunked.groupBy(*keys, "chunk", F.window(arrival, window)).agg(
-        F.array_join(F.transform(pieces, lambda p: p.t), "").alias("delta")
+        pieces.alias("pieces")
     )
     return _start(runs, "append", folder, _replace_batch(folder), once)
 
 
+def late_pieces(query: StreamingQuery) -> int:
+    """Pieces that a query of ``assemble_stream_until`` has ignored because their window was already written."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def read_assembled(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """``(*keys, text)`` from the latest state of every run."""
+    """``(*keys, text)`` from the latest state of every run, or from all its windows in order of sequence."""
     runs = spark.read.parquet(f"{folder}/rows")
+    if "pieces" in runs.columns:
+        # A run has at most 2^CHUNK_BITS pieces, whatever the number of windows.
+        latest = runs.groupBy(*keys, "chunk", "window").agg(F.max_by("pieces", "batch").alias("pieces"))
+        ordered = F.sort_array(F.flatten(F.collect_list("pieces")))
+        joined = latest.groupBy(*keys, "chunk").agg(F.array_join(F.transform(ordered, lambda p: p.t), "").alias("delta"))
+        return join_in_order(joined, keys, "chunk", "delta").withColumnRenamed("delta", "text")
     latest = runs.groupBy(*keys, "chunk").agg(F.max_by("delta", "batch").alias("delta"))
     return join_in_order(latest, keys, "chunk", "delta").withColumnRenamed("delta", "text")
 

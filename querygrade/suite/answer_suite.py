@@ -200,13 +200,13 @@ def not_english(spark, sf_dir):
 
 NOT_ENGLISH_SQL = f"""
 WITH {ANSWERS_SQL},
-labelled AS (SELECT lang, left(md5(unnest(regexp_extract_all(lower(text), '\\p{{L}}+'))), 4) AS bucket FROM documents),
-profile AS (SELECT bucket, {", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGUAGES)} FROM labelled GROUP BY bucket),
-mass AS (SELECT {", ".join(f"ln(sum({x}) + 65536) AS {x}" for x in LANGUAGES)} FROM profile),
+labelled AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents),
+profile AS (SELECT word, {", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGUAGES)} FROM labelled GROUP BY word),
+mass AS (SELECT {", ".join(f"ln(sum({x}) + count(*)) AS {x}" for x in LANGUAGES)} FROM profile),
 prose AS (SELECT doc_id, length({_strip_sql('text')}) < 5 AS short, regexp_replace(text, '(?s)```sql.*?```', '', 'g') AS t FROM answers),
-words AS (SELECT doc_id, left(md5(unnest(regexp_extract_all(lower(t), '\\p{{L}}+'))), 4) AS bucket FROM prose WHERE NOT short),
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) AS word FROM prose WHERE NOT short),
 sums AS (SELECT w.doc_id, {", ".join(f"sum(coalesce(ln(p.{x} + 1.0), 0)) - count(*) * any_value(m.{x}) AS {x}" for x in LANGUAGES)}
-         FROM words w LEFT JOIN profile p USING (bucket) CROSS JOIN mass m GROUP BY w.doc_id)
+         FROM words w LEFT JOIN profile p USING (word) CROSS JOIN mass m GROUP BY w.doc_id)
 SELECT p.doc_id, CASE WHEN s.en IS NOT NULL AND 1.0 / ({" + ".join(f"exp(least(s.{x} - s.en, 700))" for x in LANGUAGES)}) < 0.9
        THEN -1.0 ELSE 0.0 END::DOUBLE AS penalty
 FROM prose p LEFT JOIN sums s USING (doc_id)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querygrade.functions.cells import canonical_cell
-from querygrade.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 # --- answers: one model answer per document, in nine shapes ---------------------------------
@@ -108,7 +107,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("pair_id") % 6
     bucket = canonical_cell(F.floor(F.col("o_totalprice") / 100000), T.LongType())
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    gold = spread(orders).select(
+    gold = orders.select(
         F.col("o_custkey").alias("pair_id"),
         F.lit("gold").alias("side"),
         F.col("o_orderkey").alias("row_idx"),

@@ -15,35 +15,33 @@ from querygrade.suite.inputs import rounded, table
 # The same text runs here and in the check engine.
 SHAPES = {
     "wl_cte_window_union": """
-WITH li AS (SELECT l.l_orderkey, (l.l_quantity * l.l_extendedprice) AS line_total FROM lineitem l),
-     cust_totals AS (SELECT o.o_custkey, SUM(li.line_total) AS revenue,
-                            ROW_NUMBER() OVER (PARTITION BY o.o_custkey ORDER BY SUM(li.line_total) DESC) AS rn
-                     FROM orders o JOIN li ON li.l_orderkey = o.o_orderkey GROUP BY o.o_custkey)
-SELECT c.c_name, ROUND(ct.revenue, 2) AS revenue FROM customer c JOIN cust_totals ct ON ct.o_custkey = c.c_custkey WHERE ct.rn = 1
+WITH shipped AS (SELECT l_suppkey, l_returnflag, SUM(l_quantity) AS units FROM lineitem GROUP BY l_suppkey, l_returnflag),
+     placed AS (SELECT s.s_name, h.l_returnflag, h.units,
+                       DENSE_RANK() OVER (PARTITION BY h.l_returnflag ORDER BY h.units DESC, h.l_suppkey) AS place
+                FROM shipped h JOIN supplier s ON s.s_suppkey = h.l_suppkey)
+SELECT s_name, l_returnflag, ROUND(units, 2) AS units FROM placed WHERE place <= 3
 UNION ALL
-SELECT c.c_name, 0.0 AS revenue FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL
-ORDER BY revenue DESC, c_name ASC""",
+SELECT 'everyone', l_returnflag, ROUND(SUM(units), 2) FROM shipped GROUP BY l_returnflag""",
     "wl_exists": """
-SELECT c.c_custkey, c.c_name FROM customer c
-WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) ORDER BY c.c_custkey""",
+SELECT s.s_suppkey, s.s_nationkey FROM supplier s
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal < -900)""",
     "wl_distinct_topk": """
-SELECT DISTINCT c.c_name FROM customer c LEFT JOIN nation "nat" ON c.c_nationkey = "nat".n_nationkey
-WHERE ("nat".n_name IS NOT NULL OR c.c_name LIKE 'A%') ORDER BY c.c_name LIMIT 5""",
+SELECT DISTINCT p.p_brand, "large".p_size FROM part p
+JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 40) "large" ON "large".p_partkey = p.p_partkey
+WHERE p.p_retailprice > 1000 OR p.p_type LIKE '%BRASS' ORDER BY p.p_brand DESC, "large".p_size LIMIT 7""",
     "wl_group_having": """
-SELECT c.c_mktsegment, COUNT(DISTINCT o.o_orderkey) AS num_orders FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey
-GROUP BY c.c_mktsegment HAVING COUNT(*) >= 1 ORDER BY num_orders DESC, c.c_mktsegment ASC""",
+SELECT n.n_name, COUNT(DISTINCT c.c_mktsegment) AS segments, MIN(c.c_acctbal) AS lowest
+FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING MAX(c.c_acctbal) > 5000""",
     "wl_cross_scalar": """
-SELECT p.p_partkey, p.p_name, (SELECT COUNT(l_extendedprice) FROM lineitem) AS n_prices
-FROM part p CROSS JOIN (SELECT 1 AS one) t ORDER BY p.p_name""",
-    "wl_order_length": "SELECT p_name, p_type FROM part ORDER BY LENGTH(p_name) DESC, p_partkey LIMIT 1",
+SELECT r.r_name, n.n_name, (SELECT MAX(s_acctbal) FROM supplier) AS richest
+FROM region r CROSS JOIN (SELECT n_name FROM nation WHERE n_regionkey = 2) n""",
+    "wl_order_length": "SELECT c_name, c_mktsegment FROM customer ORDER BY LENGTH(c_mktsegment), c_custkey DESC LIMIT 4",
     "wl_cte_max": """
-WITH recent(u_id, last_t) AS (SELECT o_custkey, MAX(o_orderdate) FROM orders GROUP BY o_custkey)
-SELECT c.c_name, o.o_totalprice, CAST(r.last_t AS DATE) AS last_day
-FROM customer AS c JOIN orders o ON o.o_custkey = c.c_custkey JOIN recent r ON r.u_id = c.c_custkey
-WHERE o.o_totalprice > 100 ORDER BY r.last_t DESC""",
+WITH fullest(ship_day, most) AS (SELECT CAST(l_shipdate AS DATE), MAX(l_quantity) FROM lineitem GROUP BY CAST(l_shipdate AS DATE))
+SELECT COUNT(*) AS days, SUM(most) AS units FROM fullest WHERE most >= 49""",
     "wl_join_count": """
-SELECT COUNT(*) AS n FROM "lineitem" JOIN "orders" ON "lineitem"."l_orderkey" = "orders"."o_orderkey"
-WHERE "lineitem"."l_returnflag" = 'R' AND "lineitem"."l_linestatus" = 'F' AND "orders"."o_orderpriority" = '1-URGENT'""",
+SELECT COUNT(*) AS n FROM "customer" INNER JOIN "nation" ON "customer"."c_nationkey" = "nation"."n_nationkey"
+WHERE "nation"."n_regionkey" = 1 AND "customer"."c_acctbal" BETWEEN 0 AND 2500""",
 }
 
 

@@ -127,3 +127,14 @@ def test_keys_are_bounded_and_distinct(spark):
     keys = [r.k for r in frame.select(row_key(F.col("cells")).alias("k")).collect()]
     assert len(set(keys)) == 5 and max(map(len, keys)) <= 64
     assert frame.select(cell_key(F.col("cells")[0]).alias("k")).distinct().count() == 5
+
+
+def test_decimals_keep_their_digits(spark):
+    from pyspark.sql import types as T
+
+    from querygrade.functions.cells import canonical_cell
+
+    frame = spark.createDataFrame([("12345678901234567890.1234567",), ("12345678901234567891.1234567",), ("1.50",), ("100",), ("0",)], "s string")
+    kind = T.DecimalType(30, 8)
+    got = [r[0] for r in frame.select(canonical_cell(F.col("s").cast(kind), kind)).collect()]
+    assert got == ["12345678901234567890.123457", "12345678901234567891.123457", "1.5", "100.0", "0.0"]

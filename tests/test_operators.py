@@ -31,10 +31,27 @@ def test_subsample_takes_the_smallest_hashes(spark):
     assert [r.id for r in sampling.shuffled(spark.range(200), "id", 9).collect()] == order
 
 
-def test_rows_without_id_are_not_taken(spark):
-    frame = spark.range(10).union(spark.createDataFrame([(None,)] * 10, "id bigint"))
-    taken = [r.id for r in sampling.subsample(frame, "id", 1, 1.0).collect()]
-    assert sorted(taken) == list(range(10))
+def test_rows_without_id_have_a_place(spark):
+    frame = spark.createDataFrame([(i if i % 3 else None, i) for i in range(30)], "id int, v int")
+    assert sampling.subsample(frame, "id", 1, 1.0).count() == 30
+    half = [r.v for r in sampling.subsample(frame, "id", 1, 0.5).collect()]
+    assert len(half) == 15 and any(v % 3 == 0 for v in half)
+    for weight in (-0.1, 1.5):
+        with pytest.raises(ValueError):
+            sampling.subsample(frame, "id", 1, weight)
+
+
+def test_scaled_rewards_keep_rows_without_group(spark):
+    frame = spark.createDataFrame([(1, 1.0), (1, 3.0), (None, 5.0), (None, 7.0)], "prompt int, reward double")
+    got = sorted(r.scaled for r in rewards.scale_rewards(frame, "reward", "prompt", "none").collect())
+    assert got == [-1.0, -1.0, 1.0, 1.0]
+
+
+def test_words_stay_apart_in_a_large_vocabulary(spark):
+    words = spark.range(70_000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    known = words.withColumn("lang", F.when(F.col("text").endswith("a"), "en").otherwise("fr"))
+    profile = language.language_profile(known, "text", "lang", ["en", "fr"])
+    assert profile.count() == 70_000 and profile.where("en > 0 and fr > 0").count() == 0
 
 
 def test_split_is_disjoint_and_complete(spark):

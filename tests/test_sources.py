@@ -8,7 +8,7 @@ import pytest
 
 from querygrade import session
 from querygrade.operators import cache
-from querygrade.sources import cache_files, questions, sinks
+from querygrade.sources import cache_files, databases, questions, sinks
 
 
 def test_read_questions(spark, tmp_path):
@@ -87,12 +87,16 @@ def test_shared_dir(spark):
         session.shared_dir(on_cluster({"spark.master": "yarn"}), "x")
 
 
-def test_spread(spark):
-    wide, narrow = spark.range(0, 100, 1, 16), spark.range(0, 100, 1, 1)
-    assert session.spread(wide) is wide
-    assert session.spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 @pytest.mark.parametrize("n, name", [(1, "greedy"), (2, "majority_voting")])
 def test_strategy(n, name):
     assert sinks.strategy_name(n) == name
+
+
+def test_tables_right_under_a_folder(spark, tmp_path):
+    root = tmp_path / "shop"
+    for name in ("shop", "sales orders", "it-ems"):
+        spark.range(3).write.parquet(str(root / name))
+    found = databases.table_paths(spark, str(root))
+    assert list(found) == ["it-ems", "sales orders", "shop"]
+    session = databases.attach_database(spark, str(root))
+    assert session.sql("SELECT count(*) FROM `sales orders` JOIN shop USING (id)").first()[0] == 3

@@ -43,11 +43,16 @@ def test_assembly_with_watermark(spark, tmp_path):
     import datetime
 
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
-    parts = [[(1, 0, 1, "b", at(0)), (1, 0, 0, "a", at(0))], [(2, 0, 0, "x", at(30))], [(3, 0, 0, "z", at(59))]]
+    parts = [
+        [(1, 0, 1, "b", at(0)), (1, 0, 0, "a", at(0))], [(1, 0, 3, "d", at(12)), (1, 0, 2, "c", at(12))],
+        [(2, 0, 0, "x", at(30))], [(1, 0, 4, "late", at(1)), (3, 0, 0, "z", at(59))],
+    ]
     stream, _ = source(spark, tmp_path / "in", DELTA, parts)
-    jobs.assemble_stream_until(stream, ["request", "choice"], "arrived", "1 minute", "10 minutes", str(tmp_path / "out")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "rows"))
-    assert {(r.request, r.delta) for r in got.collect()} == {(1, "ab"), (2, "x")}
+    query = jobs.assemble_stream_until(stream, ["request", "choice"], "arrived", "1 minute", "10 minutes", str(tmp_path / "out"))
+    query.awaitTermination()
+    got = jobs.read_assembled(spark, str(tmp_path / "out"), ["request", "choice"])
+    assert {(r.request, r.text) for r in got.collect()} == {(1, "abcd"), (2, "x")}
+    assert jobs.late_pieces(query) == 1
 
 
 def test_scores(spark, tmp_path):

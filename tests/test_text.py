@@ -12,9 +12,9 @@ from querygrade.functions import formats, scores, text
 
 FORM = "<think>\nwhy\n</think>\n<answer>\nSELECT 1\n</answer>"
 FULL = (
-    "\n   <reasoning>\nOrders and `store locations` are joined.\n</reasoning>\n\n<tables>\nsales orders, store locations\n</tables>\n\n"
-    "<columns>\nsales orders.`order quantity`, sales orders._storeid, store locations.county\n</columns>\n\n"
-    "<checks>\n1. read only\n</checks>\n\n<answer>\nSELECT COUNT(*) FROM `sales orders`;\n</answer>\n    "
+    "<reasoning>\nBeds of `garden plots` are counted by kind.\n</reasoning>\n<tables>\ngarden plots, seed kinds\n</tables>\n"
+    "<columns>\ngarden plots.`bed count`, garden plots._kind, seed kinds.label\n</columns>\n<checks>\n1. one row a kind\n</checks>\n"
+    "<answer>\nSELECT label FROM `seed kinds`\n</answer>\n"
 )
 
 
@@ -75,9 +75,9 @@ def test_two_section_form(spark):
 def test_full_form_and_recall(spark):
     swapped = FULL.replace("tables>", "T>").replace("columns>", "tables>").replace("T>", "columns>")
     assert column(spark, formats.full_form_score(T), [FULL, FULL + "x", FORM, swapped]) == [1, 0, 0, 0]
-    tables = [(FULL, ["Sales Orders ", "store locations"]), (FULL, ["other"]), (FULL, []), (FORM, ["a"]), (FULL, None)]
+    tables = [(FULL, ["Garden Plots ", "seed kinds"]), (FULL, ["other"]), (FULL, []), (FORM, ["a"]), (FULL, None)]
     assert column(spark, scores.table_recall(T, F.col("truth")), tables, "text string, truth array<string>") == [1, 0, 0, 0, 0]
-    columns = [(FULL, ["sales orders.order quantity", "store locations.county", "x.y", "x.y"])]
+    columns = [(FULL, ["garden plots.bed count", "seed kinds.label", "x.y", "x.y"])]
     assert column(spark, scores.column_recall(T, F.col("truth")), columns, "text string, truth array<string>") == [pytest.approx(2 / 3)]
 
 
@@ -100,10 +100,12 @@ def test_two_section_form_against_a_plain_regex(spark, rows):
     assert column(spark, formats.format_score(T, "think"), rows) == want
 
 
-def _penalty(seq, n=5, threshold=0.5):
-    seq = [t for t in seq if t != -100]
-    grams = [tuple(seq[i : i + n]) for i in range(len(seq) - n + 1)]
-    return -1.0 if grams and len(set(grams)) / len(grams) < threshold else 0.0
+def _penalty(tokens):
+    """Five tokens in a row that come up again, against all runs of five; the padding mark -100 is no token."""
+    shown = [str(t) for t in tokens if t != -100]
+    runs = [" ".join(shown[k : k + 5]) for k in range(max(len(shown) - 4, 0))]
+    repeated = sum(run in runs[:k] for k, run in enumerate(runs))
+    return -1.0 if 2 * repeated > len(runs) else 0.0
 
 
 @settings(max_examples=10, deadline=None)

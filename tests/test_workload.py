@@ -46,8 +46,8 @@ def test_catalog(catalog):
 
 
 def test_views_are_private(spark, session):
-    assert session.sql("SELECT count(*) FROM customers").first()[0] == 4
-    assert not spark.catalog.tableExists("customers")
+    assert session.sql("SELECT count(*) FROM members").first()[0] == 4
+    assert not spark.catalog.tableExists("members")
 
 
 @pytest.mark.parametrize("name", list(shop.QUERIES))
@@ -67,20 +67,20 @@ def test_lineage_by_text(spark, catalog):
 def test_lineage_edges(spark, catalog):
     tables = databases.catalog_tables(catalog)
     queries = {
-        "literals": "SELECT 'from orders o' FROM customers -- join orders\n WHERE city = 'it''s from products'",
-        "commas": "SELECT c.name FROM customers c , orders AS o, nowhere WHERE o.customer_id = c.id",
-        "upper": "SELECT NAME FROM CUSTOMERS",
+        "literals": "SELECT 'from plots o' FROM members -- join plots\n WHERE town = 'it''s from crops'",
+        "commas": "SELECT c.name FROM members c , plots AS o, nowhere WHERE o.member_id = c.id",
+        "upper": "SELECT NAME FROM MEMBERS",
         "none": "SELECT 1",
-        "cte_columns": "WITH recent(u, t) AS (SELECT customer_id, MAX(order_date) FROM orders GROUP BY customer_id) SELECT r.u FROM recent r",
-        "schema": "SELECT total FROM main.orders",
+        "cte_columns": "WITH recent(u, t) AS (SELECT member_id, MAX(leased) FROM plots GROUP BY member_id) SELECT r.u FROM recent r",
+        "schema": "SELECT rent FROM main.plots",
         "null": None,
     }
     assert grouped(lineage.used_columns(log_of(spark, queries), tables)) == {
-        "literals": {"customers": {"city"}},
-        "commas": {"customers": {"name", "id"}, "orders": {"customer_id"}},
-        "upper": {"customers": {"name"}},
-        "cte_columns": {"orders": {"customer_id", "order_date"}},
-        "schema": {"orders": {"total"}},
+        "literals": {"members": {"town"}},
+        "commas": {"members": {"name", "id"}, "plots": {"member_id"}},
+        "upper": {"members": {"name"}},
+        "cte_columns": {"plots": {"member_id", "leased"}},
+        "schema": {"plots": {"rent"}},
     }
     named = {(r.query_id, r.table_name) for r in lineage.mentioned_tables(log_of(spark, queries)).collect()}
     assert ("commas", "nowhere") in named and ("cte_columns", "recent") not in named
@@ -89,23 +89,23 @@ def test_lineage_edges(spark, catalog):
 def test_stars(spark, catalog):
     tables = databases.catalog_tables(catalog)
     queries = {
-        "bare": "SELECT *, c.name FROM customers c",
-        "one": "SELECT c.*, c.name, o.total FROM customers c JOIN orders o ON o.customer_id = c.id",
-        "cte": "WITH x AS (SELECT id FROM orders) SELECT x.* FROM x",
-        "product": "SELECT qty * price FROM order_items",
-        "count": "SELECT COUNT(*) FROM orders",
+        "bare": "SELECT *, c.name FROM members c",
+        "one": "SELECT c.*, c.name, o.rent FROM members c JOIN plots o ON o.member_id = c.id",
+        "cte": "WITH x AS (SELECT id FROM plots) SELECT x.* FROM x",
+        "product": "SELECT plants * seed_cost FROM beds",
+        "count": "SELECT COUNT(*) FROM plots",
     }
     assert grouped(lineage.used_columns_with_stars(log_of(spark, queries), tables)) == {
-        "bare": {None: {"*"}, "customers": {"name"}},
-        "one": {"customers": {"*"}, "orders": {"total", "customer_id"}},
-        "cte": {"x": {"*"}, "orders": {"id"}},
-        "product": {"order_items": {"qty", "price"}},
+        "bare": {None: {"*"}, "members": {"name"}},
+        "one": {"members": {"*"}, "plots": {"rent", "member_id"}},
+        "cte": {"x": {"*"}, "plots": {"id"}},
+        "product": {"beds": {"plants", "seed_cost"}},
         "count": {None: {"*"}},
     }
 
 
 def test_lineage_by_plan(spark, session):
-    queries = {**shop.QUERIES, "broken": "SELECT nothing FROM customers", "write": "DROP TABLE customers"}
+    queries = {**shop.QUERIES, "broken": "SELECT nothing FROM members", "write": "DROP TABLE members"}
     plans = plan_lineage.plans_of(spark, log_of(spark, queries), session)
     found = plan_lineage.lineage_of_plans(plans)
     failed = {r.query_id for r in found.where("status <> 'ok'").collect()}
@@ -121,10 +121,10 @@ def test_lineage_by_plan(spark, session):
 
 def test_run_workload(spark, session, tmp_path):
     queries = [
-        "SELECT id, total FROM orders ORDER BY total DESC;",
-        "SELECT id FROM orders WHERE id < 0",
-        "SELECT missing FROM orders",
-        "DELETE FROM orders",
+        "SELECT id, rent FROM plots ORDER BY rent DESC;",
+        "SELECT id FROM plots WHERE id < 0",
+        "SELECT missing FROM plots",
+        "DELETE FROM plots",
         "SELECT 1; SELECT 2",
         "SELECT 1 AS a, 2 AS a",
         "SELECT reflect('java.lang.System', 'exit', '0')",
@@ -145,7 +145,7 @@ def test_run_workload(spark, session, tmp_path):
     assert got["shop", queries[8]].error_class == "DIVIDE_BY_ZERO"
     assert got["other", "SELECT 1"].error_class == "UNKNOWN_DATABASE"
     first = [r.cells for r in results.where(F.col("hash_key") == got["shop", queries[0]].hash_key).orderBy("row_idx").collect()]
-    assert first == [["1003.0", "250.0"], ["1000.0", "129.9"], ["1001.0", "49.99"], ["1002.0", "15.5"]]
+    assert first == [["13.0", "120.0"], ["11.0", "80.0"], ["14.0", "60.25"], ["12.0", "45.5"]]
 
     again, _ = workload.run_workload(spark, work, {"shop": session}, str(tmp_path / "second"), cache=executions)
     assert again.count() == 0
@@ -153,7 +153,7 @@ def test_run_workload(spark, session, tmp_path):
 
 def test_time_limit(spark, session, tmp_path):
     slow = "SELECT count(*) FROM range(100000000) a WHERE sha2(sha2(cast(a.id AS string), 512), 512) = 'x'"
-    work = spark.createDataFrame([("shop", slow, 1.0), ("shop", "SELECT count(*) FROM orders", 60.0)], WORK)
+    work = spark.createDataFrame([("shop", slow, 1.0), ("shop", "SELECT count(*) FROM plots", 60.0)], WORK)
     executions, _ = workload.run_workload(spark, work, {"shop": session}, str(tmp_path), parallel=2)
     got = {r.status: r for r in executions.collect()}
     assert set(got) == {"ok", "timeout"} and got["timeout"].error_class == "TIME_LIMIT" and got["timeout"].elapsed_ms < 30_000
@@ -161,10 +161,10 @@ def test_time_limit(spark, session, tmp_path):
 
 def test_evaluation(spark, session, tmp_path):
     questions = spark.createDataFrame(
-        [(1, "shop", "SELECT id FROM orders", 1.0), (2, "shop", "SELECT name FROM customers", None), (3, "shop", "SELECT nothing", -1.0)],
+        [(1, "shop", "SELECT id FROM plots", 1.0), (2, "shop", "SELECT name FROM members", None), (3, "shop", "SELECT nothing", -1.0)],
         "question_id int, db_id string, SQL string, sql_execution_time double",
     )
-    answers = {(1, 0): "```sql\nSELECT id FROM orders ORDER BY id DESC\n```", (1, 1): "SELECT oops", (2, 0): "SELECT name FROM customers", (2, 1): "SELECT name FROM customers", (3, 0): "SELECT 1", (3, 1): "SELECT 1"}
+    answers = {(1, 0): "```sql\nSELECT id FROM plots ORDER BY id DESC\n```", (1, 1): "SELECT oops", (2, 0): "SELECT name FROM members", (2, 1): "SELECT name FROM members", (3, 0): "SELECT 1", (3, 1): "SELECT 1"}
     rows = [(q, e, 0, "org/m-1.5", "data/dev.json", text) for (q, e), text in answers.items()]
     predictions = spark.createDataFrame(rows, "question_id int, experiment int, sample_idx int, model_name string, dataset_name string, text string")
     done = evaluate.evaluate_predictions(spark, questions, predictions, {"shop": session}, folder=str(tmp_path))
@@ -177,10 +177,19 @@ def test_evaluation(spark, session, tmp_path):
 
 def test_evaluation_with_votes(spark, session, tmp_path):
     """Two of three samples agree on a wrong result, so the wrong one is scored."""
-    questions = spark.createDataFrame([(1, "shop", "SELECT id FROM orders", 1.0)], "question_id int, db_id string, SQL string, sql_execution_time double")
-    texts = ["SELECT id FROM orders", "SELECT name FROM customers", "SELECT name FROM customers ORDER BY name", "SELECT oops"]
+    questions = spark.createDataFrame([(1, "shop", "SELECT id FROM plots", 1.0)], "question_id int, db_id string, SQL string, sql_execution_time double")
+    texts = ["SELECT id FROM plots", "SELECT name FROM members", "SELECT name FROM members ORDER BY name", "SELECT oops"]
     rows = [(1, 0, i, "m", "d", t) for i, t in enumerate(texts)]
     predictions = spark.createDataFrame(rows, "question_id int, experiment int, sample_idx int, model_name string, dataset_name string, text string")
     done = evaluate.evaluate_predictions(spark, questions, predictions, {"shop": session}, 4, str(tmp_path))
     assert {r.sample_idx for r in done.scores.collect()} == {1}
     assert {r.score_name: r.score for r in done.summary.collect()}["bird_ex"] == 0.0
+
+
+def test_words_that_are_no_sources(spark, session):
+    log = spark.createDataFrame(
+        [("a", "SELECT EXTRACT(year FROM leased) FROM plots"), ("b", "SELECT trim(both FROM name) FROM members WHERE town IS NOT DISTINCT FROM name"), ("c", "SELECT substring(label from 2) FROM crops")],
+        "query_id string, sql string",
+    )
+    got = {(r.query_id, r.table_name) for r in lineage.mentioned_tables(log).collect()}
+    assert got == {("a", "plots"), ("b", "members"), ("c", "crops")}
