@@ -26,7 +26,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labelled ones, scores below its limit."""
     ship_package(spark)
-    rows = quality_model.with_features(docs.select("doc_id", "text")).drop("text")
+    rows = stored(quality_model.with_features(docs.select("doc_id", "text")).drop("text"), "features")
     model = quality_model.learn(rows.where(F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
     scored = quality_model.with_scores(quality_model.with_features(docs), model)
     return scored.where(F.col("predicted") == 1).select(docs.columns)

@@ -79,17 +79,48 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def connected_classes(links: DataFrame, left: str, right: str, label: str) -> DataFrame:
-    """(node, label): the smallest node reachable over the links, for every node that has one.
+#: Links that one task can hold with ease (16 bytes each); more of them are classified by rounds of joins.
+ONE_TASK_LINKS = 1 << 20
 
-    Alternates between hanging every neighbour on the smallest one of its larger and of its smaller
-    side until nothing changes; only a count and a checksum reach the driver. Every round reads and
-    writes a shared table. Hub nodes are combined with map-side minima and the join is split by
-    adaptive execution, so no task holds a whole class.
+
+def _union_find(batches):
+    """(node, class) of all nodes of the links of one partition: the smallest node reachable."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "class"])
+
+
+def connected_classes(links: DataFrame, left: str, right: str, most: int = ONE_TASK_LINKS) -> DataFrame:
+    """(node, class): the smallest node reachable over the links, for every node that has one.
+
+    Up to ``most`` links are classified in one task, which is quick and bounded. More of them by rounds that
+    hang every neighbour on the smallest one of its larger and of its smaller side until nothing changes; only a
+    count and a checksum reach the driver. Every round reads and writes a shared table, hub nodes are combined
+    with map-side minima and the join is split by adaptive execution, so no task holds a whole class.
     """
     a, b = F.col("a"), F.col("b")
     edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(a != b).distinct()
     edges = stored(edges, "links")
+    if edges.count() <= most:
+        return edges.coalesce(1).mapInArrow(_union_find, "node long, class long")
+    return _classes_by_rounds(edges)
+
+
+def _classes_by_rounds(edges: DataFrame) -> DataFrame:
+    """As ``connected_classes`` for a stored table of distinct links (a, b) with a > b."""
+    a, b = F.col("a"), F.col("b")
     seen = None
     while True:
         both = edges.select("a", "b").union(edges.select(b.alias("a"), a.alias("b")))
@@ -102,6 +133,6 @@ def connected_classes(links: DataFrame, left: str, right: str, label: str) -> Da
         if state == seen:
             break
         seen = state
-    smallest = edges.groupBy("a").agg(F.min("b").alias(label))
-    roots = edges.select(b.alias("node")).distinct().select("node", F.col("node").alias(label))
-    return smallest.select(a.alias("node"), label).union(roots)
+    smallest = edges.groupBy("a").agg(F.min("b").alias("class"))
+    roots = edges.select(b.alias("node")).distinct().select("node", F.col("node").alias("class"))
+    return smallest.select(a.alias("node"), "class").union(roots)

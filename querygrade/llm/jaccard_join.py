@@ -44,7 +44,7 @@ LONG_LIST = 64
 #: Bits of the sketch that rules out pairs before their sets are compared.
 SKETCH_BITS = 2048
 #: Most turns with hubs before the pairs that are left, and fewer links than one in so many open sets that end them.
-HUB_TURNS = 3
+HUB_TURNS = 2
 FEW_LINKS = 50
 #: Most pairs whose keys are sent to all tasks to pick their sets (8 bytes each); beyond, all sets are joined.
 SENT_KEYS = 1 << 18
@@ -354,11 +354,10 @@ def _plausible(n_a, sketch_a, n_b, sketch_b):
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (hub, key) that link, found by searching each hub among its keys."""
     pairs = stored(pairs, "pairs")
-    if pairs.count() <= SENT_KEYS:
-        named = pairs.select("key").union(pairs.select("hub")).distinct()
-        bodies = bodies.join(F.broadcast(named), "key", "left_semi")
-    hubs = bodies.select(F.col("key").alias("hub"), F.col("body").alias("hub_body"))
-    found = pairs.join(bodies, "key").join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(_search, "hub long, key long")
+    few = pairs.count() <= SENT_KEYS
+    named = lambda side: bodies.join(F.broadcast(pairs.select(F.col(side).alias("key")).distinct()), "key", "left_semi") if few else bodies
+    hubs = named("hub").select(F.col("key").alias("hub"), F.col("body").alias("hub_body"))
+    found = pairs.join(named("key"), "key").join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(_search, "hub long, key long")
     return stored(found, "linked")
 
 
@@ -370,29 +369,30 @@ def _list_pairs(lists: DataFrame, sketches: DataFrame) -> DataFrame:
         lists.alias("a").join(lists.alias("b"), "shingle").where(apart & _possible("a", "b"))
         .select(F.col("a.key").alias("hub"), F.col("b.key").alias("key")).distinct()
     )
+    return _pruned(pairs, sketches)
+
+
+def _pruned(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     hubs = sketches.select(F.col("key").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("size").alias("hub_size"))
     both = pairs.join(sketches, "key").join(hubs, "hub")
     return both.where(_plausible(F.col("hub_size"), F.col("hub_sketch"), F.col("size"), F.col("sketch"))).select("hub", "key")
 
 
-def _apart(a: str, b: str):
-    sketches = _plausible(F.col(f"{a}.size"), F.col(f"{a}.sketch"), F.col(f"{b}.size"), F.col(f"{b}.sketch"))
-    return (F.col(f"{a}.class") != F.col(f"{b}.class")) & sketches
-
-
-def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(lists: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
     """In each list and band of sizes, every set with the one that this turn's hash puts first, if not yet in one class.
 
     Bands lie half a step higher every other turn. The hash differs by list, so that a set which shares many lists with a class meets many of its members.
     """
-    first = F.min(F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("h"), "key", "size", "place", "class", "sketch")).alias("hub")
+    first = F.min(F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("h"), "key", "size", "class")).alias("hub")
     steps = F.log("size") / F.log(F.lit(SHARE[1] / SHARE[0]))
     lists = lists.withColumn("band", F.floor(steps + F.lit(turn % 2 / 2)).cast("int"))
     hubs = lists.groupBy("shingle", "band").agg(first)
-    return (
-        lists.alias("x").join(hubs, ["shingle", "band"]).where(_apart("hub", "x"))
+    near = SHARE[1] * F.least("hub.size", "x.size") >= SHARE[0] * F.greatest("hub.size", "x.size")
+    pairs = (
+        lists.alias("x").join(hubs, ["shingle", "band"]).where((F.col("hub.class") != F.col("x.class")) & near)
         .select(F.col("hub.key").alias("hub"), F.col("x.key").alias("key")).distinct()
     )
+    return _pruned(pairs, sketches)
 
 
 def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -425,22 +425,21 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     lengths = lists.groupBy("shingle").count()
     long = stored(lengths.where(F.col("count") > LONG_LIST).select("shingle"), "long")
     pairs = stored(_list_pairs(lists.join(long, "shingle", "left_anti").withColumn("class", F.col("key")), sketches), "pairs")
-    open_lists = lists.join(long, "shingle").join(sketches.drop("size"), "key").withColumn("class", F.col("key"))
-    open_lists = stored(open_lists, "open")
+    open_lists = stored(lists.join(long, "shingle").withColumn("class", F.col("key")), "open")
     partners = pairs.select("key").union(pairs.select("hub")).union(open_lists.select("key")).distinct()
     named = spark.sparkContext.broadcast(key_filter(spark, partners))
     bodies = stored(docs.select("text").mapInArrow(_bodies(named), "key long, body binary").dropDuplicates(["key"]), "bodies")
     links = _linked(pairs, bodies)
     for turn in range(HUB_TURNS):
-        classes = stored(connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key"), "classes")
+        classes = stored(connected_classes(links, "hub", "key").withColumnRenamed("node", "key"), "classes")
         open_lists = _open_lists(open_lists, classes)
-        found = _linked(_hub_pairs(open_lists, turn), bodies)
+        found = _linked(_hub_pairs(open_lists, sketches, turn), bodies)
         links = links.union(found)
         if found.count() * FEW_LINKS < open_lists.select("key").distinct().count():
             break
-    classes = stored(connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key"), "classes")
+    classes = stored(connected_classes(links, "hub", "key").withColumnRenamed("node", "key"), "classes")
     links = links.union(_linked(_list_pairs(_open_lists(open_lists, classes), sketches), bodies))
-    classes = connected_classes(links, "hub", "key", "class").withColumnRenamed("node", "key")
+    classes = connected_classes(links, "hub", "key").withColumnRenamed("node", "key")
     smallest = sets.where("key >= 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     tops = smallest.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     firsts = tops.groupBy("class").agg(F.min("first_id").alias("component_id"))
