@@ -1,4 +1,4 @@
-"""Evaluation of saved predictions: answer text in, summary out."""
+"""Evaluation of saved predictions: answer text in, summary and wide report out."""
 
 from __future__ import annotations
 
@@ -9,32 +9,84 @@ from pyspark.sql import functions as F
 
 from querygrade.functions.text import extract_sql, short_dataset_name, short_model_name, time_limit
 from querygrade.operators.compare import METRICS, compare_results, metrics_long, result_fingerprints, vote
-from querygrade.operators.curate import drop_bad_gold
-from querygrade.operators.report import summarise
+from querygrade.operators.cache import KEY, with_key
+from querygrade.operators.curate import drop_bad_gold, unmatched
+from querygrade.operators.report import summarise, wide_report
 from querygrade.plans.workload import result_pairs, run_workload
 from querygrade.session import shared_dir
 
 GOLD_SECONDS = 500.0
+KEYS = ["question_id", "experiment", "sample_idx", "model_name", "dataset_name"]
 
 
 @dataclass
 class Evaluation:
-    """Frames of one evaluation; all are lazy but the executed results."""
+    """Frames of one evaluation; all are lazy but the executed results.
+
+    ``lone_predictions`` and ``lone_questions`` have no partner and no score: look at them before trusting the rest.
+    """
 
     executions: DataFrame
     metrics: DataFrame
     scores: DataFrame
     summary: DataFrame
+    lone_predictions: DataFrame
+    lone_questions: DataFrame
+
+    def report(self, model: str, experiments: int) -> DataFrame:
+        """One row per question with prediction, SQL and metrics of each experiment; ``sources.sinks.save_report`` saves it."""
+        values = {"Pred": "text", "SQL": "pred_sql", **{name: name for name in METRICS}}
+        return wide_report(self.metrics, "question_id", model, experiments, values)
+
 
+def _gold(questions: DataFrame) -> DataFrame:
+    return drop_bad_gold(questions).select("question_id", "db_id", F.col("SQL").alias("gold_sql"))
 
-def _voted_pairs(pairs: DataFrame, rows: DataFrame, ran: DataFrame) -> DataFrame:
-    """``(pair_id)`` of the sample that wins the majority vote of its question and experiment."""
+
+def prediction_pairs(questions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Every prediction that has a question, with both queries; ``pair_id`` names the two queries, not the prediction."""
+    pred_sql = extract_sql(F.col("text"))
+    found = predictions.join(_gold(questions), "question_id").select(*KEYS, "db_id", "gold_sql", "text", pred_sql.alias("pred_sql"))
+    return found.withColumn("pair_id", F.sha2(F.to_json(F.struct("db_id", "gold_sql", "pred_sql")), 256))
+
+
+def _voted(pairs: DataFrame, rows: DataFrame, ran: DataFrame) -> DataFrame:
+    """The prediction that wins the majority vote of its question and experiment."""
     group = F.sha2(F.to_json(F.struct("question_id", "experiment", "model_name", "dataset_name")), 256)
     prints = result_fingerprints(rows.where(F.col("side") == "pred"), ["pair_id"])
-    marked = pairs.select("pair_id", group.alias("question_id"), "sample_idx").join(ran, "pair_id").join(prints, "pair_id", "left")
+    marked = pairs.withColumn("group", group).join(ran, "pair_id").join(prints, "pair_id", "left")
     mark = F.when(F.col("pred_ok"), F.coalesce("fingerprint", F.lit("0"))).alias("fingerprint")
-    winners = vote(marked.select("question_id", "sample_idx", mark))
-    return marked.join(winners, ["question_id", "sample_idx"], "left_semi").select("pair_id")
+    winners = vote(marked.select(F.col("group").alias("question_id"), "sample_idx", mark)).withColumnRenamed("question_id", "group")
+    return pairs.withColumn("group", group).join(winners, ["group", "sample_idx"], "left_semi").drop("group")
+
+
+def evaluate_results(
+    questions: DataFrame, predictions: DataFrame, executions: DataFrame, results: DataFrame, number_of_completions: int = 1
+) -> Evaluation:
+    """Score predictions from stored executions and result rows; nothing is run.
+
+    Inputs are those of ``evaluate_predictions``, plus ``executions(hash_key, status)`` and
+    ``results(hash_key, row_idx, cells)`` of any run. Each pair of different queries is compared once, however
+    many predictions made it. A query without a stored execution counts as failed.
+    """
+    pairs = prediction_pairs(questions, predictions)
+    distinct = pairs.select("pair_id", "db_id", "gold_sql", "pred_sql").dropDuplicates(["pair_id"])
+    rows, ran = result_pairs(distinct, executions, results)
+    chosen = _voted(pairs, rows, ran) if number_of_completions > 1 else pairs
+    metrics = compare_results(rows, ran).join(chosen, "pair_id")
+    scores = metrics_long(metrics, KEYS, METRICS).select(
+        "question_id",
+        "experiment",
+        "sample_idx",
+        short_model_name(F.col("model_name")).alias("model_name"),
+        short_dataset_name(F.col("dataset_name")).alias("dataset_name"),
+        F.lit(number_of_completions).alias("number_of_completions"),
+        "score_name",
+        "score",
+    )
+    gold = _gold(questions)
+    lone = unmatched(predictions, gold, ["question_id"]), unmatched(gold, predictions, ["question_id"])
+    return Evaluation(executions, metrics, scores, summarise(scores), *lone)
 
 
 def evaluate_predictions(
@@ -44,39 +96,23 @@ def evaluate_predictions(
     sessions: dict[str, SparkSession],
     number_of_completions: int = 1,
     folder: str | None = None,
-    cache: DataFrame | None = None,
+    cache: tuple[DataFrame, DataFrame] | None = None,
 ) -> Evaluation:
     """Score ``predictions(question_id, experiment, sample_idx, model_name, dataset_name, text)``.
 
     ``questions(question_id, db_id, SQL, sql_execution_time)`` are the gold side. Every
     distinct query runs once, and all metrics come from those results. With several
     completions, only the sample that wins the majority vote of its question is scored.
+    ``cache`` holds the executions and result rows of earlier runs: their queries are not run
+    again, and their stored rows are scored.
     """
-    keys = ["question_id", "experiment", "sample_idx", "model_name", "dataset_name"]
-    gold = drop_bad_gold(questions).select("question_id", "db_id", F.col("SQL").alias("gold_sql"))
-    pairs = predictions.join(gold, "question_id").select(
-        *keys,
-        "db_id",
-        "gold_sql",
-        extract_sql(F.col("text")).alias("pred_sql"),
-        F.sha2(F.to_json(F.struct(*keys)), 256).alias("pair_id"),
-    )
+    pairs = prediction_pairs(questions, predictions)
     limit = time_limit(F.lit(GOLD_SECONDS)).alias("timeout_s")
     work = pairs.select("db_id", F.explode(F.array("gold_sql", "pred_sql")).alias("sql"), limit)
-    executions, results = run_workload(spark, work, sessions, folder or shared_dir(spark, "evaluation"), cache)
-    rows, ran = result_pairs(pairs, executions, results)
-    if number_of_completions > 1:
-        voted = _voted_pairs(pairs, rows, ran)
-        rows, ran = rows.join(voted, "pair_id", "left_semi"), ran.join(voted, "pair_id", "left_semi")
-    metrics = compare_results(rows, ran).join(pairs.select("pair_id", *keys), "pair_id")
-    scores = metrics_long(metrics, keys, METRICS).select(
-        "question_id",
-        "experiment",
-        "sample_idx",
-        short_model_name(F.col("model_name")).alias("model_name"),
-        short_dataset_name(F.col("dataset_name")).alias("dataset_name"),
-        F.lit(number_of_completions).alias("number_of_completions"),
-        "score_name",
-        "score",
-    )
-    return Evaluation(executions, metrics, scores, summarise(scores))
+    known = cache[0] if cache else None
+    executions, results = run_workload(spark, work, sessions, folder or shared_dir(spark, "evaluation"), known)
+    if cache:
+        needed = with_key(work).select(KEY).distinct()
+        executions = executions.unionByName(cache[0].join(needed, KEY, "left_semi"))
+        results = results.unionByName(cache[1].join(needed, KEY, "left_semi"))
+    return evaluate_results(questions, predictions, executions, results, number_of_completions)

@@ -32,7 +32,7 @@ def read_cache_files(spark: SparkSession, root: str, excluded: tuple[str, ...] =
 def append_to_cache(spark: SparkSession, rows: DataFrame, path: str, order: str = "row_rank") -> None:
     """Append the rows whose key the cache at ``path`` does not hold, first row per key.
 
-    Running it again with the same rows appends nothing.
+    Running it again with the same rows appends nothing, but for rows without a key: they never conflict.
     """
     try:
         known = spark.read.parquet(path)

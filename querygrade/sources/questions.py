@@ -12,15 +12,18 @@ QUESTION_SCHEMA = (
 )
 
 
-def read_questions(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON array file, a CSV file with header, or Parquet, by suffix. Give a schema to skip inference."""
+def read_questions(spark: SparkSession, path: str, schema: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """A JSON array file, a CSV file with header, or Parquet, by suffix. Give a schema to skip inference.
+
+    A CSV file whose values hold line breaks needs ``line_breaks``; it is then read by one task, like a JSON array.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
     if path.endswith(".json"):
         return reader.option("multiLine", True).json(path)
     if path.endswith(".jsonl"):
         return reader.json(path)
     if path.endswith(".csv"):
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return reader.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return reader.parquet(path)
 
 

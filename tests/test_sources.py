@@ -18,7 +18,7 @@ def test_read_questions(spark, tmp_path):
     (tmp_path / "q.csv").write_text('question,SQL\nq1,SELECT 1\n"q2\nx",SELECT 2\n')
     spark.createDataFrame([("q1", "SELECT 1"), ("q2\nx", "SELECT 2")], "question string, SQL string").write.parquet(f"{tmp_path}/q.parquet")
     for suffix in ("json", "jsonl", "csv", "parquet"):
-        frame = questions.read_questions(spark, f"{tmp_path}/q.{suffix}")
+        frame = questions.read_questions(spark, f"{tmp_path}/q.{suffix}", line_breaks=suffix == "csv")
         assert {(r.question, r.SQL) for r in frame.collect()} == {("q1", "SELECT 1"), ("q2\nx", "SELECT 2")}
     typed = questions.read_questions(spark, f"{tmp_path}/q.json", questions.QUESTION_SCHEMA)
     assert typed.where("sql_execution_time = -1").count() == 1 and len(typed.columns) == 8

@@ -173,6 +173,15 @@ def test_evaluation(spark, session, tmp_path):
     assert (summary["bird_ex"].score, summary["bird_ex"].std) == (75.0, pytest.approx(35.355))
     assert (summary["ex"].model_name, summary["ex"].dataset_name) == ("m-1_5", "data_dev")
     assert done.executions.count() == 4 and done.scores.count() == 4 * 7
+    assert done.lone_questions.count() == 0 and {r.question_id for r in done.lone_predictions.collect()} == {3}
+    wide = {r.question_id: r for r in done.report("m", 2).collect()}
+    assert wide[1].SQL_m_1 == "SELECT oops" and wide[1].ex_m_0 == 1.0 and wide[1].ex_m_1 == 0.0
+    stored = workload.read_executions(spark, str(tmp_path)), workload.read_results(spark, str(tmp_path))
+    scores = lambda e: sorted((r.question_id, r.experiment, r.score_name, r.score) for r in e.scores.collect())
+    assert scores(evaluate.evaluate_results(questions, predictions, *stored)) == scores(done)
+    for n, part in enumerate((stored, [f.where(F.col("hash_key") < "8") for f in stored], [f.limit(0) for f in stored])):
+        again = evaluate.evaluate_predictions(spark, questions, predictions, {"shop": session}, folder=str(tmp_path / f"again{n}"), cache=tuple(part))
+        assert scores(again) == scores(done)
 
 
 def test_evaluation_with_votes(spark, session, tmp_path):
