@@ -28,7 +28,7 @@ WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey A
     "wl_distinct_topk": """
 SELECT DISTINCT p.p_brand, "large".p_size FROM part p
 JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 40) "large" ON "large".p_partkey = p.p_partkey
-WHERE p.p_retailprice > 1000 OR p.p_type LIKE '%BRASS' ORDER BY p.p_brand DESC, "large".p_size LIMIT 7""",
+WHERE p.p_retailprice > 990 OR p.p_type LIKE 'EC%' ORDER BY p.p_brand DESC, "large".p_size LIMIT 7""",
     "wl_group_having": """
 SELECT n.n_name, COUNT(DISTINCT c.c_mktsegment) AS segments, MIN(c.c_acctbal) AS lowest
 FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING MAX(c.c_acctbal) > 5000""",
