@@ -44,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in place of every secret; n_chars follows the text."""
-    clean = secret_scan.redact(docs)
+    """Puts a mark in place of every secret, bare numbers of the hex pattern included; n_chars follows the text."""
+    clean = secret_scan.redact(docs, numbers=True)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(docs.columns)

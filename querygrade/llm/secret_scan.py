@@ -147,14 +147,14 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", numbers: bool = False) -> DataFrame:
     """Every row with the parts of ``text`` that lie in a span replaced by the mark; null texts stay null.
 
-    Only spans of known forms other than bare numbers are replaced, and those found by entropy.
+    Spans that hold digits only, which the hex pattern finds too, are replaced if ``numbers`` is set, as in the pipeline.
     """
     rows = with_spans(docs)
     text = F.col("text")
-    real = F.filter("spans", lambda s: ~s["match"].rlike("^[0-9]+$"))
+    real = F.col("spans") if numbers else F.filter("spans", lambda s: ~s["match"].rlike("^[0-9]+$"))
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]

@@ -59,6 +59,15 @@ def test_entropy_spans_and_redaction(documents):
     assert texts == {1: "a [secret] b", 2: rows[1][1], 3: rows[2][1], 4: "[secret]", 5: None}
 
 
+def test_pipeline_masks_all_spans(spark, documents):
+    import corpus_pipeline
+
+    rows = [(1, "1234567890123456 is hex"), (2, "a 00000000000000000000 b deadbeefdeadbeef c"), (3, "123456789012345 is short"), (4, 'token = "123456789012345678" x'), (5, None)]
+    hidden = {r.doc_id: r for r in corpus_pipeline.hide_secrets(spark, documents(rows), "").collect()}
+    assert {i: r.text for i, r in hidden.items()} == {1: "[secret] is hex", 2: "a [secret] b [secret] c", 3: rows[2][1], 4: '[secret]" x', 5: None}
+    assert all(r.text is None or r.n_chars == len(r.text) for r in hidden.values())
+
+
 def test_urls(spark):
     urls = [
         (1, "HTTPS://WWW.Example.COM/en/x#a", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
