@@ -1,12 +1,12 @@
 """A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Rows without a doc_id
-pass the deduplication, as nothing tells which group they stand for. An empty table stays empty in every stage.
+are deduplicated by their texts. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygrade.llm import jaccard_join, language_id, packing, quality_model, secret_scan
@@ -33,14 +33,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of similar documents the one with the smallest doc_id, and of its repeated rows one."""
+    """Keeps one row of each class of similar texts: of its smallest doc_id (rows without one come last), repeated rows once.
+
+    Every distinct row (doc_id, text) is judged by its own text; of different texts of one doc_id in one class the one
+    that a hash puts first stays. Texts without a word are in no class: repeated ones go if they share a doc_id.
+    """
     ship_package(spark)
-    classes = jaccard_join.jaccard_classes(docs)
-    firsts = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    numbered = docs.join(firsts, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    once = numbered.withColumn("_copy", F.row_number().over(order)).where(F.col("_copy") == 1).select(docs.columns)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    doc_id, text = F.col("doc_id"), F.col("text")
+    rows = docs.withColumn("_row", F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text))
+    classes = jaccard_join.jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    classes = classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
+    ids = rows.select("_row", doc_id.isNull().alias("_last"), "doc_id").distinct()
+    first = F.min(F.struct("_last", "doc_id", "_row", "_bare")).alias("_first")
+    firsts = stored(classes.join(ids, "_row").groupBy("_class").agg(first).select("_first._row", "_first._bare"), "firsts")
+    kept = rows.join(firsts, "_row")
+    loose = doc_id.isNull() & F.col("_bare")
+    once = kept.where(~loose).dropDuplicates(["_row"])
+    return once.unionByName(kept.where(loose)).select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

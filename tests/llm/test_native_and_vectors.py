@@ -68,6 +68,20 @@ def test_pipeline_masks_all_spans(spark, documents):
     assert all(r.text is None or r.n_chars == len(r.text) for r in hidden.values())
 
 
+def test_pipeline_judges_texts_of_one_id_apart(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (2, b), (2, a + " tail"), (3, c), (3, c), (4, d), (4, e), (None, d + " end"), (None, "no one else has this text"), (None, "no one else has this text")]
+    rows += [(5, None), (5, ""), (5, ""), (None, None), (None, None)]
+    kept = corpus_pipeline.drop_near_copies(spark, documents(rows), "")
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(1, a), (2, b), (3, c), (4, d), (4, e), (None, "no one else has this text"), (5, None), (5, ""), (None, None), (None, None)]
+    assert found == sorted(want, key=repr)
+    assert corpus_pipeline.drop_near_copies(spark, documents(rows).limit(0), "").count() == 0
+
+
 def test_urls(spark):
     urls = [
         (1, "HTTPS://WWW.Example.COM/en/x#a", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
