@@ -16,11 +16,17 @@ from querygrade.session import ship_package
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. Learns from the rows with a lang."""
+    """Drops documents without a language: null texts, texts without a letter and those whose score is below a limit.
+
+    Learns from the rows with a lang. The limit is half the smallest score of all labelled rows whose language was
+    found, so that clean texts a little further out than those stay.
+    """
     ship_package(spark)
     langs, prototypes = language_id.learn_prototypes(docs)
-    found = language_id.predict_language(docs, langs, prototypes)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    found = stored(language_id.predict_language(docs, langs, prototypes), "languages")
+    own = found.where((F.col("lang") == F.col("lang_pred")) & (F.col("lang_pred") != language_id.UNDETERMINED))
+    limit = own.agg(F.min("score")).first()[0] or 0.0
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= limit / 2)).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,19 @@ def test_pipeline_judges_texts_of_one_id_apart(spark, documents):
     assert corpus_pipeline.drop_near_copies(spark, documents(rows).limit(0), "").count() == 0
 
 
+def test_pipeline_drops_texts_of_a_few_letters(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {"en": "the house and that with which there other about water".split(), "de": "und nicht eine auch wenn schon über zwischen wasser haus".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(2, 60))), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(200, "the water", None), (201, "das haus und", None), (202, "$$$ q $$$ 12", None), (203, "zzzz zzzz", None), (204, "7 x 9 x 7", None)]
+    frame = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], documents([]).schema)
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, frame, "").collect()}
+    assert kept == {r[0] for r in rows} - {202, 203, 204}
+    assert corpus_pipeline.keep_languages(spark, frame.limit(0), "").count() == 0
+
+
 def test_urls(spark):
     urls = [
         (1, "HTTPS://WWW.Example.COM/en/x#a", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
