@@ -3,7 +3,8 @@
 A candidate string is a run of characters that keys are written in. A window slides over it; counts of the
 characters in the window, and the sum of count * log2(count), are carried from one place to the next, so each
 step costs the same. The string is a secret if some window's entropy reaches the limit of its character class and
-no entry of the allow list covers it. Everything is DataFrame expressions.
+no entry of the allow list covers it; a word of examples covers the part between / and = that it is in.
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -33,15 +34,19 @@ CLASSES = [
     (r"[A-Za-z]+", 4.1),
     (r"[A-Za-z0-9+/_=-]+", 3.75),
 ]
-#: Candidates that are no secrets: words joined by marks, paths of words, number groups, repeated rulers, examples.
+#: Candidates that are no secrets: words joined by marks, paths of words, number groups, repeated rulers.
 ALLOWED = [
     r"[A-Za-z]?[a-z]+([-_/=+]+[A-Za-z]?[a-z]+)*[-_/=+]*",
     r"[-_/=+0-9]+",
-    r"(?i).*(example|placeholder|changeme|xxxx|lorem|test).*",
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
 ]
 
 
+#: Words of examples: the parts of a candidate, which end at / or =, that hold one are left out; what lies between is judged.
+EXAMPLES = r"(?i)example|placeholder|changeme|xxxx|lorem|test"
+PART_END = r"(?<=[/=])"
+
+
 _SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
@@ -117,6 +122,13 @@ def _is_secret(string: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(string) >= limit)
 
 
+def _holds_secret(candidate: Column) -> Column:
+    """Whether the candidate, or if it has words of examples one of the runs of parts without them, is a secret."""
+    parts = F.transform(F.split(candidate, PART_END), lambda p: F.when(p.rlike(EXAMPLES), F.lit(" ")).otherwise(p))
+    runs = F.filter(F.split(F.array_join(parts, ""), " "), lambda r: F.length(r) >= WINDOW)
+    return F.when(candidate.rlike(EXAMPLES), F.exists(runs, _is_secret)).otherwise(_is_secret(candidate))
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """Adds ``spans`` to every row of ``docs``: array of (start, kind, end, match) in order of start, then kind.
 
@@ -126,7 +138,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     group = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
     base = docs.withColumn("_base", F.concat(_spans(text, ASSIGN, "assign", group), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
-    other = _spans(text, CANDIDATE, "entropy", _is_secret)
+    other = _spans(text, CANDIDATE, "entropy", _holds_secret)
     added = F.filter(other, lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
     return base.withColumn("spans", F.array_sort(F.concat("_base", added))).drop("_base")
 

@@ -59,6 +59,13 @@ def test_entropy_spans_and_redaction(documents):
     assert texts == {1: "a [secret] b", 2: rows[1][1], 3: rows[2][1], 4: "[secret]", 5: None}
 
 
+def test_example_words_cover_their_part_only(documents):
+    key = "sk9XqL2vT7bWm4RzPq1Yc8Nd"
+    texts = [f"/latest/{key} b", f"STRIPE_TEST={key}", f"a {key}/x/test", f"/latest/{key[:9]}/{key[9:]}", f"a test-{key}", f"{key}example", f"/latest/{'very-long-words' * 2}", f"test/{key[:12]}/test/{key[12:]}"]
+    spans = [r.spans for r in secret_scan.secret_spans(documents(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert spans == ["entropy:0:32", "entropy:0:36", "entropy:2:33", "entropy:0:33", "", "", "", ""]
+
+
 def test_pipeline_masks_all_spans(spark, documents):
     import corpus_pipeline
 
