@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,7 @@ def _shared_lists(group: pa.Table) -> pa.Table:
     read = lambda name, kind, rows: np.concatenate([np.frombuffer(v, kind) for v in rows[name].to_pylist()] or [np.zeros(0, kind)])
     out = []
     for hot in (False, True):
-        rows = group.filter(pa.compute.equal(group["hot"], hot))
+        rows = group.filter(pc.equal(group["hot"], hot))
         tokens = read("tokens", np.int64 if hot else np.uint32, rows).astype(np.int64)
         keys, sizes, places = read("keys", np.int64, rows), read("sizes", np.int32, rows), read("places", np.int32, rows)
         if not hot:

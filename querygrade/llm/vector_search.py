@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,7 +225,7 @@ def _ranked(queries: pa.Table, rows: pa.Table) -> pa.Table:
     ids, parts, vectors = ids[order], rows["part"].to_numpy()[order], np.ascontiguousarray(vectors[order] + np.float32(0))
     _, firsts, which = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
     distinct, home = vectors[firsts].astype(np.float64), parts[firsts]
-    wanted = np.zeros((len(asked), int(max(home.max(), pa.compute.max(pa.compute.list_flatten(queries["parts"])).as_py())) + 1), bool)
+    wanted = np.zeros((len(asked), int(max(home.max(), pc.max(pc.list_flatten(queries["parts"])).as_py())) + 1), bool)
     for q, own in enumerate(queries["parts"].to_pylist()):
         wanted[q, own] = True
     grouped = np.argsort(which, kind="stable")  # ids ascend within a vector
