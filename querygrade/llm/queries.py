@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querygrade.llm import jaccard_join, language_id, packing, piece_codec, piecewise_hash, quality_model, secret_scan, token_files, url_filter, vector_search
+from querygrade.llm import centroid_clusters, jaccard_join, language_id, packing, piece_codec, piecewise_hash, quality_model, secret_scan, token_files, url_filter, vector_search
 from querygrade.llm.common import table
 from querygrade.session import shared_dir, ship_package
 
@@ -66,6 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return centroid_clusters.cluster_digests(table(spark, sf_dir, "embeddings"))
+
+
 #: name: (run, SQL). DuckDB SQL cannot say these operators; tests hold them against brute force instead.
 LLM_QUERIES = {
     run.__name__: (run, None)
@@ -74,3 +79,4 @@ LLM_QUERIES = {
         op6_nearest_neighbours, op7_url_filters, op8_secret_scans, op9_packing, op10_token_files,
     )
 }
+LLM_QUERIES["op13_centroid_clusters"] = (op13_centroid_clusters, centroid_clusters.cluster_sql())
