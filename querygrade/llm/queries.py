@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querygrade.llm import centroid_clusters, jaccard_join, language_id, packing, piece_codec, piecewise_hash, quality_model, secret_scan, token_files, url_filter, vector_search
+from querygrade.llm import centroid_clusters, jaccard_join, language_id, packing, piece_codec, piecewise_hash, quality_model, secret_scan, token_alignment, token_files, url_filter, vector_dedup, vector_search
 from querygrade.llm.common import table
 from querygrade.session import shared_dir, ship_package
 
@@ -66,6 +66,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return centroid_clusters.cluster_digests(table(spark, sf_dir, "embeddings"))
@@ -79,4 +89,6 @@ LLM_QUERIES = {
         op6_nearest_neighbours, op7_url_filters, op8_secret_scans, op9_packing, op10_token_files,
     )
 }
+LLM_QUERIES["op11_vector_dedup"] = (op11_vector_dedup, vector_dedup.near_copies_sql())
+LLM_QUERIES["op12_token_alignment"] = (op12_token_alignment, None)
 LLM_QUERIES["op13_centroid_clusters"] = (op13_centroid_clusters, centroid_clusters.cluster_sql())
