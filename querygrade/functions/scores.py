@@ -39,12 +39,17 @@ def repetition_penalty(tokens: Column, n: int = 5, threshold: float = 0.5) -> Co
     number of times. They are compared by a 64-bit hash: ``array_distinct`` on bigint uses a
     primitive hash set, on nested arrays it compares all pairs.
     """
+
+    def verdict(kept: Column) -> Column:
+        count = F.greatest(F.size(kept) - (n - 1), F.lit(0))
+        shifted = [F.slice(kept, i + 1, count) for i in range(n)]
+        grams = F.transform(F.arrays_zip(*shifted), lambda gram: F.xxhash64(gram))
+        ratio = F.try_divide(F.size(F.array_distinct(grams)).cast("double"), count)
+        return F.when(ratio < threshold, -1.0).otherwise(0.0)
+
+    # Bound to a name: lambdas are interpreted, and what they are applied to would be computed at every mention.
     kept = F.filter(tokens, lambda t: t.isNull() | (t.cast("string") != str(TOKEN_PADDING)))
-    count = F.greatest(F.size(kept) - (n - 1), F.lit(0))
-    shifted = [F.slice(kept, i + 1, count) for i in range(n)]
-    grams = F.transform(F.arrays_zip(*shifted), lambda gram: F.xxhash64(gram))
-    ratio = F.try_divide(F.size(F.array_distinct(grams)).cast("double"), count)
-    return F.when(ratio < threshold, -1.0).otherwise(0.0)
+    return F.coalesce(F.transform(F.array(kept), verdict)[0], F.lit(0.0))
 
 
 def stepwise_reward(text: Column, both_ran: Column, match: Column) -> Column:

@@ -61,6 +61,29 @@ def merge_caches(sources: list[DataFrame], order: str = "row_rank", existing: Da
     return _first_rows(rows, columns, F.struct("source_rank", order))
 
 
+def merge_cache_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """As ``merge_caches`` for any number of files that ``sources.cache_files.read_cache_files`` reads in one scan.
+
+    The first row of a key wins: existing rows before all files, files in order of their path, rows in order of their
+    place in the file. One minimum over (path, place) decides, so a key with many rows is combined on the map side. Columns are
+    those of ``existing``, else all that any file has; what a file lacks is null. ``source_path`` is null for
+    existing rows. Rows without a key clash with nothing.
+    """
+    about = ("source_path", "row_rank")
+    columns = [c for c in (existing or rows).columns if c not in (KEY, *about)]
+    types = {f.name: f.dataType for f in (existing or rows).schema.fields}
+    has = lambda c: (F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c)
+    merged = rows.select(F.col(KEY).cast("string").alias(KEY), *about, *[has(c) for c in columns])
+    if existing is not None:
+        # Existing rows have no path; their place only keeps rows without a key apart.
+        place = [F.lit(None).cast("string").alias("source_path"), F.monotonically_increasing_id().alias("row_rank")]
+        merged = existing.select(F.col(KEY).cast("string").alias(KEY), *place, *columns).unionByName(merged)
+    kept = F.struct("source_path", *columns)
+    # A row without a key is a group of its own. Nulls come first in a struct's order, so existing rows do.
+    alone = [F.when(F.col(KEY).isNull(), F.col(c)).alias(f"own_{c}") for c in about]
+    return merged.groupBy(KEY, *alone).agg(F.min_by(kept, F.struct(*about)).alias("row")).select(KEY, "row.*")
+
+
 def inserted_per_source(merged: DataFrame) -> DataFrame:
     return merged.where(F.col("source_rank") >= 0).groupBy("source_rank").agg(F.count(F.lit(1)).alias("inserted"))
 

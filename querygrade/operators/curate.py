@@ -24,6 +24,18 @@ def counted_filter(frame: DataFrame, condition: Column) -> tuple[DataFrame, Obse
     return frame.observe(before, count).where(condition).observe(after, count), before, after
 
 
+def save_filtered(frame: DataFrame, condition: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the rows that meet the condition and gives them back, with ``(step, rows)`` for ``before`` and ``after``.
+
+    Both counts come from the one pass that writes the table.
+    """
+    kept, before, after = counted_filter(frame, condition)
+    kept.write.mode("overwrite").parquet(path)
+    spark = frame.sparkSession
+    counts = [(step, seen.get["rows"]) for step, seen in (("before", before), ("after", after))]
+    return spark.read.schema(frame.schema).parquet(path), spark.createDataFrame(counts, "step string, rows long")
+
+
 def exclude_listed(questions: DataFrame, excluded: DataFrame, column: str = "SQL") -> DataFrame:
     """Drop questions whose query is on the list; a null query stays."""
     return questions.join(excluded.select(column), column, "left_anti")
@@ -72,8 +84,7 @@ class Mixture:
 
 def mix(parts: list[tuple[DataFrame, float | None]], id_column: str, seed: int) -> DataFrame:
     """Subsample each part by its weight and put the parts together."""
-    taken = [f if w is None else sampling.subsample(f, id_column, seed, w) for f, w in parts]
-    return union_all(taken)
+    return union_all(sampling.subsample_parts(parts, id_column, seed))
 
 
 def load_mixture(spark: SparkSession, mixture: Mixture, id_column: str) -> dict[str, DataFrame]:

@@ -31,28 +31,27 @@ def language_profile(labelled: DataFrame, text: str, lang: str, languages: list[
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, languages: list[str]) -> DataFrame:
     """``(key, n_words, <language>...)``: log likelihood with add-one smoothing over the profile's vocabulary.
 
-    Words are counted per text before any join. Common words meet a bounded table in every task, all others are
-    joined by word; then one partial sum per text and language is shuffled.
+    One pass over the texts: common words meet a bounded table in every task and are summed up to one row per text
+    there; only the rare words go on to a join by word. ``profile`` is read several times: store it first.
     """
-    # One subquery with all totals, so it shares the profile's own shuffle.
     mass = [F.sum(name).cast("double").alias(name) for name in languages]
-    totals = profile.select(F.struct(F.count(F.lit(1)).cast("double").alias("vocabulary"), *mass)).scalar()
-    everything = sum((totals.getField(name) for name in languages), F.lit(0.0))
+    totals = profile.agg(F.count(F.lit(1)).cast("double").alias("vocabulary"), *mass).first()  # one row
+    everything = sum(totals[name] or 0.0 for name in languages)
     own = sum((F.col(name) for name in languages), F.lit(0))
-    logs = [F.log(F.col(name) + 1.0).alias(f"log_{name}") for name in languages]
-    weights = profile.select("word", (own * COMMON > everything).alias("common"), *logs)
-    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
-    marked = words.join(F.broadcast(weights.where("common")), "word", "left")
-    rare = marked.where(F.col("common").isNull()).select(key, "word", "n").join(weights.where(~F.col("common")), "word", "left")
-    partial = marked.where("common").unionByName(rare)
-    sums = partial.groupBy(key).agg(
-        F.sum("n").alias("n_words"),
-        *[F.sum(F.coalesce(F.col("n") * F.col(f"log_{name}"), F.lit(0.0))).alias(name) for name in languages],
-    )
-    scored = [
-        (F.col(name) - F.col("n_words") * F.log(totals.getField(name) + totals.getField("vocabulary"))).alias(name) for name in languages
-    ]
-    return sums.select(key, "n_words", *scored)
+    logs = lambda prefix: [F.log(F.col(name) + 1.0).alias(prefix + name) for name in languages]
+    is_common = own * COMMON > everything
+    common = profile.where(is_common).select("word", F.lit(True).alias("common"), *logs("common_"))
+    rare = profile.where(~is_common).select(F.col("word").alias("rare_word"), *logs("rare_"))
+    words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).join(F.broadcast(common), "word", "left")
+    # What is no rare word gets a name of its own per text, which no profile holds, so it is no hot key of the join.
+    none = F.concat(F.lit(" "), F.col(key).cast("string"))
+    named = F.when(F.col("common").isNull() & F.col("word").isNotNull(), F.col("word")).otherwise(none).alias("rare_word")
+    by_word = words.groupBy(key, named).agg(F.count("word").alias("n"), *[F.sum(f"common_{name}").alias(f"common_{name}") for name in languages])
+    met = by_word.join(rare, "rare_word", "left")
+    value = lambda name: F.coalesce(f"common_{name}", F.col("n") * F.col(f"rare_{name}"), F.lit(0.0))
+    sums = met.groupBy(key).agg(F.sum("n").alias("n_words"), *[F.sum(value(name)).alias(name) for name in languages])
+    mass_of = {name: F.log(F.lit((totals[name] or 0.0) + totals["vocabulary"])) for name in languages}
+    return sums.select(key, "n_words", *[(F.col(name) - F.when(F.col("n_words") > 0, F.col("n_words") * mass_of[name]).otherwise(0.0)).alias(name) for name in languages])
 
 
 def probability_of(wanted: str, languages: list[str]) -> Column:
@@ -77,12 +76,8 @@ def foreign_language_penalty(
 
     Texts that are too short or hold no words get 0.
     """
-    prose = answers.select(
-        key,
-        (F.coalesce(F.length(strip(F.col(text))), F.lit(0)) < SHORTEST_TEXT).alias("short"),
-        remove_sql_blocks(F.col(text)).alias("prose"),
-    )
-    scores = language_scores(prose.where(~F.col("short")), key, "prose", profile, languages)
+    short = F.coalesce(F.length(strip(F.col(text))), F.lit(0)) < SHORTEST_TEXT
+    prose = answers.select(key, F.when(~short, remove_sql_blocks(F.col(text))).alias("prose"))
+    scores = language_scores(prose, key, "prose", profile, languages)
     foreign = (F.col("n_words") > 0) & (probability_of(wanted, languages) < threshold)
-    verdict = scores.select(key, F.when(foreign, -1.0).otherwise(0.0).alias("penalty"))
-    return verdict.unionByName(prose.where("short").select(key, F.lit(0.0).alias("penalty")))
+    return scores.select(key, F.when(foreign, -1.0).otherwise(0.0).alias("penalty"))

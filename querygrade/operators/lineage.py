@@ -1,29 +1,38 @@
 """Tables and columns that each query of a log uses, read from the query text.
 
-The text is not parsed: source lists, name lists and dotted names are cut out with regular
-expressions and checked against the catalog. That makes it a narrow pass over the log plus a
-catalog join, at the price of being approximate: names with spaces are not found, an alias
-that is used for two tables of one query counts for both, and a select alias that equals a
-column name counts as that column. For queries that can be run, ``plans.plan_lineage`` is exact.
+The text is not parsed. Brackets are folded away from the inside out, so that every level of a query becomes a flat
+text in which what was in brackets is one mark; source lists are cut out of these, and name lists and dotted names
+out of the whole text, with regular expressions, and checked against the catalog. Quoted names are one word. That
+makes it a narrow pass over the log plus a catalog join, at the price of being approximate: an alias that is used for
+two tables of one query counts for both, and a select alias that equals a column name counts as that column.
 
 Input ``log(query_id, sql)`` with unique ids, plus a catalog as in ``sources.databases``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Literals and comments, whichever starts first.
 _NOT_CODE = r"'[^']*'|--[^\n]*|/\*(?s:.*?)\*/"
-# A source list runs from FROM or JOIN to a bracket or a word that can follow a source.
+# What is left of a pair of brackets and what was in it, in a flat text.
+_MARK = "\u0004"
+_INNERMOST = r"\(([^()]*+)\)"
+# The sources of one level: FROM up to a word that can follow them. A bracket may hold joins without a FROM.
 _SOURCE_LIST = (
-    r"(?<!\w)(?:from|join) ([^();]*?)(?=[();]|$| (?:from|join|where|on|using|left|right|inner|cross|full|"
-    r"natural|group|order|having|limit|union|intersect|except|window|offset|fetch)\b)"
+    r"(?<!\w)from ([^;()]*?)(?=[;()]|$| (?:from|where|group|order|having|limit|union|intersect|except|window|offset|fetch|qualify)\b)"
 )
-_CTE_NAME = r"(?<!\w)(\w++) ?(?:\([^()]*+\) ?)?(?<=[ )])as (?:materialized )?\("
+_BARE_JOINS = r"(?<=; )(?= ?(?!select |with |values )[^;]* join )"
+_NEXT_SOURCE = r" ?, ?|(?: (?:natural|left|right|full|inner|outer|cross|semi|anti))* join "
+_CTE_NAME = f"(?<!\\w)(\\w++) ?(?:{_MARK} *)?(?<=[ {_MARK}])as (?:(?:not )?materialized )?{_MARK}"
 # A word or a dotted pair that is no function call, no alias behind AS, and no star prefix.
 _NAME = r"(?<![\w.])(?<!\bas )([a-z_]\w*+(?:\.[a-z_]\w*+)?+)(?![\w.]| ?\()"
+# Names in quotes that hold more than word characters, and how those are written in one word.
+_ODD_NAME = r"\"[^\"\w]*+\w*+[^\"\w][^\"]*\"|`[^`\w]*+\w*+[^`\w][^`]*`"
+_SPELLED = {c: f"_x{ord(c):x}_" for c in " .,;()-/*+:%&#'"}
 
 #: Largest catalog, in tables, that is sent to all tasks.
 SENT_TABLES = 20_000
@@ -31,15 +40,55 @@ SENT_TABLES = 20_000
 _DOTTED_STAR = r"([a-z_]\w*+)\.\*"
 _BARE_STAR = r"(?:(?<!\w)(?:select|distinct|all)|[,(]) ?\*"
 _STAR_MARK = "\u0003"
+_LAST = 1 << 30
+
+
+def _one_word(name: Column) -> Column:
+    """A lower-case name as the word that stands for it in the code."""
+    return reduce(lambda text, c: F.replace(text, F.lit(c), F.lit(_SPELLED[c])), _SPELLED, name)
+
+
+def _as_written(word: Column) -> Column:
+    spoken = reduce(lambda text, c: F.replace(text, F.lit(_SPELLED[c]), F.lit(c)), _SPELLED, word)
+    return F.when(word.contains("_x"), spoken).otherwise(word)
+
+
+def _quoted_to_words(code: Column) -> Column:
+    for quote in '"`':
+        pieces = F.split(code, quote)
+        code = F.array_join(F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, _one_word(piece)).otherwise(piece)), "")
+    return code
 
 
-def _code(sql: Column) -> Column:
-    """Lower case, without literals, comments and quotes, with single spaces."""
-    bare = F.translate(F.regexp_replace(F.lower(sql), _NOT_CODE, " "), '"`', "")
-    spaced = F.regexp_replace(bare, r"\s+", " ")
+def _with_code(log: DataFrame) -> DataFrame:
+    """``(query_id, code)``: lower case, without literals and comments, quoted names as words, with single spaces."""
+    bare = log.select("query_id", F.regexp_replace(F.lower("sql"), _NOT_CODE, " ").alias("code"))
+    code = F.col("code")
+    named = F.when(code.rlike(_ODD_NAME), _quoted_to_words(code)).otherwise(F.translate(code, '"`', ""))
+    spaced = bare.select("query_id", F.regexp_replace(named, r"\s+", " ").alias("code"))
     # FROM that names no source: in calls such as EXTRACT(year FROM x), and in IS DISTINCT FROM.
-    called = F.regexp_replace(spaced, r"(?<!\w)(extract|trim|substring|overlay) ?\(([^()]*?)(?<!\w)from(?!\w)", "$1($2,")
-    return F.regexp_replace(called, r"(?<!\w)is (not )?distinct from(?!\w)", "=")
+    called = F.regexp_replace(code, r"(?<!\w)(extract|trim|substring|overlay) ?\(([^()]*?)(?<!\w)from(?!\w)", "$1($2,")
+    called = F.regexp_replace(called, r"(?<!\w)is (not )?distinct from(?!\w)", "=")
+    other_from = reduce(lambda a, b: a | b, [code.contains(word) for word in ("extract", "trim", "substring", "overlay", "distinct from")])
+    return spaced.select("query_id", F.when(other_from, called).otherwise(code).alias("code"))
+
+
+def _flat(code: Column) -> Column:
+    """All levels of a text one after the other, without brackets, innermost first.
+
+    A fold: each step takes the innermost brackets out and leaves a mark; there are as many steps as opening brackets
+    at most, and a step without any left changes nothing.
+    """
+    start = F.struct(code.alias("rest"), F.lit("").alias("levels"))
+
+    def step(held: Column, _: Column) -> Column:
+        inner = F.array_join(F.regexp_extract_all(held["rest"], F.lit(_INNERMOST), F.lit(1)), " ; ")
+        taken = F.struct(F.regexp_replace(held["rest"], _INNERMOST, f"{_MARK} ").alias("rest"), F.concat(held["levels"], inner, F.lit(" ; ")).alias("levels"))
+        return F.when(held["rest"].contains("("), taken).otherwise(held)
+
+    brackets = F.length(code) - F.length(F.replace(code, F.lit("("), F.lit("")))
+    folded = F.aggregate(F.sequence(F.lit(1), brackets), start, step, lambda held: F.concat(F.lit("; "), held["levels"], held["rest"]))
+    return F.when(code.contains("("), folded).otherwise(code)
 
 
 def source_mentions(log: DataFrame, with_stars: bool = False) -> DataFrame:
@@ -48,35 +97,43 @@ def source_mentions(log: DataFrame, with_stars: bool = False) -> DataFrame:
     ``names`` are the words and dotted pairs of the query. They travel with each source, so
     later steps need no second look at the text and no join back to the log. With stars, the
     qualifiers of ``q.*`` travel too ('' for a bare ``*``), and each also stands as a row of
-    its own, marked in ``table_name``, because its source may not be in the catalog.
+    its own, marked in ``table_name``, because its source may not be in the catalog. ``place`` is where the source
+    is first written in the text.
     """
-    all_of = lambda pattern: F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
+    all_of = lambda column, pattern: F.regexp_extract_all(column, F.lit(pattern), F.lit(1))
     no_names = F.array().cast("array<string>")
-    code = log.select("query_id", _code(F.col("sql")).alias("code"))
+    code = _with_code(log)
+    flat = code.select("query_id", "code", _flat(F.col("code")).alias("flat"))
+    joins = F.when(F.col("flat").contains(";") & F.col("flat").contains(" join "), F.regexp_replace("flat", _BARE_JOINS, "from "))
+    flat = flat.select("query_id", "code", joins.otherwise(F.col("flat")).alias("flat"))
     bare_star = F.when(F.col("code").rlike(_BARE_STAR), F.array(F.lit(""))).otherwise(no_names)
-    lists = code.select(
+    items = F.split(F.array_join(all_of("flat", _SOURCE_LIST), ","), _NEXT_SOURCE)
+    lists = flat.select(
         "query_id",
-        F.split(F.array_join(all_of(_SOURCE_LIST), ","), " ?, ?").alias("items"),
+        F.transform(items, lambda i: F.struct(F.position(i, "code").alias("place"), i.alias("item"))).alias("items"),
         # Never null, or Spark would add a null filter that computes the names twice.
-        F.coalesce(all_of(_CTE_NAME), no_names).alias("ctes"),
-        F.array_distinct(all_of(_NAME)).alias("names"),
-        (F.array_distinct(F.concat(all_of(_DOTTED_STAR), bare_star)) if with_stars else no_names).alias("stars"),
+        F.coalesce(F.when(F.col("code").contains(" as "), all_of("flat", _CTE_NAME)), no_names).alias("ctes"),
+        F.array_distinct(all_of("code", _NAME)).alias("names"),
+        (F.array_distinct(F.concat(all_of("code", _DOTTED_STAR), bare_star)) if with_stars else no_names).alias("stars"),
     )
-    marked = F.transform("stars", lambda q: F.concat(F.lit(_STAR_MARK), q))
+    marked = F.transform("stars", lambda q: F.struct(F.lit(_LAST).alias("place"), F.concat(F.lit(_STAR_MARK), q).alias("item")))
     items = F.concat("items", marked) if with_stars else F.col("items")
     # The outer form keeps Spark from adding a filter that computes the item list twice.
-    exploded = lists.select("query_id", "ctes", "names", "stars", F.posexplode_outer(items).alias("place", "item"))
-    table_name = F.substring_index(F.substring_index(F.ltrim("item"), " ", 1), ".", -1)
-    alias = F.substring_index(F.substring_index(F.rtrim("item"), " ", -1), ".", -1)
+    exploded = lists.select("query_id", "ctes", "names", "stars", F.explode_outer(items).alias("i"))
+    source = F.trim(F.substring_index(F.substring_index(F.col("i.item"), " on ", 1), " using", 1))
+    exploded = exploded.select("query_id", "ctes", "names", "stars", F.col("i.place").alias("place"), source.alias("item"))
+    table_name = F.substring_index(F.substring_index("item", " ", 1), ".", -1)
+    alias = F.substring_index(F.substring_index("item", " ", -1), ".", -1)
     named = exploded.select(
         "query_id", "place", table_name.alias("table_name"), alias.alias("alias"), "ctes", "names", "stars"
     )
-    return named.where((F.col("table_name") != "") & ~F.array_contains("ctes", F.col("table_name"))).drop("ctes")
+    is_name = (F.col("table_name") != "") & ~F.col("table_name").contains(_MARK)
+    return named.where(is_name & ~F.array_contains("ctes", F.col("table_name"))).drop("ctes")
 
 
 def mentioned_tables(log: DataFrame) -> DataFrame:
     """``(query_id, table_name)``: all sources that are not CTEs, in lower case, catalog or not."""
-    return source_mentions(log).select("query_id", "table_name").distinct()
+    return source_mentions(log).select("query_id", _as_written(F.col("table_name")).alias("table_name")).distinct()
 
 
 def _known_sources(log: DataFrame, tables: DataFrame, with_stars: bool = False) -> DataFrame:
@@ -84,8 +141,9 @@ def _known_sources(log: DataFrame, tables: DataFrame, with_stars: bool = False)
 
     One catalog row per table, so a table that most queries name only meets one row.
     """
+    words = F.transform("columns", lambda c: F.struct(c.alias("name"), _one_word(F.lower(c)).alias("word")))
     known = tables.select(
-        F.lower("table_name").alias("lower_name"), F.col("table_name").alias("known_name"), F.col("columns")
+        _one_word(F.lower("table_name")).alias("lower_name"), F.col("table_name").alias("known_name"), words.alias("columns")
     )
     if known.count() <= SENT_TABLES:
         known = F.broadcast(known)  # else the log would be shuffled by table, and a popular table is a hot key
@@ -109,12 +167,12 @@ def _first_owners(log: DataFrame, tables: DataFrame, with_stars: bool) -> DataFr
     source with such a column, a star to its source, or to its qualifier if that is unknown.
     """
     said = lambda name: F.array_contains("names", name)
-    dotted = lambda c: said(F.concat_ws(".", "alias", F.lower(c))) | said(F.concat_ws(".", "lower_name", F.lower(c)))
+    dotted = lambda c: said(F.concat_ws(".", "alias", c["word"])) | said(F.concat_ws(".", "lower_name", c["word"]))
     hit = lambda group, name: F.struct(group.alias("group"), name.alias("name"))
-    per_owner = lambda c: hit(F.col("known_name"), c)
+    per_owner = lambda c: hit(F.col("known_name"), c["name"])
     hits = F.concat(
         F.transform(F.filter("columns", dotted), per_owner),
-        F.transform(F.filter("columns", lambda c: said(F.lower(c))), lambda c: hit(F.lit(""), c)),
+        F.transform(F.filter("columns", lambda c: said(c["word"])), lambda c: hit(F.lit(""), c["name"])),
     )
     owner, place = F.col("known_name"), F.col("place")
     if with_stars:

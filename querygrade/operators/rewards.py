@@ -1,13 +1,15 @@
 """Named rewards, their weighted sum, and scaling per prompt or batch.
 
 Every reward is a function of an answer table with the columns ``text``, ``both_ran``, the
-metric columns of :mod:`querygrade.operators.compare`, ``tbls_in_query``, ``cols_in_query``,
-``token_ids`` and ``penalty_language``; a reward touches only the ones it needs.
+metric columns of :mod:`querygrade.operators.compare`, ``tbls_in_query``, ``cols_in_query`` and
+``token_ids``; a reward touches only the ones it needs. Rewards of one answer are columns. Those that need a second
+table or the other answers of a group are steps over the whole frame, taken after the columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from querygrade.functions import formats, scores
 from querygrade.operators.compare import COMBINED
+from querygrade.operators.language import foreign_language_penalty
 from querygrade.operators.length_penalty import penalise_length
 
 STD_GUARD = 1e-4
@@ -58,12 +61,30 @@ COLUMN_REWARDS: dict[str, Callable[[], Column]] = {
     "qatch_small_update_with_fm": partial(_small, COMBINED, gated=True),
     "qatch_small_update_fm_with_buckets": partial(_small, COMBINED, gated=True, steps=True),
     "ex_small_update_with_fm": partial(_small, "bird_ex", gated=True),
-    "penalty_not_english": lambda: F.col("penalty_language"),
     "penalty_repetitions": lambda: scores.repetition_penalty(F.col("token_ids")),
     "penalty_no_format": lambda: formats.format_penalty(F.col("text"), "reasoning"),
 }
 GROUP_REWARDS: dict[str, str] = {"qatch_complex": COMBINED, "ex_complex": "bird_ex"}
-REWARD_NAMES = (*COLUMN_REWARDS, *GROUP_REWARDS)
+
+
+@dataclass(frozen=True)
+class LanguageProfile:
+    """The second table of ``penalty_not_english``: a stored profile of :mod:`querygrade.operators.language`, and its languages."""
+
+    words: DataFrame
+    languages: list[str]
+
+
+def language_reward(answers: DataFrame, key: str, profile: LanguageProfile | None, name: str) -> DataFrame:
+    """Adds the language penalty, found by the answer's ``key``, which must be unique; an answer without one gets 0."""
+    if profile is None:
+        raise ValueError(f"{name} needs a language profile")
+    verdict = foreign_language_penalty(answers.where(F.col(key).isNotNull()), key, "text", profile.words, profile.languages)
+    return answers.join(verdict.withColumnRenamed("penalty", name), key, "left").fillna(0.0, [name])
+
+
+TABLE_REWARDS: dict[str, Callable[..., DataFrame]] = {"penalty_not_english": language_reward}
+REWARD_NAMES = (*COLUMN_REWARDS, *TABLE_REWARDS, *GROUP_REWARDS)
 
 
 def complex_reward(answers: DataFrame, metric: str, group: str, generations: int, name: str) -> DataFrame:
@@ -72,16 +93,28 @@ def complex_reward(answers: DataFrame, metric: str, group: str, generations: int
     return penalise_length(ready, group, generations).withColumnRenamed("penalised", name).drop("score", "length", "penalty")
 
 
-def named_rewards(answers: DataFrame, names: str | list[str], group: str = "prompt_id", generations: int = 16) -> DataFrame:
-    """Adds one column per reward name; an unknown name raises ``KeyError``."""
+def named_rewards(
+    answers: DataFrame,
+    names: str | list[str],
+    group: str = "prompt_id",
+    generations: int = 16,
+    key: str = "answer_id",
+    profile: LanguageProfile | None = None,
+) -> DataFrame:
+    """Adds one column per reward name; an unknown name raises ``KeyError``.
+
+    ``key`` names the answers and ``profile`` the second table; only rewards that need a second table use them.
+    """
     wanted = names.split() if isinstance(names, str) else list(names)
-    unknown = [n for n in wanted if n not in COLUMN_REWARDS and n not in GROUP_REWARDS]
+    unknown = [n for n in wanted if n not in REWARD_NAMES]
     if unknown:
         raise KeyError(unknown[0])
     plain = {n: COLUMN_REWARDS[n]() for n in wanted if n in COLUMN_REWARDS}
     result = answers.withColumns(plain) if plain else answers
     for name in wanted:
-        if name in GROUP_REWARDS:
+        if name in TABLE_REWARDS:
+            result = TABLE_REWARDS[name](result, key, profile, name)
+        elif name in GROUP_REWARDS:
             result = complex_reward(result, GROUP_REWARDS[name], group, generations, name)
     return result
 

@@ -1,4 +1,8 @@
-"""Evaluation of saved predictions: answer text in, summary and wide report out."""
+"""Evaluation of saved predictions: answer text in, summary and wide report out.
+
+Scores of result pairs can be stored with a fingerprint of both results, so that the next evaluation compares only
+the pairs whose results have changed.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygrade.functions.text import extract_sql, short_dataset_name, short_model_name, time_limit
-from querygrade.operators.compare import METRICS, compare_results, metrics_long, result_fingerprints, vote
+from querygrade.operators.compare import COMBINED, METRICS, compare_results, metrics_long, result_fingerprints, vote
 from querygrade.operators.cache import KEY, with_key
 from querygrade.operators.curate import drop_bad_gold, unmatched
 from querygrade.operators.report import summarise, wide_report
@@ -24,6 +28,8 @@ class Evaluation:
     """Frames of one evaluation; all are lazy but the executed results.
 
     ``lone_predictions`` and ``lone_questions`` have no partner and no score: look at them before trusting the rest.
+    ``store`` has the metrics of every pair of queries with its fingerprint, and whether it was compared (``fresh``)
+    or taken from the store of an earlier evaluation; save it for the next one.
     """
 
     executions: DataFrame
@@ -32,6 +38,7 @@ class Evaluation:
     summary: DataFrame
     lone_predictions: DataFrame
     lone_questions: DataFrame
+    store: DataFrame
 
     def report(self, model: str, experiments: int) -> DataFrame:
         """One row per question with prediction, SQL and metrics of each experiment; ``sources.sinks.save_report`` saves it."""
@@ -60,20 +67,70 @@ def _voted(pairs: DataFrame, rows: DataFrame, ran: DataFrame) -> DataFrame:
     return pairs.withColumn("group", group).join(winners, ["group", "sample_idx"], "left_semi").drop("group")
 
 
+def result_prints(results: DataFrame) -> DataFrame:
+    """``(hash_key, print)``: changes with any row, cell or position of a result. One pass with map-side combining."""
+    place = F.struct("row_idx", "cells")
+    return results.groupBy(KEY).agg(
+        F.concat_ws(
+            ":",
+            F.count(F.lit(1)).cast("string"),
+            F.sum(F.xxhash64(place).cast("decimal(38,0)")).cast("string"),
+            F.bit_xor(F.xxhash64(F.lit("second"), place)).cast("string"),
+        ).alias("print")
+    )
+
+
+def pair_prints(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> DataFrame:
+    """``(pair_id, print)`` of ``pairs(pair_id, db_id, gold_sql, pred_sql)``: what the metrics of a pair are made of.
+
+    Each result is read once, however many pairs use it. A query that failed or was never run has no result.
+    """
+    state = executions.join(result_prints(results), KEY, "left")
+    said = F.when(F.col("status") == "ok", F.coalesce("print", F.lit("0"))).otherwise("failed")
+    state = state.select(KEY, said.alias("print"))
+    named = pairs
+    for side in ("gold", "pred"):
+        keyed = with_key(named.withColumn("sql", F.col(f"{side}_sql"))).drop("sql")
+        found = keyed.join(state.withColumnRenamed("print", f"{side}_print"), KEY, "left").drop(KEY)
+        named = found.withColumn(f"{side}_print", F.coalesce(f"{side}_print", F.lit("failed")))
+    return named.select("pair_id", F.concat_ws("|", "gold_print", "pred_print").alias("print"))
+
+
+def compare_with_store(pairs: DataFrame, executions: DataFrame, results: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """All metrics of ``pairs``, with ``print`` and ``fresh``; pairs whose print is in the store are not compared.
+
+    A store without rows and none at all are the same. Entries of the store that no pair has are left out.
+    """
+    prints = pair_prints(pairs, executions, results)
+    kept = None
+    if store is not None:
+        kept = store.select("pair_id", "print", "both_ran", *METRICS, COMBINED).dropDuplicates(["pair_id", "print"])
+        pairs = pairs.join(prints.join(kept, ["pair_id", "print"], "left_anti").select("pair_id"), "pair_id", "left_semi")
+        kept = prints.join(kept, ["pair_id", "print"]).withColumn("fresh", F.lit(False))
+    fresh = compare_results(*result_pairs(pairs, executions, results)).join(prints, "pair_id").withColumn("fresh", F.lit(True))
+    return fresh if kept is None else fresh.unionByName(kept)
+
+
 def evaluate_results(
-    questions: DataFrame, predictions: DataFrame, executions: DataFrame, results: DataFrame, number_of_completions: int = 1
+    questions: DataFrame,
+    predictions: DataFrame,
+    executions: DataFrame,
+    results: DataFrame,
+    number_of_completions: int = 1,
+    store: DataFrame | None = None,
 ) -> Evaluation:
     """Score predictions from stored executions and result rows; nothing is run.
 
     Inputs are those of ``evaluate_predictions``, plus ``executions(hash_key, status)`` and
     ``results(hash_key, row_idx, cells)`` of any run. Each pair of different queries is compared once, however
-    many predictions made it. A query without a stored execution counts as failed.
+    many predictions made it, and not at all if ``store``, the ``store`` of an earlier evaluation, has it with the
+    same results. A query without a stored execution counts as failed.
     """
     pairs = prediction_pairs(questions, predictions)
     distinct = pairs.select("pair_id", "db_id", "gold_sql", "pred_sql").dropDuplicates(["pair_id"])
-    rows, ran = result_pairs(distinct, executions, results)
-    chosen = _voted(pairs, rows, ran) if number_of_completions > 1 else pairs
-    metrics = compare_results(rows, ran).join(chosen, "pair_id")
+    compared = compare_with_store(distinct, executions, results, store)
+    chosen = _voted(pairs, *result_pairs(distinct, executions, results)) if number_of_completions > 1 else pairs
+    metrics = compared.drop("print", "fresh").join(chosen, "pair_id")
     scores = metrics_long(metrics, KEYS, METRICS).select(
         "question_id",
         "experiment",
@@ -86,7 +143,7 @@ def evaluate_results(
     )
     gold = _gold(questions)
     lone = unmatched(predictions, gold, ["question_id"]), unmatched(gold, predictions, ["question_id"])
-    return Evaluation(executions, metrics, scores, summarise(scores), *lone)
+    return Evaluation(executions, metrics, scores, summarise(scores), *lone, compared)
 
 
 def evaluate_predictions(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querygrade.functions import formats, scores, text
 from querygrade.operators import completions, language, rewards
 from querygrade.operators.length_penalty import penalise_length, penalty_statistics
+from querygrade.session import shared_dir
 from querygrade.suite import inputs
 from querygrade.suite.inputs import ANSWERS_SQL, GENERATIONS, answers, documents, graded_answers, rounded, table
 
@@ -193,9 +194,15 @@ SELECT doc_id, CASE WHEN n < 1 THEN 0.0::DOUBLE WHEN len(list_distinct(grams))::
 """
 
 
+def language_words(spark, sf_dir):
+    """The language profile of all documents, stored as a table."""
+    path = shared_dir(spark, "profile")
+    language.language_profile(documents(spark, sf_dir), "text", "lang", LANGUAGES).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def not_english(spark, sf_dir):
-    profile = language.language_profile(documents(spark, sf_dir), "text", "lang", LANGUAGES)
-    return language.foreign_language_penalty(answers(spark, sf_dir), "doc_id", "text", profile, LANGUAGES)
+    return language.foreign_language_penalty(answers(spark, sf_dir), "doc_id", "text", language_words(spark, sf_dir), LANGUAGES)
 
 
 NOT_ENGLISH_SQL = f"""
@@ -350,13 +357,14 @@ SELECT doc_id, 'group' AS scaled_by, round(c / (gs + 1e-4), 6) AS scaled FROM w
 UNION ALL SELECT doc_id, 'batch', round(c / (bs + 1e-4), 6) FROM w
 UNION ALL SELECT doc_id, 'none', round(c, 6) FROM w"""
 
-ALL_PLAIN = [n for n in rewards.COLUMN_REWARDS if n != "penalty_not_english"]
+ALL_REWARDS = list(rewards.REWARD_NAMES)
 
 
 def all_rewards(spark, sf_dir):
-    """Every plain column reward of the registry in one pass, as mean per language."""
-    named = rewards.named_rewards(rewarded(spark, sf_dir), ALL_PLAIN)
-    return named.groupBy("lang").agg(*[rounded(F.avg(n), 6).alias(n.replace("-", "_").lower()) for n in ALL_PLAIN])
+    """All names of the registry from raw answers, as mean per language."""
+    profile = rewards.LanguageProfile(language_words(spark, sf_dir), LANGUAGES)
+    named = rewards.named_rewards(rewarded(spark, sf_dir), ALL_REWARDS, "prompt_id", GENERATIONS, "doc_id", profile)
+    return named.groupBy("lang").agg(*[rounded(F.avg(n), 6).alias(n.replace("-", "_").lower()) for n in ALL_REWARDS])
 
 
 _REWARD_SQL = {
@@ -383,10 +391,24 @@ _REWARD_SQL = {
     "penalty_repetitions": "(SELECT CASE WHEN len(w) < 5 THEN 0.0::DOUBLE WHEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1)))))::DOUBLE / (len(w) - 4) < 0.5 THEN -1.0 ELSE 0.0 END FROM (SELECT string_split(body, ' ') AS w))",
     "penalty_no_format": _form_sql("reasoning", "answer") + " - 1",
 }
+_TABLE_SQL = {"penalty_not_english": NOT_ENGLISH_SQL, "qatch_complex": "cp_cr_tc", "ex_complex": "bird_ex"}
+
+
+def _own_sql(name):
+    """Rewards that are no expression over one answer, each as a query of its own."""
+    if name == "penalty_not_english":
+        return f"SELECT doc_id, penalty AS {name} FROM ({NOT_ENGLISH_SQL})"
+    return f"SELECT doc_id, lowered AS {name} FROM (WITH {ANSWERS_SQL}, {_length_sql(_metric_sql(_TABLE_SQL[name]))} SELECT * FROM penalised)"
+
+
 ALL_REWARDS_SQL = (
-    f"WITH {ANSWERS_SQL} SELECT lang, "
-    + ", ".join(f"round(avg({_REWARD_SQL[n]}), 6) AS {n.replace('-', '_').lower()}" for n in ALL_PLAIN)
-    + " FROM answers GROUP BY lang"
+    f"WITH {ANSWERS_SQL}, "
+    + ", ".join(f"of_{n} AS ({_own_sql(n)})" for n in _TABLE_SQL)
+    + " SELECT lang, "
+    + ", ".join(f"round(avg({_REWARD_SQL.get(n, n)}), 6) AS {n.replace('-', '_').lower()}" for n in ALL_REWARDS)
+    + " FROM answers "
+    + " ".join(f"JOIN of_{n} USING (doc_id)" for n in _TABLE_SQL)
+    + " GROUP BY lang"
 )
 
 QUERIES = {

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from querygrade.functions.cells import query_key
 from querygrade.operators import cache, curate, prompts, report, sampling
 from querygrade.operators.compare import METRICS, metrics_long
-from querygrade.sources import databases
+from querygrade.session import shared_dir
+from querygrade.sources import cache_files, databases
 from querygrade.suite import compare_suite
 from querygrade.suite.inputs import rounded, table
 
@@ -84,8 +85,10 @@ def filter_bad_gold(spark, sf_dir):
 
 
 def filter_counted(spark, sf_dir):
-    kept, _, _ = curate.counted_filter(timed_questions(spark, sf_dir), F.col("sql_execution_time") > 100000)
-    return kept.select("o_orderkey", "sql_execution_time")
+    """The rows that are kept, and how many there were before and after."""
+    kept, counts = curate.save_filtered(timed_questions(spark, sf_dir), F.col("sql_execution_time") > 100000, shared_dir(spark, "filtered"))
+    rows = kept.select(F.lit("row").alias("step"), F.lit(None).cast("long").alias("rows"), "o_orderkey", "sql_execution_time")
+    return rows.unionByName(counts, allowMissingColumns=True)
 
 
 def training_columns(spark, sf_dir):
@@ -137,29 +140,35 @@ CACHE_COLUMNS = {
 }
 
 
-def cache_sources(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumns(
-        {"hash_key": F.concat_ws("-", "user_id", F.floor("value")), "row_rank": F.col("event_id")}
-    )
-    return [
-        events.where(F.col("event_type") == name).select("hash_key", "row_rank", *columns)
-        for name, columns in CACHE_COLUMNS.items()
-    ]
+def cache_folder(spark, sf_dir):
+    """Events as cache files, one folder per type with columns of its own, rows in order of their ids."""
+    events = table(spark, sf_dir, "events").withColumn("hash_key", F.concat_ws("-", "user_id", F.floor("value")))
+    folder = shared_dir(spark, "caches")
+    for name, columns in CACHE_COLUMNS.items():
+        own = events.where(F.col("event_type") == name).orderBy("event_id")
+        own.select("hash_key", *columns).write.parquet(f"{folder}/{name}")
+    return folder
+
+
+def merged_cache(spark, sf_dir):
+    rows = cache_files.read_cache_files(spark, cache_folder(spark, sf_dir))
+    return cache.merge_cache_rows(rows).withColumn("source", F.element_at(F.split("source_path", "/"), -2))
 
 
 def cache_merge(spark, sf_dir):
-    return cache.merge_caches(cache_sources(spark, sf_dir)).select("hash_key", "source_rank", "value", "props")
+    return merged_cache(spark, sf_dir).select("hash_key", "source", "value", "props", "ts")
 
 
 CACHE_SQL = """
 WITH s AS (SELECT user_id || '-' || floor(value)::BIGINT AS hash_key, event_id, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS source_rank,
-  CASE WHEN event_type <> 'purchase' THEN value END AS value, CASE WHEN event_type <> 'error' THEN props END AS props FROM events),
+  event_type AS source, CASE WHEN event_type <> 'purchase' THEN value END AS value, CASE WHEN event_type <> 'error' THEN props END AS props,
+  CASE WHEN event_type = 'signup' THEN ts END AS ts FROM events),
 m AS (SELECT *, row_number() OVER (PARTITION BY hash_key ORDER BY source_rank, event_id) AS rn FROM s)
 """
 
 
 def cache_inserted(spark, sf_dir):
-    return cache.inserted_per_source(cache.merge_caches(cache_sources(spark, sf_dir)))
+    return merged_cache(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("inserted"))
 
 
 def workload(spark, sf_dir):
@@ -284,14 +293,16 @@ QUERIES = {
     ),
     "filter_counted": (
         filter_counted,
-        "SELECT o_orderkey, o_totalprice AS sql_execution_time FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000",
+        "WITH kept AS (SELECT o_orderkey, o_totalprice AS sql_execution_time FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000) "
+        "SELECT 'row' AS step, NULL::BIGINT AS rows, o_orderkey, sql_execution_time FROM kept "
+        "UNION ALL SELECT 'before', count(*), NULL, NULL FROM orders UNION ALL SELECT 'after', count(*), NULL, NULL FROM kept",
     ),
     "training_columns": (training_columns, "SELECT o_orderkey, o_orderpriority AS target_sql FROM orders"),
     "replicate_experiments": (replicate, "SELECT o_orderkey, unnest([0, 1, 2]) AS experiment FROM orders"),
     "render_prompt": (render_prompt, f"SELECT doc_id, md5({_USER_SQL}) AS prompt_md5, length({_USER_SQL}) AS prompt_length FROM documents"),
     "build_messages": (build_messages, MESSAGES_SQL),
-    "cache_merge": (cache_merge, CACHE_SQL + "SELECT hash_key, source_rank, value, props FROM m WHERE rn = 1"),
-    "cache_inserted": (cache_inserted, CACHE_SQL + "SELECT source_rank, count(*) AS inserted FROM m WHERE rn = 1 GROUP BY source_rank"),
+    "cache_merge": (cache_merge, CACHE_SQL + "SELECT hash_key, source, value, props, ts FROM m WHERE rn = 1"),
+    "cache_inserted": (cache_inserted, CACHE_SQL + "SELECT source, count(*) AS inserted FROM m WHERE rn = 1 GROUP BY source"),
     "cache_hits": (_lookup(cache.cache_hits), _lookup_sql("")),
     "cache_misses": (_lookup(cache.cache_misses), _lookup_sql("NOT")),
     "catalog_scan": (catalog_scan, CATALOG_SQL),

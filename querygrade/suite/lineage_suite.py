@@ -1,4 +1,4 @@
-"""Registered queries of lineage: a log with one query text per order, in seven shapes.
+"""Registered queries of lineage: a log with one query text per order, in nine shapes.
 
 The expected answer is stated per shape, so the check does not repeat the method.
 """
@@ -23,6 +23,8 @@ SHAPES = [
     "SELECT p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = part.p_partkey AND l.l_quantity > {k})\n"
     "UNION ALL SELECT s_name FROM supplier /* join customer */",
     "SELECT x.o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey = {k}) AS x JOIN missing m ON m.id = x.o_orderkey",
+    "SELECT x.key, n_name FROM (SELECT s_nationkey AS key FROM supplier WHERE s_suppkey IN (1, ABS({k}))) x, nation n WHERE x.key = n.n_nationkey",
+    'SELECT so."order key", `Total price` FROM "Sales orders" AS so JOIN customer ON c_custkey = so."cust key" WHERE "order key" = {k}',
 ]
 
 # What a reader of each shape would answer.
@@ -34,6 +36,8 @@ COLUMNS = {
     4: {"orders": ["o_orderpriority", "o_orderkey"]},
     5: {"part": ["p_name", "p_partkey"], "lineitem": ["l_partkey", "l_quantity"], "supplier": ["s_name"]},
     6: {"orders": ["o_orderkey"]},
+    7: {"supplier": ["s_nationkey", "s_suppkey"], "nation": ["n_name", "n_nationkey"]},
+    8: {"Sales orders": ["order key", "Total price", "cust key"], "customer": ["c_custkey"]},
 }
 STARS = {2: [None], 3: ["nation"]}
 
@@ -47,8 +51,13 @@ def query_log(spark, sf_dir):
     )
 
 
+# A table of the catalog whose names are more than one word.
+WIDE_TABLE = ("sales", "Sales orders", ["order key", "cust key", "Total price"])
+
+
 def catalog(spark, sf_dir):
-    return databases.catalog_tables(databases.catalog_rows(spark, {"sales": sf_dir}))
+    tables = databases.catalog_tables(databases.catalog_rows(spark, {"sales": sf_dir}))
+    return tables.unionByName(spark.createDataFrame([WIDE_TABLE], tables.schema))
 
 
 def _row_sql(row):
@@ -114,12 +123,13 @@ def lineage_plan(spark, sf_dir):
     )
 
 
-# A star reads every column; the two shapes that name what is not there have no plan.
+# A star reads every column; the three shapes that name what is not there have no plan.
 _ALL_READ = {
     2: {"part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(), "supplier": "s_suppkey s_name s_nationkey s_acctbal".split()},
     3: {"nation": "n_nationkey n_name n_regionkey".split(), "region": ["r_name", "r_regionkey"]},
     4: {},
     6: {},
+    8: {},
 }
 _PLAN_ROWS = [
     row
@@ -144,7 +154,7 @@ QUERIES = {
     ),
     "lineage_no_cte": (
         lambda spark, sf_dir: lineage.mentioned_tables(query_log(spark, sf_dir)),
-        _expected_sql([*_TABLE_ROWS, (6, "missing")], ["table_name"]),
+        _expected_sql([*[(s, t.lower()) for s, t in _TABLE_ROWS], (6, "missing")], ["table_name"]),
     ),
     "lineage_star": (
         lambda spark, sf_dir: lineage.used_columns_with_stars(query_log(spark, sf_dir), catalog(spark, sf_dir)),

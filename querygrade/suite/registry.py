@@ -6,6 +6,7 @@ from querygrade.suite import (
     answer_suite,
     compare_suite,
     curate_suite,
+    evaluate_suite,
     lineage_suite,
     stream_suite,
     workload_suite,
@@ -15,6 +16,7 @@ REGISTERED = {
     **compare_suite.QUERIES,
     **answer_suite.QUERIES,
     **curate_suite.QUERIES,
+    **evaluate_suite.QUERIES,
     **lineage_suite.QUERIES,
     **workload_suite.QUERIES,
     **stream_suite.QUERIES,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querygrade.operators import cache, completions, curate, language, prompts, report, rewards, sampling
 from querygrade.operators.length_penalty import penalise_length, penalty_statistics
+from querygrade.sources import cache_files
 
 
 def ids(frame, column="id"):
@@ -109,6 +110,20 @@ def test_enrich(spark):
     assert got[2].tbls_in_query is None and got[2].sql_execution_time == -1
 
 
+def test_many_parts_are_counted_together(spark):
+    """Exact numbers of every part, also of equal rows without an id."""
+    numbered = spark.range(101).selectExpr("id", "'a' AS v")
+    equal = spark.range(50).selectExpr("CAST(NULL AS LONG) AS id", "'same' AS v")
+    mixed = equal.union(spark.range(1000, 1007).selectExpr("id", "'b' AS v"))
+    parts = [(numbered, 0.5), (equal, 0.3), (mixed, 0.5), (numbered, None), (equal, 0.0), (equal, 1.0)]
+    taken = sampling.subsample_parts(parts, "id", 7)
+    assert [t.count() for t in taken] == [50, 15, 28, 101, 0, 50]
+    assert ids(taken[0]) == ids(sampling.subsample(numbered, "id", 7, 0.5))
+    assert ids(sampling.subsample(numbered, "id", 7, 0.25)) < ids(taken[0])
+    with pytest.raises(ValueError):
+        sampling.subsample_parts([(numbered, 1.5)], "id", 7)
+
+
 # --- prompts ---------------------------------------------------------------------------------
 
 
@@ -180,6 +195,29 @@ def test_merge(spark):
     assert ids(cache.new_rows(a, existing).where("hash_key is not null"), "v") == {"a2"}
 
 
+def test_merge_of_files(spark, tmp_path):
+    """Any number of files in one scan: the first path and row of a key win, existing rows before all."""
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    write("b", [("k1", "b1"), ("k3", "b3")], "hash_key string, v string")
+    write("a", [("k1", "a1", 1), ("k2", "a2", 2), ("k2", "later", 3), (None, "n1", 4), (None, "n2", 5)], "hash_key string, v string, w int")
+    write("c", [("k4", 7)], "hash_key string, w int")
+    rows = cache_files.read_cache_files(spark, str(tmp_path))
+    merged = cache.merge_cache_rows(rows)
+    assert merged.columns == ["hash_key", "source_path", "v", "w"]
+    got = {(r.hash_key, r.v, r.w, r.source_path.split("/")[-2]) for r in merged.collect()}
+    assert got == {("k1", "a1", 1, "a"), ("k2", "a2", 2, "a"), ("k3", "b3", None, "b"), ("k4", None, 7, "c"), (None, "n1", 4, "a"), (None, "n2", 5, "a")}
+    existing = spark.createDataFrame([("k1", "old"), ("k9", "kept")], "hash_key string, v string")
+    got = {(r.hash_key, r.v, r.source_path is None) for r in cache.merge_cache_rows(rows, existing).where("hash_key IS NOT NULL").collect()}
+    assert got == {("k1", "old", True), ("k9", "kept", True), ("k2", "a2", False), ("k3", "b3", False), ("k4", None, False)}
+    plan = merged.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_counts_of_a_filter(spark, tmp_path):
+    kept, counts = curate.save_filtered(spark.range(10).toDF("id"), F.col("id") > 6, f"{tmp_path}/kept")
+    assert ids(kept) == {7, 8, 9} and {tuple(r) for r in counts.collect()} == {("before", 10), ("after", 3)}
+
+
 def test_lookup(spark):
     work = spark.createDataFrame([("d", "SELECT 1"), ("d", "SELECT 2"), ("e", "SELECT 1")], "db_id string, sql string")
     stored = cache.with_key(work.where("db_id = 'e'"))
@@ -226,16 +264,35 @@ def test_language(spark):
     assert got == {0: 0.0, 1: -1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: -1.0, 6: 0.0}
 
 
+def test_language_scores_read_the_texts_once(spark, tmp_path):
+    answers = spark.createDataFrame([(i, "the cat " * 9) for i in range(20)], "id int, text string")
+    answers.write.parquet(f"{tmp_path}/answers")
+    language.language_profile(answers.withColumn("lang", F.lit("en")), "text", "lang", ["en", "fr"]).write.parquet(f"{tmp_path}/profile")
+    profile = spark.read.parquet(f"{tmp_path}/profile")
+    found = language.foreign_language_penalty(spark.read.parquet(f"{tmp_path}/answers"), "id", "text", profile, ["en", "fr"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("/answers") <= 1 and plan.count("text#") >= 1
+    assert found.count() == 20
+
+
 def test_registry(spark):
     assert len(rewards.REWARD_NAMES) == 23
     form = "<think>\na\n</think>\n<answer>\nSELECT 1\n</answer>"
     rows = [(p, i, form + "x" * 0, True, 1.0, 1.0, 0.4) for p in (1, 2) for i in range(2)]
     frame = spark.createDataFrame(rows, "prompt_id int, i int, text string, both_ran boolean, bird_ex double, ex double, cp_cr_tc double")
-    frame = frame.withColumns({"tbls_in_query": F.array(F.lit("t")), "cols_in_query": F.array(F.lit("t.c")), "token_ids": F.array(F.lit(1)), "penalty_language": F.lit(0.0)})
-    row = rewards.named_rewards(frame, " ".join(rewards.REWARD_NAMES), "prompt_id", 2).first().asDict()
+    frame = frame.withColumns({"tbls_in_query": F.array(F.lit("t")), "cols_in_query": F.array(F.lit("t.c")), "token_ids": F.array(F.lit(1)), "answer_id": F.concat_ws("-", "prompt_id", "i")})
+    known = spark.createDataFrame([("le chat est la", "fr"), ("the cat is here", "en")], "text string, lang string")
+    profile = rewards.LanguageProfile(language.language_profile(known, "text", "lang", ["en", "fr"]), ["en", "fr"])
+    named = rewards.named_rewards(frame, " ".join(rewards.REWARD_NAMES), "prompt_id", 2, "answer_id", profile)
+    assert named.count() == 4 and set(rewards.REWARD_NAMES) < set(named.columns)
+    row = named.first().asDict()
     assert (row["EX"], row["QATCH"], row["format_think"], row["format"], row["penalty_no_format"], row["qatch_complex"]) == (1, 0.4, 1, 0, -1, 0.4)
+    french = rewards.named_rewards(frame.withColumn("text", F.lit("le chat est la le chat")), "penalty_not_english EX", key="answer_id", profile=profile)
+    assert {(r.penalty_not_english, r.EX) for r in french.collect()} == {(-1.0, 1.0)}
     with pytest.raises(KeyError):
         rewards.named_rewards(frame, "EX nothing")
+    with pytest.raises(ValueError):
+        rewards.named_rewards(frame, "penalty_not_english")
     with pytest.raises(ValueError):
         rewards.weighted_sum({"a": F.lit(1)}, {"b": 1.0})
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from querygrade.functions import formats
 from querygrade.operators import cache, completions
 from querygrade.operators.length_penalty import penalise_length
-from querygrade.streaming import jobs
+from querygrade.streaming import groups, jobs
 
 DELTA = "request int, choice int, seq int, delta string, arrived timestamp"
 
@@ -39,20 +39,28 @@ def test_assembly(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "rows")).select("batch").distinct().count() == 3
 
 
-def test_assembly_with_watermark(spark, tmp_path):
+def test_assembly_in_sessions(spark, tmp_path):
     import datetime
 
-    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
     parts = [
-        [(1, 0, 1, "b", at(0)), (1, 0, 0, "a", at(0))], [(1, 0, 3, "d", at(12)), (1, 0, 2, "c", at(12))],
-        [(2, 0, 0, "x", at(30))], [(1, 0, 4, "late", at(1)), (3, 0, 0, "z", at(59))],
+        [(1, 0, 1, "b", at(0)), (1, 0, 0, "a", at(0))], [(1, 0, 3, "d", at(12)), (1, 0, 2, "c", at(5))],
+        [(2, 0, 0, "x", at(30)), (1, 0, 4, "e", at(31))], [(1, 0, 5, "late", at(1)), (3, 0, 0, "z", at(59))],
     ]
     stream, _ = source(spark, tmp_path / "in", DELTA, parts)
-    query = jobs.assemble_stream_until(stream, ["request", "choice"], "arrived", "1 minute", "10 minutes", str(tmp_path / "out"))
+    run = lambda: jobs.assemble_stream_until(stream, ["request", "choice"], "arrived", "1 minute", "10 minutes", str(tmp_path / "out"))
+    query = run()
+    query.awaitTermination()
+    got = jobs.read_assembled(spark, str(tmp_path / "out"), ["request", "choice"])
+    assert {(r.request, r.text) for r in got.collect()} == {(1, "abcde"), (2, "x")}
+    assert jobs.late_pieces(query) == 1 and jobs.open_runs(query) == 1
+    # A sign of life closes the last run and leaves nothing in state.
+    spark.createDataFrame([(None, None, None, None, at(120))], DELTA).write.parquet(str(tmp_path / "in" / "sign"))
+    query = run()
     query.awaitTermination()
     got = jobs.read_assembled(spark, str(tmp_path / "out"), ["request", "choice"])
-    assert {(r.request, r.text) for r in got.collect()} == {(1, "abcd"), (2, "x")}
-    assert jobs.late_pieces(query) == 1
+    assert {(r.request, r.text) for r in got.collect()} == {(1, "abcde"), (2, "x"), (3, "z")}
+    assert jobs.open_runs(query) == 0
 
 
 def test_scores(spark, tmp_path):
@@ -63,11 +71,6 @@ def test_scores(spark, tmp_path):
     assert rows_of(spark.read.parquet(str(tmp_path / "out" / "rows")).drop("batch")) == rows_of(score(batch))
 
 
-def test_complete_groups(spark):
-    full, waiting = jobs.complete_groups(spark.createDataFrame([(1,), (1,), (2,)], "g int"), "g", 2)
-    assert (full.count(), waiting.count()) == (2, 1)
-
-
 def test_cache(spark, tmp_path):
     schema = "hash_key string, row_rank int, v string"
     parts = [[("a", 1, "late"), ("a", 0, "first"), ("b", 2, "b")], [("a", 3, "again"), ("c", 4, "c")], [("b", 5, "x"), ("b", 6, "y")]]
@@ -82,13 +85,51 @@ def test_cache(spark, tmp_path):
 
 
 def test_groups_across_batches(spark, tmp_path):
-    """A group scores once it is whole, in whichever batch its last member comes."""
-    parts = [[(1, 10), (1, 11), (2, 5)], [(1, 400), (2, 6)], [(3, 1), (2, 7)]]
-    stream, batch = source(spark, tmp_path / "in", "g int, length int", parts)
+    """A group scores once it is whole, in whichever batch its last member comes; one over three batches, one without an id."""
+    rows = [[(1, 10), (1, 11), (2, 5), (None, 9)], [(1, 400), (2, 6), (None, 8)], [(3, 1), (2, 7), (None, 90)]]
+    big = 2**53 + 1
+    parts = [[(g, n, big + n) for g, n in part] for part in rows]
+    stream, batch = source(spark, tmp_path / "in", "g int, length int, big long", parts)
     folder = str(tmp_path / "out")
-    score = lambda full: penalise_length(full.withColumn("score", F.lit(1.0)), "g", 3).select("g", "length", "penalised")
-    query = jobs.score_groups_stream(stream, "g", 3, score, folder)
+    score = lambda full: penalise_length(full.withColumn("score", F.lit(1.0)), "g", 3).select("g", "length", "big", "penalised")
+    query = groups.score_groups_stream(stream, "g", 3, score, folder)
     query.awaitTermination()
     got = spark.read.parquet(f"{folder}/rows").drop("batch")
-    assert rows_of(got) == rows_of(score(batch.where("g < 3")))
-    assert [r.g for r in jobs.read_waiting(spark, folder, 2).collect()] == [3]
+    key = lambda frame: sorted(map(tuple, frame.select(*sorted(frame.columns)).collect()), key=repr)
+    assert key(got) == key(score(batch.where("g < 3 OR g IS NULL")))
+    assert [(r.g, r.length, r.big) for r in groups.read_open(spark, folder, batch.schema).collect()] == [(3, 1, big + 1)]
+    # The state holds the groups that are open, not all that were seen.
+    assert [n for _, n, _ in groups.open_group_counts(query)] == [3, 2, 1]
+
+
+def test_groups_without_an_answer_for_long(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    parts = [[("a", 1, at(0)), ("b", 2, at(0))], [("a", 3, at(20))], [("c", 4, at(40)), ("c", 5, at(40)), ("c", 6, at(40))], [("d", 7, at(59))]]
+    stream, batch = source(spark, tmp_path / "in", "g string, n int, arrived timestamp", parts)
+    folder = str(tmp_path / "out")
+    timed = stream.withWatermark("arrived", "0 seconds")
+    query = groups.score_groups_stream(timed, "g", 2, lambda closed: closed, folder, patience=900, arrival="arrived")
+    query.awaitTermination()
+    got = {(r.g, r.n, r.arrived, r.complete) for r in spark.read.parquet(f"{folder}/rows").collect()}
+    assert got == {("a", 1, at(0), True), ("a", 3, at(20), True), ("b", 2, at(0), False), *(("c", n, at(40), True) for n in (4, 5, 6))}
+    assert [r.n for r in groups.read_open(spark, folder, batch.schema).collect()] == [7]
+
+
+def test_untouched_parts_of_the_cache_are_not_read(spark, tmp_path):
+    schema = "hash_key string, row_rank int, v string"
+    first = [(f"k{i}", i, "first") for i in range(200)] + [(None, i, "keyless") for i in range(20)]
+    second = [("k7", 300, "again"), ("k8", 301, "again"), ("new", 302, "new")]
+    stream, _ = source(spark, tmp_path / "in", schema, [first, second])
+    folder = str(tmp_path / "out")
+    jobs.append_to_cache_stream(stream, folder, bits=4).awaitTermination()
+    rows = jobs.read_cache(spark, folder)
+    assert rows.count() == 221 and rows.where("v = 'again'").count() == 0
+    touched = [r.part for r in spark.createDataFrame(second, schema).select(jobs.cache_part(4).alias("part")).distinct().collect()]
+    known = jobs.known_keys(spark, folder, 1, touched)
+    known.collect()
+    scan = known._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = scan.metrics().apply("numPartitions").value()
+    assert 0 < len(touched) < 16 and read == len(touched)
+    assert spark.read.parquet(f"{folder}/rows").where("batch = 0").select("part").distinct().count() == 16

@@ -7,6 +7,7 @@ import shop
 from pyspark.sql import functions as F
 
 from querygrade.operators import cache, lineage
+from querygrade.operators.compare import METRICS
 from querygrade.plans import evaluate, plan_lineage, workload
 from querygrade.sources import databases
 
@@ -86,6 +87,33 @@ def test_lineage_edges(spark, catalog):
     assert ("commas", "nowhere") in named and ("cte_columns", "recent") not in named
 
 
+def test_sources_behind_brackets_and_in_quotes(spark, catalog):
+    tables = databases.catalog_tables(catalog)
+    wide = spark.createDataFrame([("shop", "Garden Beds", ["bed no", "a.b", "size"])], tables.schema)
+    queries = {
+        "derived": "SELECT x.id, plants FROM (SELECT id FROM plots WHERE rent IN (1, (2))) x, beds b JOIN (members) ON true",
+        "nested": "SELECT n FROM (SELECT name AS n FROM (SELECT name FROM members) y, plots) z LEFT OUTER JOIN beds ON (z.n = 1), crops",
+        "bracketed": "SELECT 1 FROM ((members m JOIN plots o ON o.member_id = m.id) CROSS JOIN beds), crops c",
+        "behind_on": "SELECT 1 FROM members m JOIN plots o ON f(m.id, 1) = o.member_id, beds WHERE 1 IN (SELECT 2 FROM crops)",
+        "quoted": 'SELECT g."bed no", `a.b`, "Garden Beds".size FROM "Garden Beds" g, `members`',
+        "function": "SELECT EXTRACT(year FROM leased), TRIM(both FROM 'x') FROM plots, explode(ids) e WHERE rent IS DISTINCT FROM 3",
+        "unbalanced": "SELECT ( FROM members",
+    }
+    named = lineage.mentioned_tables(log_of(spark, queries)).groupBy("query_id").agg(F.collect_set("table_name").alias("t"))
+    assert {r.query_id: set(r.t) for r in named.collect()} == {
+        "derived": {"plots", "beds"},
+        "nested": {"members", "plots", "beds", "crops"},
+        "bracketed": {"members", "plots", "beds", "crops"},
+        "behind_on": {"members", "plots", "beds", "crops"},
+        "quoted": {"garden beds", "members"},
+        "function": {"plots"},
+        "unbalanced": {"members"},
+    }
+    used = grouped(lineage.used_columns(log_of(spark, queries), tables.unionByName(wide)))
+    assert used["quoted"] == {"Garden Beds": {"bed no", "a.b", "size"}}
+    assert used["derived"]["beds"] == {"plants"} and used["derived"]["plots"] == {"id", "rent"}
+
+
 def test_stars(spark, catalog):
     tables = databases.catalog_tables(catalog)
     queries = {
@@ -202,3 +230,28 @@ def test_words_that_are_no_sources(spark, session):
     )
     got = {(r.query_id, r.table_name) for r in lineage.mentioned_tables(log).collect()}
     assert got == {("a", "plots"), ("b", "members"), ("c", "crops")}
+
+
+def test_store_of_compared_pairs(spark):
+    """Only pairs whose results have changed are compared again, and the metrics are those of a full comparison."""
+    queries = {"a": [1, 2], "b": [2, 1], "c": [1, 2, 2], "d": [], "e": None}
+    pairs = spark.createDataFrame([(f"{x}{y}", "db", x, y) for x in queries for y in queries], "pair_id string, db_id string, gold_sql string, pred_sql string")
+    keyed = {r.sql: r.hash_key for r in cache.with_key(pairs.selectExpr("db_id", "gold_sql AS sql")).collect()}
+    ran = spark.createDataFrame([(keyed[q], "error" if rows is None else "ok") for q, rows in queries.items() if q != "d"], "hash_key string, status string")
+    ran = ran.union(spark.createDataFrame([(keyed["d"], "ok")], ran.schema))
+
+    def results(of):
+        return spark.createDataFrame([(keyed[q], i, [str(v)]) for q, rows in of.items() for i, v in enumerate(rows or [])], "hash_key string, row_idx long, cells array<string>")
+
+    metrics = lambda frame: sorted(map(tuple, frame.select("pair_id", "both_ran", *METRICS, "cp_cr_tc").collect()))
+    first = evaluate.compare_with_store(pairs, ran, results(queries)).persist()
+    assert first.where("fresh").count() == 25
+    same = evaluate.compare_with_store(pairs, ran, results(queries), first)
+    assert same.where("fresh").count() == 0 and metrics(same) == metrics(first)
+    changed = {**queries, "a": [2, 1]}  # only the order of one result
+    after = evaluate.compare_with_store(pairs, ran, results(changed), first)
+    assert {r.pair_id for r in after.where("fresh").collect()} == {p.pair_id for p in pairs.collect() if "a" in p.pair_id}
+    assert metrics(after) == metrics(evaluate.compare_with_store(pairs, ran, results(changed)))
+    lost = evaluate.compare_with_store(pairs, ran.where(F.col("hash_key") != keyed["b"]), results(queries), first)
+    assert {r.pair_id for r in lost.where("fresh").collect()} == {p.pair_id for p in pairs.collect() if "b" in p.pair_id}
+    first.unpersist()
