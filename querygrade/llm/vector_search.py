@@ -231,12 +231,15 @@ def _ranked(queries: pa.Table, rows: pa.Table) -> pa.Table:
     grouped = np.argsort(which, kind="stable")  # ids ascend within a vector
     bounds = np.searchsorted(which[grouped], np.arange(len(firsts) + 1))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    keep = min(NEAREST + 8, len(firsts))
+    keep = min(NEAREST + 1, len(firsts))  # the query's own vector may be one of them
+    lengths = np.sqrt((distinct**2).sum(axis=1)).max()
     for a in range(0, len(asked), 256):
         products = np.where(wanted[a : a + 256][:, home], probes[a : a + 256] @ distinct.T, -np.inf)
-        best = np.argpartition(-products, keep - 1, axis=1)[:, :keep]
-        for q, places in zip(range(a, a + len(products)), best):
-            places = places[wanted[q, home[places]]]
+        last = np.partition(products, len(firsts) - keep, axis=1)[:, len(firsts) - keep]
+        # All vectors that may tie with the last one kept, whatever their number; a product is exact to far less than this.
+        last = last - 1e-9 * lengths * np.sqrt((probes[a : a + 256] ** 2).sum(axis=1))
+        for q, own, least in zip(range(a, a + len(products)), products, last):
+            places = np.flatnonzero((own >= least) & (own > -np.inf))
             if not len(places):
                 continue
             exact = (distinct[places] * probes[q]).sum(axis=1)
