@@ -61,6 +61,10 @@ def pack_ids(ids: np.ndarray) -> bytes:
     for w in np.unique(width).tolist():
         if w:
             own = np.flatnonzero(width == w)
+            if w % 8 == 0:  # whole bytes of little-endian ids are the packed bits
+                taken = np.ascontiguousarray(rest[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4)[:, :, : w // 8])
+                body[starts[own][:, None] + np.arange(BLOCK * w // 8)] = taken.reshape(len(own), -1)
+                continue
             planes = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
             packed = np.packbits(planes.reshape(len(own), BLOCK * w), axis=1, bitorder="little")
             body[starts[own][:, None] + np.arange(packed.shape[1])] = packed
@@ -83,16 +87,21 @@ def unpack_ids(data: bytes) -> np.ndarray:
     at += len(body)
     where = np.frombuffer(data, "u1", exceptions, at).astype(np.int64)
     high = np.frombuffer(data, "<u4", exceptions, at + exceptions)
-    out = np.zeros((blocks, BLOCK), np.uint64)
+    out = np.zeros((blocks, BLOCK), np.uint32)
     for w in np.unique(width).tolist():
         if w:
             own = np.flatnonzero(width == w)
             packed = body[index["start"][own].astype(np.int64)[:, None] + np.arange(w * (BLOCK // 8))]
+            if w % 8 == 0:
+                wide = np.zeros((len(own), BLOCK, 4), np.uint8)
+                wide[:, :, : w // 8] = packed.reshape(len(own), BLOCK, w // 8)
+                out[own] = wide.view("<u4").reshape(len(own), BLOCK)
+                continue
             planes = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-            out[own] = planes.astype(np.float64) @ (2.0 ** np.arange(w))
+            out[own] = np.packbits(np.pad(planes, ((0, 0), (0, 0), (0, 32 - w))), axis=2, bitorder="little").view("<u4").reshape(len(own), BLOCK)
     which = np.repeat(np.arange(blocks), index["exceptions"])
-    out[which, where] |= high.astype(np.uint64) << width[which].astype(np.uint64)
-    return (out + index["base"][:, None]).astype(np.uint32).ravel()[:n]
+    out[which, where] |= high.astype(np.uint32) << width[which].astype(np.uint32)
+    return (out + index["base"][:, None]).ravel()[:n]
 
 
 def _segments(path: str, end_id: int):
@@ -130,10 +139,13 @@ def _segments(path: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0) -> None:
     """Write the ids of all texts of ``docs`` (doc_id, text), each followed by ``end_id``, in ascending doc_id order.
 
-    Null doc_ids come first; rows of one doc_id are ordered by text. Null and empty texts are the end id alone.
+    Null doc_ids come first; rows of one doc_id are ordered by a hash of their text. Null and empty texts are the end id alone.
     An empty table writes a folder without segments. Columns besides doc_id and text are ignored.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions_of(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, or without one, can lie in many ranges.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "hash", "place"]
+    ordered = rows.repartitionByRange(partitions_of(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = "shard int, segment int, first long, ids long, doc_ids binary, doc_lengths binary, unnumbered long, blocks binary"
     ordered.mapInArrow(_segments(vocabulary, end_id), schema).write.option("compression", "none").parquet(folder)
 

@@ -14,8 +14,8 @@ import numpy as np
 
 from querygrade.llm.common import ragged
 
-#: Runs a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 700_000
+#: Bytes of runs and ids a worker remembers before it starts afresh (a run counts RUN_BYTES besides its letters and ids).
+REMEMBERED_BYTES, RUN_BYTES = 48 << 20, 180
 
 _TAIL = ".,;:!?|"
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -40,16 +40,22 @@ class _Index(dict):
 class TextEncoder:
     """``spaced``: a space belongs to the word after it (byte-level vocabularies); else white space is dropped."""
 
+    spaced = False
+
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        # Characters of each token, which are its bytes in a byte-level vocabulary.
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} if spaced else {}
+        self.token_bytes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
         self.index = _Index()
+        self.letters = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(0, np.int64)
@@ -88,7 +94,55 @@ class TextEncoder:
             return head, _RAW + body if head else body, key[len(head) + len(body) :]
         return "", "", ""
 
+    def _joined(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of runs that follow each other, encoded as one text and cut at their bytes, and the number of ids of each.
+
+        None if a token lies across two runs.
+        """
+        strings = [self._string(k) for k in keys]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(strings)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.token_bytes[ids])
+        wanted = np.cumsum(np.fromiter((len(s) if s.isascii() else len(s.encode()) for s in strings), np.int64, len(strings)))
+        at = np.searchsorted(ends, wanted)
+        if not len(ids) or at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
+            return None
+        return ids.astype(np.uint32), np.diff(at, prepend=-1)
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        total = len(flat)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(len(self.flat), total), np.uint32)))
+        self.flat[self.used : self.used + total] = flat
+        self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
+        self.length = np.concatenate((self.length, lengths))
+        self.used += total
+
+    def _learn_spaced(self) -> bool:
+        """Learns the fresh runs of a byte-level vocabulary: those that can follow each other as one text."""
+        fresh = self.index.fresh
+        alone = [k for k in fresh if k[0] == _RAW or k[-1] in " \n" or k[0] == " "]
+        chosen = set(alone)
+        rest = [k for k in fresh if k not in chosen]
+        joined = self._joined(rest) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if joined is None:
+            return False
+        flat, lengths = joined
+        single = self._whole([self._string(k) for k in alone])
+        lengths = np.concatenate((lengths, np.fromiter(map(len, single), np.int64, len(single))))
+        flat = np.concatenate((flat, np.array([i for ids in single for i in ids], np.uint32)))
+        # Back into the order of first sight, which is the runs' numbers.
+        place = np.empty(len(fresh), np.int64)
+        is_alone = np.fromiter((k in chosen for k in fresh), bool, len(fresh))
+        place[~is_alone], place[is_alone] = np.arange(len(rest)), np.arange(len(rest), len(fresh))
+        starts = np.cumsum(lengths) - lengths
+        self._append(flat[ragged(starts[place], lengths[place])], lengths[place])
+        return True
+
     def _learn(self) -> None:
+        self.letters += sum(map(len, self.index.fresh))
+        if self.spaced and self._learn_spaced():
+            self.index.fresh = []
+            return
         index = self.index
         known, cut, plain = len(self.start), {}, []
         for key in index.fresh:  # grows with the bodies that are new
@@ -105,18 +159,12 @@ class TextEncoder:
             found[n] = mark_ids[head] + own + mark_ids[tail]
         ordered = [found[n] for n in range(known, len(index))]
         lengths = np.fromiter(map(len, ordered), np.int64, len(ordered))
-        total = int(lengths.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(len(self.flat), total), np.uint32)))
-        self.flat[self.used : self.used + total] = [i for ids in ordered for i in ids]
-        self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
-        self.length = np.concatenate((self.length, lengths))
-        self.used += total
+        self._append(np.array([i for ids in ordered for i in ids], np.uint32), lengths)
         index.fresh = []
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null as empty), each followed by ``end_id`` if there is one."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > REMEMBERED_BYTES:
             self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         numbers, counts, regular, whole = [], [], [], []
