@@ -14,29 +14,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import random64, text_slices
+from querygrade.llm.common import mix64, text_slices
 
-#: Length of the vectors, letters of an n-gram, and letter classes (a-z, then others by code point; 0 is a gap).
+#: Length of the vectors and letters of an n-gram.
 DIMENSIONS = 512
 GRAM = 3
-SYMBOLS = 64
 UNDETERMINED = "und"
 
-_LETTERS = ((random64(SYMBOLS * DIMENSIONS, 11) >> np.uint64(33)) & np.uint64(1)).astype(np.int8).reshape(SYMBOLS, DIMENSIONS) * 2 - 1
-_classes: list[np.ndarray] = []
+#: Bits of a letter in the code of an n-gram: any code point, 0 for a gap.
+_LETTER_BITS = 21
+_letters: list[np.ndarray] = []
 
 
 def _symbol_table() -> np.ndarray:
-    """Class of each code point: letters in either case alike, everything else a gap."""
-    if not _classes:
-        codes = np.zeros(0x110000, np.uint8)
+    """The letter of each code point: its lower-case form, so both cases are alike; everything else is a gap."""
+    if not _letters:
+        codes = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             char = chr(c)
             if char.isalpha():
-                low = ord(char.lower()[0])
-                codes[c] = low - 96 if 97 <= low <= 122 else 27 + low * 31 % (SYMBOLS - 27)
-        _classes.append(codes)
-    return _classes[0]
+                codes[c] = ord(char.lower()[0])
+        _letters.append(codes)
+    return _letters[0]
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """The random vector of each letter: bits of a hash of its code point, as 1 and -1. A gap has one too."""
+    words = np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    bits = mix64((letters.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ words)
+    spread = (bits[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    return spread.reshape(len(letters), DIMENSIONS).astype(np.int8) * 2 - 1
 
 
 def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +64,7 @@ def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64), lettered
     codes = symbols[:n].copy()
     for k in range(1, GRAM):
-        codes = codes * SYMBOLS + symbols[k : n + k]
+        codes = (codes << _LETTER_BITS) | symbols[k : n + k]
     whole = owner[:n] == owner[GRAM - 1 :]
     return codes[whole], owner[:n][whole], lettered
 
@@ -65,9 +72,11 @@ def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def gram_vectors(codes: np.ndarray) -> np.ndarray:
     """The bound vectors of some n-grams: letters' vectors, rotated by their distance from the end, multiplied."""
     bound = np.ones((len(codes), DIMENSIONS), np.int8)
-    for k in range(GRAM):
-        letter = codes // SYMBOLS ** (GRAM - 1 - k) % SYMBOLS
-        bound *= np.roll(_LETTERS, GRAM - 1 - k, axis=1)[letter]
+    places = [codes >> (_LETTER_BITS * (GRAM - 1 - k)) & ((1 << _LETTER_BITS) - 1) for k in range(GRAM)]
+    letters, which = np.unique(np.concatenate(places), return_inverse=True)
+    vectors = letter_vectors(letters)
+    for k, own in enumerate(which.reshape(GRAM, -1)):
+        bound *= np.roll(vectors, GRAM - 1 - k, axis=1)[own]
     return bound
 
 
@@ -81,7 +90,8 @@ def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         n = min(256, len(texts) - a)
         own, col = np.unique(place[rows], return_inverse=True)
         counts = np.bincount((owner[rows] - a) * len(own) + col, minlength=n * len(own)).reshape(n, len(own)).astype(np.float32)
-        out[a : a + n] = counts @ gram_vectors(names[own]).astype(np.float32)
+        for c in range(0, len(own), 4096):  # the widened vectors of so many n-grams at a time
+            out[a : a + n] += counts[:, c : c + 4096] @ gram_vectors(names[own[c : c + 4096]]).astype(np.float32)
     norms = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))
     return out / np.maximum(norms, 1e-9)[:, None].astype(np.float32), lettered
 

@@ -129,9 +129,43 @@ def test_languages(documents, odd_documents):
 
 
 def test_gram_vectors_bind_permuted_letters():
-    code = (3 * 64 + 5) * 64 + 7
-    a, b, c = (language_id._LETTERS[k].astype(int) for k in (3, 5, 7))
+    letters = [ord("c"), ord("λ"), ord("漢")]
+    code = (letters[0] << 42) | (letters[1] << 21) | letters[2]
+    a, b, c = language_id.letter_vectors(np.array(letters)).astype(int)
     assert (language_id.gram_vectors(np.array([code]))[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
+    many = language_id.letter_vectors(np.array([c for c in range(0x600) if chr(c).isalpha() and chr(c).lower() == chr(c)])).astype(int)
+    products = np.abs(many @ many.T) - language_id.DIMENSIONS * np.eye(len(many), dtype=int)
+    assert products.max() < language_id.DIMENSIONS // 3  # no two letters share a vector, or nearly
+
+
+def plain_bundle(text):
+    """Sum of the bound vectors of a text's n-grams, letter by letter, and their number."""
+    letters = [0]
+    for char in text:
+        letter = ord(char.lower()[0]) if char.isalpha() else 0
+        if letter or letters[-1]:
+            letters.append(letter)
+    letters += [0] if letters[-1] else []
+    vector = {c: language_id.letter_vectors(np.array([c]))[0].astype(int) for c in set(letters)}
+    grams = [letters[i : i + 3] for i in range(len(letters) - 2)]
+    return sum((np.roll(vector[x], 2) * np.roll(vector[y], 1) * vector[z] for x, y, z in grams), np.zeros(language_id.DIMENSIONS)), len(grams)
+
+
+def test_bundles_and_cosines_against_plain_versions(documents):
+    rng = random.Random(14)
+    alphabets = {"el": "αβγδε λμ", "en": "abcde lm", "ru": "абвгд лм"}
+    rows = [(i, "".join(rng.choices(alphabets[lang] + "  .,7É", k=rng.randint(5, 80))), lang) for i, lang in enumerate(list(alphabets) * 20)]
+    bundles = {i: plain_bundle(t) for i, t, _ in rows}
+    unit = lambda v: v / max(np.sqrt((v * v).sum()), 1e-12)
+    vectors, _ = language_id.text_vectors([t for _, t, _ in rows])
+    assert all(np.allclose(v, unit(bundles[i][0]), atol=1e-5) for i, v in enumerate(vectors))
+    langs, prototypes = language_id.learn_prototypes(documents(rows))
+    plain = [unit(sum(bundles[i][0] / bundles[i][1] for i, _, own in rows if own == lang)) for lang in langs]
+    assert langs == sorted(alphabets) and np.allclose(prototypes, plain, atol=1e-6)
+    found = {r.doc_id: r for r in language_id.predict_language(documents(rows), langs, prototypes).collect()}
+    for i, _, lang in rows:
+        cosines = [unit(bundles[i][0]) @ p for p in plain]
+        assert found[i].lang_pred == langs[int(np.argmax(cosines))] == lang and math.isclose(found[i].score, max(cosines), abs_tol=1e-5)
 
 
 def test_quality(spark, documents, odd_documents):
