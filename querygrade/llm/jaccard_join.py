@@ -11,9 +11,11 @@ Steps, each over all documents:
    merges its short lists, keeps the sets that occur often enough without the long ones, and looks those up
    in the long lists by binary search.
 4. Connected classes of the links.
+5. T-occurrence search of every set against all lists of its class (:mod:`querygrade.llm.jaccard_links`), which counts
+   all links: both ends of a link lie in one class.
 
-No list is cut. A large group of near copies costs few searches for each member, as pairs inside a class are
-not searched again. Only frequencies of at most ``HOT_SHINGLES`` shingles and a filter of ``FILTER_BITS`` bits
+No list is cut. Up to step 4 a large group of near copies costs few searches for each member, as pairs inside a class
+are not searched again. Only frequencies of at most ``HOT_SHINGLES`` shingles and a filter of ``FILTER_BITS`` bits
 are sent to the executors.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrade.llm.common import connected_classes, partitions_of, ragged, stored, text_slices, utf8_of
+from querygrade.llm.jaccard_links import link_counts
 from querygrade.llm.shingles import set_key, shingle_sets
 
 #: Similarity of a link, as a fraction.
@@ -404,11 +407,11 @@ def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text; more columns are ignored).
+    """Columns doc_id, n_shingles, component_id, n_links for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Two documents link when their sets of 5-word shingles have a Jaccard similarity of 0.75 or more; words are
     runs of bytes other than white space of ASCII, A-Z lower-cased; fewer than five words are one shingle.
-    component_id is the smallest doc_id reachable over links. Null, empty and blank texts have an empty set and
+    component_id is the smallest doc_id reachable over links, n_links the number of other rows that the row links with. Null, empty and blank texts have an empty set and
     link with nothing: each is its own class. Repeated rows come out once each. A null doc_id has a null
     component unless it links with a numbered document. An empty table gives an empty table.
     """
@@ -440,9 +443,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             break
     classes = stored(connected_classes(links, "hub", "key").withColumnRenamed("node", "key"), "classes")
     links = links.union(_linked(_list_pairs(_open_lists(open_lists, classes), sketches), bodies))
-    classes = connected_classes(links, "hub", "key").withColumnRenamed("node", "key")
-    smallest = sets.where("key >= 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    classes = stored(connected_classes(links, "hub", "key").withColumnRenamed("node", "key"), "classes")
+    smallest = sets.where("key >= 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    smallest = stored(smallest, "smallest")
+    members = classes.join(smallest.select("key", "copies"), "key").join(bodies, "key")
+    counts = link_counts(members, required).groupBy("key").agg(F.sum("links").alias("links"))
     tops = smallest.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     firsts = tops.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    by_key = tops.join(firsts, "class").select("key", "component_id")
-    return sets.select("doc_id", "n_shingles", "key").join(by_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_key = tops.join(firsts, "class").join(counts, "key", "left")
+    by_key = by_key.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = sets.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

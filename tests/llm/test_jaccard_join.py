@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from querygrade.llm import common, jaccard_join
+from querygrade.llm import common, jaccard_join, jaccard_links
 from querygrade.llm.shingles import shingle_sets
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -28,7 +28,8 @@ def plain_classes(rows):
                 both = len(sets[i] & sets[j])
                 if both and 100 * both >= 75 * len(sets[i] | sets[j]) and smallest[j] < smallest[i]:
                     smallest[i], changed = smallest[j], True
-    return {i: (len(sets[i]), smallest[i]) for i in sets}
+    close = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) > 0
+    return {i: (len(sets[i]), smallest[i], sum(close(i, j) for j in sets if j != i)) for i in sets}
 
 
 def texts(seed):
@@ -47,14 +48,15 @@ def texts(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("long_list", [64, 1])
-def test_classes_against_all_pairs(spark, documents, monkeypatch, long_list):
+@pytest.mark.parametrize("long_list, block", [(64, 2048), (1, 2)])
+def test_classes_against_all_pairs(spark, documents, monkeypatch, long_list, block):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard_links, "BLOCK_SETS", block)
     monkeypatch.setattr(jaccard_join, "HOT_FROM", 3)
     rows = texts(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(documents(rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_classes(documents(rows)).collect()}
     assert got == plain_classes(rows)
-    assert len({c for _, c in got.values()}) < len(rows)
+    assert len({c for _, c, _ in got.values()}) < len(rows) and max(n for *_, n in got.values()) > 2
 
 
 def test_odd_rows(odd_documents):
@@ -85,6 +87,23 @@ def test_divide_skip_against_counting():
         assert (jaccard_join.divide_skip(np.zeros(0, np.uint64), [x for x in lists if len(x)], needed) == (counts >= needed)).all()
 
 
+def test_search_of_lists_against_counting():
+    """Sets of a group of near copies, of unrelated sets and of both: the same sets reach the overlap as by counting."""
+    rng = np.random.default_rng(9)
+    for kind in range(60):
+        n, base = int(rng.integers(1, 60)), np.arange(200, dtype=np.uint64)
+        sets = []
+        for _ in range(n):
+            near = kind % 3 == 0 or (kind % 3 == 1 and rng.random() < 0.5)
+            own = base[rng.random(200) > 0.04] if near else np.zeros(0, np.uint64)
+            other = rng.integers(200, 400, int(rng.integers(1, 30))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate((own, other))))
+        lists = jaccard_links.Lists(sets)
+        for probe in [*sets[:10], np.arange(150, 260, dtype=np.uint64), np.array([1000], np.uint64)]:
+            want = [k for k, s in enumerate(sets) if len(np.intersect1d(probe, s)) >= jaccard_join.required(len(s), len(probe))]
+            assert lists.search(probe, jaccard_join.required).tolist() == want
+
+
 def test_rounds_and_one_task_agree(spark):
     rng = random.Random(1)
     links = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)], "x long, y long")
