@@ -115,6 +115,78 @@ def test_fingerprints(documents, odd_documents):
     assert piecewise_hash.document_fingerprints(documents([])).count() == 0
 
 
+def plain_mix(x):
+    mask = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & mask
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & mask
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(body):
+    """Rolling hash byte by byte, chunks one by one, signatures at the block size and at twice that."""
+    mask = (1 << 64) - 1
+    values, places = piecewise_hash._BYTES.tolist(), piecewise_hash._PLACES.tolist()
+    rolled = [plain_mix(sum(values[body[i - k]] * places[k] for k in range(min(7, i + 1))) & mask) >> 20 for i in range(len(body))]
+
+    def signature(size):
+        ends = [i for i, r in enumerate(rolled) if r % size == 0][:63]
+        starts = [s for s in [0, *(e + 1 for e in ends)] if s < len(body)]
+        out = ""
+        for start, stop in zip(starts, [*starts[1:], len(body)]):
+            total = sum(values[body[p]] * pow(int(piecewise_hash._BASE), p - start, 1 << 64) for p in range(start, stop)) & mask
+            out += chr(piecewise_hash._ALPHABET[plain_mix(total) & 63])
+        return out
+
+    block = 3
+    while block * 64 < len(body):
+        block *= 2
+    while block > 3 and sum(r % block == 0 for r in rolled) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            above, row = row, [i + 1]
+            for j, d in enumerate(y):
+                row.append(min(above[j + 1] + 1, row[j] + 1, above[j] + (c != d)))
+        return row[-1]
+
+    (size_a, *own_a), (size_b, *own_b) = a.split(":"), b.split(":")
+    signatures = lambda size, own: {int(size): own[0], 2 * int(size): own[1]}
+    left, right = signatures(size_a, own_a), signatures(size_b, own_b)
+    best = 0.0
+    for size in set(left) & set(right):
+        x, y = left[size], right[size]
+        run = min(7, len(x), len(y))
+        if run and {x[i : i + run] for i in range(len(x) - run + 1)} & {y[i : i + run] for i in range(len(y) - run + 1)}:
+            best = max(best, 1 - edits(x, y) / max(len(x), len(y)))
+    return best
+
+
+def test_fingerprints_against_plain_version():
+    rng = random.Random(15)
+    texts = [b"", b"a", b"abcdefg", bytes(50), *(bytes(rng.choices(range(97, 101 + k % 20), k=rng.choice([10, 190, 195, 900, 3000]))) for k in range(25))]
+    for text in list(texts[4:]):
+        body = bytearray(text)
+        for _ in range(rng.choice([1, 5, 30])):
+            body[rng.randrange(len(body))] = 65
+        texts.append(bytes(body[rng.choice([0, 20]) :]))
+    marks = piecewise_hash.fingerprints(texts)
+    assert marks == [plain_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in marks[:12] + marks[25:35] for b in marks]
+    found = piecewise_hash.likeness(*map(list, zip(*pairs)))
+    assert all(math.isclose(x, plain_likeness(a, b), abs_tol=1e-12) for x, (a, b) in zip(found, pairs))
+    assert sum(0 < x < 1 for x in found) > 10
+
+
 def test_languages(documents, odd_documents):
     rng = random.Random(10)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "über"], "cc": ["ción", "dor", "ña", "que"]}
