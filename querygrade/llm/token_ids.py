@@ -14,8 +14,8 @@ import numpy as np
 
 from querygrade.llm.common import ragged
 
-#: Bytes of runs and ids a worker remembers before it starts afresh (a run counts RUN_BYTES besides its letters and ids).
-REMEMBERED_BYTES, RUN_BYTES = 48 << 20, 180
+#: Bytes of runs and ids a worker remembers before it forgets the rare ones (a run counts RUN_BYTES besides its letters and ids).
+REMEMBERED_BYTES, RUN_BYTES = 72 << 20, 180
 
 _TAIL = ".,;:!?|"
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -60,6 +60,19 @@ class TextEncoder:
         self.used = 0
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keeps the runs that were met most often, half of all at most, and of those only what was met again."""
+        hits, start, length, flat, keys = self.hits, self.start, self.length, self.flat, list(self.index)
+        kept = np.sort(np.argsort(-hits, kind="stable")[: len(hits) // 2])
+        kept = kept[hits[kept] > 1]
+        self._forget()
+        keys = [keys[i] for i in kept.tolist()]
+        self.index.update(zip(keys, range(len(keys))))
+        self.letters = sum(map(len, keys))
+        self._append(flat[ragged(start[kept], length[kept])], length[kept])
+        self.hits = hits[kept] // 2
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -165,7 +178,7 @@ class TextEncoder:
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null as empty), each followed by ``end_id`` if there is one."""
         if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > REMEMBERED_BYTES:
-            self._forget()
+            self._forget_rare()
         out: list[np.ndarray | None] = [None] * len(texts)
         numbers, counts, regular, whole = [], [], [], []
         look_up = self.index.__getitem__
@@ -184,6 +197,9 @@ class TextEncoder:
             out[i] = np.array(ids + end, np.uint32)
         if regular:
             joined = np.concatenate(numbers)
+            met = np.bincount(joined, minlength=len(self.index))
+            met[: len(self.hits)] += self.hits
+            self.hits = met
             lengths = self.length[joined]
             flat = self.flat[ragged(self.start[joined], lengths)]
             ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from querygrade.llm import language_id, packing, piece_codec, piecewise_hash, quality_model, token_files
+from querygrade.llm import language_id, packing, piece_codec, piecewise_hash, quality_model, token_files, token_ids
 from querygrade.llm.queries import vocabulary
 from querygrade.llm.token_ids import TextEncoder
 
@@ -29,6 +29,21 @@ def test_ids_are_those_of_whole_texts(name, spaced):
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [7] for t in [*texts, ""]]
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_stay_right_when_runs_are_forgotten(name, spaced, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_ids, "REMEMBERED_BYTES", 20_000)
+    whole, own = Tokenizer.from_file(vocabulary(name)), TextEncoder(vocabulary(name), spaced)
+    rng = random.Random(3)
+    most = 0
+    for _ in range(25):
+        texts = [" ".join("".join(rng.choices("abcdé", k=rng.choice([1, 2, 5]))) + rng.choice(["", "\n", "."]) for _ in range(30)) for _ in range(3)]
+        assert [g.tolist() for g in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        most = max(most, len(own.index))
+    assert most < 250 and len(own.hits) == len(own.index) == len(own.start)
+
+
 def test_pieces_are_those_of_the_library():
     import sentencepiece
 
