@@ -23,25 +23,27 @@ SELECT s_name, l_returnflag, ROUND(units, 2) AS units FROM placed WHERE place <=
 UNION ALL
 SELECT 'everyone', l_returnflag, ROUND(SUM(units), 2) FROM shipped GROUP BY l_returnflag""",
     "wl_exists": """
-SELECT s.s_suppkey, s.s_nationkey FROM supplier s
-WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal < -900)""",
+SELECT o.o_orderkey, o.o_orderpriority FROM orders o
+WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 48 AND l.l_returnflag = 'R')""",
     "wl_distinct_topk": """
 SELECT DISTINCT p.p_brand, "large".p_size FROM part p
 JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 40) "large" ON "large".p_partkey = p.p_partkey
 WHERE p.p_retailprice > 990 OR p.p_type LIKE 'EC%' ORDER BY p.p_brand DESC, "large".p_size LIMIT 7""",
     "wl_group_having": """
-SELECT n.n_name, COUNT(DISTINCT c.c_mktsegment) AS segments, MIN(c.c_acctbal) AS lowest
-FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING MAX(c.c_acctbal) > 5000""",
+SELECT c.c_custkey, c.c_mktsegment, COUNT(DISTINCT o.o_orderpriority) AS priorities, COUNT(o.o_orderkey) AS placed
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus <> 'P'
+GROUP BY c.c_custkey, c.c_mktsegment HAVING COUNT(DISTINCT o.o_orderpriority) > 3 OR COUNT(o.o_orderkey) = 0""",
     "wl_cross_scalar": """
-SELECT r.r_name, n.n_name, (SELECT MAX(s_acctbal) FROM supplier) AS richest
-FROM region r CROSS JOIN (SELECT n_name FROM nation WHERE n_regionkey = 2) n""",
+SELECT p.p_partkey, k.sold_as, ROUND(p.p_retailprice * k.factor, 2) AS price,
+       (SELECT MAX(l_extendedprice) FROM lineitem) AS dearest_line
+FROM part p CROSS JOIN (SELECT 'single' AS sold_as, 1 AS factor UNION ALL SELECT 'dozen', 12) k WHERE p.p_size <> 7""",
     "wl_order_length": "SELECT c_name, c_mktsegment FROM customer ORDER BY LENGTH(c_mktsegment), c_custkey DESC LIMIT 4",
     "wl_cte_max": """
 WITH fullest(ship_day, most) AS (SELECT CAST(l_shipdate AS DATE), MAX(l_quantity) FROM lineitem GROUP BY CAST(l_shipdate AS DATE))
 SELECT COUNT(*) AS days, SUM(most) AS units FROM fullest WHERE most >= 49""",
     "wl_join_count": """
-SELECT COUNT(*) AS n FROM "customer" INNER JOIN "nation" ON "customer"."c_nationkey" = "nation"."n_nationkey"
-WHERE "nation"."n_regionkey" = 1 AND "customer"."c_acctbal" BETWEEN 0 AND 2500""",
+SELECT COUNT(*) AS n FROM "lineitem" INNER JOIN "orders" ON "lineitem"."l_orderkey" = "orders"."o_orderkey"
+WHERE "orders"."o_orderpriority" = '2-HIGH' AND "lineitem"."l_returnflag" = 'N'""",
 }
 
 
