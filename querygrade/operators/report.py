@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from querygrade.functions import formats
+
 RUN_KEYS = ["number_of_completions", "model_name", "dataset_name", "score_name"]
 
 
@@ -46,3 +48,10 @@ def wide_report(frame: DataFrame, key: str, model: str, experiments: int, values
         for i in range(experiments)
     ]
     return frame.groupBy(key).agg(*columns)
+
+
+def format_failures(answers: DataFrame, by: str, tag: str = "think", text: str = "text") -> DataFrame:
+    """``(by, failed, answers, failed_share)``: answers that don't have the wanted form, per value of a column."""
+    failed = formats.format_score(F.col(text), tag) == 0
+    counts = answers.groupBy(by).agg(F.count_if(failed).alias("failed"), F.count(F.lit(1)).alias("answers"))
+    return counts.withColumn("failed_share", F.col("failed") / F.col("answers"))

@@ -27,7 +27,7 @@ def attach_database(spark: SparkSession, folder: str) -> SparkSession:
     for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         session.conf.set(setting, spark.conf.get(setting))
     session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-    session.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    session.conf.set("spark.sql.maxMetadataStringLength", str(2**31 - 1))  # a plan names every path and column
     for name, path in table_paths(spark, folder).items():
         session.read.parquet(path).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
     session.conf.set("spark.sql.runSQLOnFiles", "false")

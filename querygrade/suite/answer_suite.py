@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querygrade.functions import formats, scores, text
-from querygrade.operators import completions, language, rewards
+from querygrade.operators import completions, language, report, rewards
 from querygrade.operators.length_penalty import penalise_length, penalty_statistics
 from querygrade.session import shared_dir
 from querygrade.suite import inputs
@@ -257,12 +257,7 @@ FROM penalised WHERE a IS NOT NULL GROUP BY prompt_id"""
 
 
 def format_failures(spark, sf_dir):
-    failed = formats.format_score(F.col("text"), "think") == 0
-    return answers(spark, sf_dir).groupBy("lang").agg(
-        F.count_if(failed).alias("failed"),
-        F.count(F.lit(1)).alias("answers"),
-        (F.count_if(failed) / F.count(F.lit(1))).alias("failed_share"),
-    )
+    return report.format_failures(answers(spark, sf_dir), "lang")
 
 
 FORMAT_FAILURES_SQL = f"""WITH {ANSWERS_SQL}, f AS (SELECT lang, {_form_sql('think', 'answer')} = 0 AS failed FROM answers)

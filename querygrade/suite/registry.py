@@ -8,6 +8,7 @@ from querygrade.suite import (
     curate_suite,
     evaluate_suite,
     lineage_suite,
+    source_suite,
     stream_suite,
     workload_suite,
 )
@@ -19,5 +20,6 @@ REGISTERED = {
     **evaluate_suite.QUERIES,
     **lineage_suite.QUERIES,
     **workload_suite.QUERIES,
+    **source_suite.QUERIES,
     **stream_suite.QUERIES,
 }
