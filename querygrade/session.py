@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,14 +18,16 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, in the folder all executors can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. A machine-local folder is
-    used only when the session itself runs on one machine.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it names none and the session runs on one
+    machine, a local folder is made, set as that folder for the session, and removed when the process ends.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None)
     if base is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="querygrade-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set(CHECKPOINT_SETTING, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
