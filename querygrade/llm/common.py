@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,50 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_trimmed_at = [0.0]
+
+
+def give_back_memory(least_s: float = 1.0) -> None:
+    """Return freed memory of this worker to the machine; workers live on between tasks and share it with the JVM.
+
+    Called when a task or a group of rows is done, at most once in ``least_s`` seconds.
+    """
+    if time.monotonic() - _trimmed_at[0] < least_s:
+        return
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim is not None:
+            trim(0)
+    _trimmed_at[0] = time.monotonic()
+
+
+def frugal(run):
+    """A function for ``mapInArrow`` that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
+def frugal_group(run):
+    """The same for ``applyInArrow``, after a group."""
+
+    @functools.wraps(run)
+    def wrapped(group):
+        try:
+            return run(group)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import connected_classes, partitions_of, ragged, stored, text_slices, utf8_of
+from querygrade.llm.common import connected_classes, frugal, frugal_group, partitions_of, ragged, stored, text_slices, utf8_of
 from querygrade.llm.jaccard_links import link_counts
 from querygrade.llm.shingles import set_key, shingle_sets
 
@@ -125,8 +125,8 @@ def _frequent(group: pa.Table) -> pa.Table:
 
 def frequent_shingles(docs: DataFrame, buckets: int) -> np.ndarray:
     """Names ``bucket << 32 | short`` of the most frequent shingles, at most HOT_SHINGLES, sorted."""
-    blocks = docs.select("text").mapInArrow(_frequency_blocks(buckets), "bucket int, first long, narrow boolean, steps binary")
-    found = stored(blocks.groupBy("bucket").applyInArrow(_frequent, "bucket int, level int, shingles long, tokens binary"), "frequent")
+    blocks = docs.select("text").mapInArrow(frugal(_frequency_blocks(buckets)), "bucket int, first long, narrow boolean, steps binary")
+    found = stored(blocks.groupBy("bucket").applyInArrow(frugal_group(_frequent), "bucket int, level int, shingles long, tokens binary"), "frequent")
     least, total = 64, 0
     for level, n in sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.sum("shingles").alias("n")).collect()), reverse=True):
         total += n
@@ -361,7 +361,7 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     few = pairs.count() <= SENT_KEYS
     named = lambda side: bodies.join(F.broadcast(pairs.select(F.col(side).alias("key")).distinct()), "key", "left_semi") if few else bodies
     hubs = named("hub").select(F.col("key").alias("hub"), F.col("body").alias("hub_body"))
-    found = pairs.join(named("key"), "key").join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(_search, "hub long, key long")
+    found = pairs.join(named("key"), "key").join(hubs, "hub").select("hub", "hub_body", "key", "body").mapInArrow(frugal(_search), "hub long, key long")
     return stored(found, "linked")
 
 
@@ -419,11 +419,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     buckets = 4 * partitions_of(spark)
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, buckets))
-    blocks = docs.select("text").mapInArrow(_list_blocks(buckets, hot), "bucket int, hot boolean, tokens binary, keys binary, sizes binary, places binary")
-    lists = blocks.groupBy("bucket").applyInArrow(_shared_lists, "shingle long, key long, size int, place int")
+    blocks = docs.select("text").mapInArrow(frugal(_list_blocks(buckets, hot)), "bucket int, hot boolean, tokens binary, keys binary, sizes binary, places binary")
+    lists = blocks.groupBy("bucket").applyInArrow(frugal_group(_shared_lists), "shingle long, key long, size int, place int")
     lists = stored(lists, "lists")
     listed = spark.sparkContext.broadcast(key_filter(spark, lists.select("key").distinct()))
-    sets = stored(docs.mapInArrow(_described(listed), "doc_id long, n_shingles long, key long, sketch array<long>"), "sets")
+    sets = stored(docs.mapInArrow(frugal(_described(listed)), "doc_id long, n_shingles long, key long, sketch array<long>"), "sets")
     sketches = sets.where(F.col("sketch").isNotNull()).select("key", "sketch", F.col("n_shingles").cast("int").alias("size")).dropDuplicates(["key"])
     sketches = stored(sketches, "sketches")
     lengths = lists.groupBy("shingle").count()
@@ -432,7 +432,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     open_lists = stored(lists.join(long, "shingle").withColumn("class", F.col("key")), "open")
     partners = pairs.select("key").union(pairs.select("hub")).union(open_lists.select("key")).distinct()
     named = spark.sparkContext.broadcast(key_filter(spark, partners))
-    bodies = stored(docs.select("text").mapInArrow(_bodies(named), "key long, body binary").dropDuplicates(["key"]), "bodies")
+    bodies = stored(docs.select("text").mapInArrow(frugal(_bodies(named)), "key long, body binary").dropDuplicates(["key"]), "bodies")
     links = _linked(pairs, bodies)
     for turn in range(HUB_TURNS):
         classes = stored(connected_classes(links, "hub", "key").withColumnRenamed("node", "key"), "classes")

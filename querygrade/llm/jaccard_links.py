@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import mix64, ragged
+from querygrade.llm.common import frugal_group, mix64, ragged
 
 #: Most sets and bytes of a block; a single set may be larger.
 BLOCK_SETS, BLOCK_BYTES = 2048, 1 << 24
@@ -136,4 +136,4 @@ def link_counts(members: DataFrame, required) -> DataFrame:
     total = members.count()
     bucket = F.when(small, F.pmod(F.xxhash64("class"), F.lit(max(1, total // GROUP_SETS)))).otherwise(F.col("class"))
     dealt = dealt.select("class", "key", "copies", "body", "block", "other", small.alias("small"), bucket.alias("of"), low.alias("low"), high.alias("high"))
-    return dealt.groupBy("small", "of", "low", "high").applyInArrow(_searched(required), "key long, links long")
+    return dealt.groupBy("small", "of", "low", "high").applyInArrow(frugal_group(_searched(required)), "key long, links long")

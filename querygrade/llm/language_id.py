@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import mix64, text_slices
+from querygrade.llm.common import frugal, mix64, text_slices
 
 #: Length of the vectors and letters of an n-gram.
 DIMENSIONS = 512
@@ -119,7 +119,7 @@ def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     Sums go through Spark as one row for each task and language; the driver gets languages x DIMENSIONS numbers.
     """
-    bundles = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(_bundles, "lang string, bundle array<double>")
+    bundles = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(frugal(_bundles), "lang string, bundle array<double>")
     sums = bundles.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("v")).collect()
     langs = sorted({r["lang"] for r in sums})
     table = np.zeros((len(langs), DIMENSIONS))
@@ -152,7 +152,7 @@ def predict_language(docs: DataFrame, langs: list[str], prototypes: np.ndarray)
                 score, pred = np.zeros(batch.num_rows), [UNDETERMINED] * batch.num_rows
             yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.drop("lang_pred", "score").mapInArrow(run, schema)
+    return docs.drop("lang_pred", "score").mapInArrow(frugal(run), schema)
 
 
 def held_out(fold: int, folds: int):

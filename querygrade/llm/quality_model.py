@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import mix64, random64, stored, text_slices, utf8_of
+from querygrade.llm.common import frugal, mix64, random64, stored, text_slices, utf8_of
 
 #: Labelled rows the model is fitted on, at most in expectation; chosen by a hash of doc_id.
 FIT_ROWS = 40_000
@@ -218,7 +218,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
             yield pa.record_batch([*batch.columns, lists], names)
 
-    return docs.drop("features").mapInArrow(run, schema)
+    return docs.drop("features").mapInArrow(frugal(run), schema)
 
 
 def with_scores(rows: DataFrame, model: AdditiveModel) -> DataFrame:
@@ -235,7 +235,24 @@ def with_scores(rows: DataFrame, model: AdditiveModel) -> DataFrame:
             others = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.record_batch([*others, pa.array(score), pa.array((score >= KEEP).astype(np.int32))], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
+
+
+def with_text_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """Adds score and predicted of the whole text to every row, in one pass: the features never leave the worker.
+
+    Existing columns of these names are replaced; null texts are scored as empty ones.
+    """
+    kept = docs.drop("score", "predicted")
+    schema = kept.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(1)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            rows = text_features(*utf8_of(batch.column(batch.schema.get_field_index("text")))).astype(np.float32)
+            score = model.score(rows.astype(np.float64))
+            yield pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= KEEP).astype(np.int32))], schema.names)
+
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def learn(features: DataFrame, labels: DataFrame) -> AdditiveModel:

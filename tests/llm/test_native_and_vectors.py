@@ -89,6 +89,27 @@ def test_pipeline_judges_texts_of_one_id_apart(spark, documents):
     assert corpus_pipeline.drop_near_copies(spark, documents(rows).limit(0), "").count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, documents, tmp_path):
+    """Columns named like the stages' own come back as they were; an empty table stays empty."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40)) + (" key deadbeefdeadbeef" if i % 2 else ""), "en") for i in range(12)]
+    names = ["score", "lang_pred", "features", "predicted", "spans", "_base", "_row", "_class", "_rest", "_first", "_bare", "hash", "class", "a.b"]
+    docs = documents(rows)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id")))
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r.doc_id: r.asDict() for r in out.collect()}
+        assert got.keys() == {r[0] for r in rows}
+        assert all(r[n] == f"{n}-{i}" for i, r in got.items() for n in names)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_drops_texts_of_a_few_letters(spark, documents):
     import corpus_pipeline
 
