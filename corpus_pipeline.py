@@ -47,7 +47,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship_package(spark)
     rows = stored(quality_model.with_features(docs.select("doc_id", "text")).drop("text"), "features")
     model = quality_model.learn(rows.where(F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
-    scored = quality_model.with_scores(quality_model.with_features(_set_aside(docs, "text")), model)
+    scored = quality_model.with_text_scores(_set_aside(docs, "text"), model)
     return _put_back(scored.where(F.col("predicted") == 1), docs, "text")
 
 
