@@ -44,11 +44,31 @@ def give_back_memory(least_s: float = 1.0) -> None:
     _trimmed_at[0] = time.monotonic()
 
 
-def frugal(run):
-    """A function for ``mapInArrow`` that gives memory back when its task ends."""
+#: What workers remember between tasks, by the kind of work it is for; and the kind of a worker's last task.
+CACHES: dict[str, list[dict]] = {}
+_last_kind = [""]
+
+
+def _begin(kind: str) -> None:
+    """Drop what other kinds of work have left in this worker."""
+    if _last_kind[0] != kind:
+        for other, caches in CACHES.items():
+            if other != kind:
+                for cache in caches:
+                    cache.clear()
+        _last_kind[0] = kind
+        give_back_memory(0.0)
+
+
+def frugal(run, kind: str = ""):
+    """A function for ``mapInArrow`` that gives memory back when its task ends.
+
+    Caches that other kinds of work have left in the worker are dropped first, those of its own kind stay.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        _begin(kind)
         try:
             yield from run(batches)
         finally:
@@ -62,6 +82,7 @@ def frugal_group(run):
 
     @functools.wraps(run)
     def wrapped(group):
+        _begin("")
         try:
             return run(group)
         finally:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrade.llm.common import frugal, partitions_of, stored, text_slices
-from querygrade.llm.token_ids import encoder
+from querygrade.llm.token_ids import ENCODING, encoder
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -105,7 +105,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: i
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(docs.mapInArrow(frugal(_pieces(vocabulary, end_id, capacity)), schema), "pieces")
+    pieces = stored(docs.mapInArrow(frugal(_pieces(vocabulary, end_id, capacity), ENCODING), schema), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(shortest_pack_first(histogram, capacity))
     block = F.pmod(F.xxhash64("doc_id", "start"), F.lit(partitions_of(spark)))

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import partitions_of, text_slices
-from querygrade.llm.token_ids import encoder
+from querygrade.llm.common import frugal, partitions_of, text_slices
+from querygrade.llm.token_ids import ENCODING, encoder
 
 #: Ids of a block; a multiple of 8, so that blocks are whole bytes, and places fit in one.
 BLOCK = 256
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     order = ["doc_id", "hash", "place"]
     ordered = rows.repartitionByRange(partitions_of(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = "shard int, segment int, first long, ids long, doc_ids binary, doc_lengths binary, unnumbered long, blocks binary"
-    ordered.mapInArrow(_segments(vocabulary, end_id), schema).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(frugal(_segments(vocabulary, end_id), ENCODING), schema).write.option("compression", "none").parquet(folder)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from querygrade.llm.common import ragged
+from querygrade.llm.common import CACHES, ragged
 
 #: Bytes of runs and ids a worker remembers before it forgets the rare ones (a run counts RUN_BYTES besides its letters and ids).
 REMEMBERED_BYTES, RUN_BYTES = 72 << 20, 180
@@ -211,7 +211,10 @@ class TextEncoder:
         return out
 
 
+#: Kind of work that keeps encoders in a worker, see ``common.frugal``.
+ENCODING = "encoding"
 _encoders: dict[tuple[str, bool], TextEncoder] = {}
+CACHES.setdefault(ENCODING, []).append(_encoders)
 
 
 def encoder(path: str, spaced: bool) -> TextEncoder:

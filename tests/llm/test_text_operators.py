@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from querygrade.llm import language_id, packing, piece_codec, piecewise_hash, quality_model, token_files, token_ids
+from querygrade.llm import common, language_id, packing, piece_codec, piecewise_hash, quality_model, token_files, token_ids
 from querygrade.llm.queries import vocabulary
 from querygrade.llm.token_ids import TextEncoder
 
@@ -44,6 +44,16 @@ def test_ids_stay_right_when_runs_are_forgotten(name, spaced, monkeypatch):
     assert most < 250 and len(own.hits) == len(own.index) == len(own.start)
 
 
+def test_caches_go_when_another_kind_of_work_begins():
+    cache = common.CACHES[token_ids.ENCODING][0]
+    held = dict(cache)
+    cache.clear()
+    cache["path", True] = "an encoder"
+    assert list(common.frugal(lambda batches: iter(batches), token_ids.ENCODING)([1, 2])) == [1, 2] and cache
+    assert list(common.frugal(lambda batches: iter(batches))([])) == [] and not cache
+    cache.update(held)
+
+
 def test_pieces_are_those_of_the_library():
     import sentencepiece
 
