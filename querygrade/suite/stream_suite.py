@@ -13,8 +13,9 @@ from querygrade.suite.inputs import ANSWERS_SQL, GENERATIONS, rounded, table
 
 
 def stream_of(spark, sf_dir, name):
+    """A table as a stream, whether it is one file or a folder of files; only a pattern may name a single file."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def stream_assemble(spark, sf_dir):

@@ -1,11 +1,18 @@
 """Streams give the batch result, also over several batches and after a restart."""
 
+import os
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
+from check_queries import connect
+from check_queries import rows_of as check_rows
 from querygrade.functions import formats
 from querygrade.operators import cache, completions
 from querygrade.operators.length_penalty import penalise_length
 from querygrade.streaming import groups, jobs
+from querygrade.suite import stream_suite
 
 DELTA = "request int, choice int, seq int, delta string, arrived timestamp"
 
@@ -133,3 +140,21 @@ def test_untouched_parts_of_the_cache_are_not_read(spark, tmp_path):
     read = scan.metrics().apply("numPartitions").value()
     assert 0 < len(touched) < 16 and read == len(touched)
     assert spark.read.parquet(f"{folder}/rows").where("batch = 0").select("part").distinct().count() == 16
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not there")
+@pytest.mark.parametrize("files", [None, 1, 3])
+def test_registered_streams_read_files_and_folders(spark, tmp_path, files):
+    """A table is one file, or a folder of any number of files."""
+    source = "/root/testdata/sf0.001"
+    for name in ("documents", "conversations"):
+        if files is None:
+            shutil.copy(f"{source}/{name}.parquet", tmp_path / f"{name}.parquet")
+        else:
+            spark.read.parquet(f"{source}/{name}.parquet").repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_assemble", "stream_score"):
+        query, sql = stream_suite.QUERIES[name]
+        frame = query(spark, str(tmp_path))
+        cursor = connect(source).execute(sql)
+        got = check_rows(frame.columns, [tuple(r) for r in frame.collect()])
+        assert got == check_rows([d[0] for d in cursor.description], cursor.fetchall()), name
