@@ -4,9 +4,9 @@ Input ``rows(pair_id, side, row_idx, cells)`` holds both result tables of every
 ``side`` either ``pred`` or ``gold``; ``executions(pair_id, pred_ok, gold_ok)`` holds one row
 per pair, because an empty result leaves no row.
 
-All metrics come from one scan. Rows and cells are counted by ``(pair, kind, value)`` with
-map-side combining, and only those counts are rolled up per pair, so a pair that holds a
-large share of all rows is spread over its values and never lands in one task whole.
+All metrics come from one shuffle of the rows by pair. Pairs with more than ``WHOLE_PAIRS`` rows, of which there can
+be few, go another way: rows and cells are counted by ``(pair, kind, value)`` with map-side combining, and only those
+counts are rolled up per pair, so such a pair is spread over its values and never lands in one task whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querygrade.functions.cells import bounded_key, cell_mark, row_key, row_mark
+from querygrade.functions.cells import cell_mark, row_key, row_mark, short_key
 
 METRICS = (
     "cell_precision",
@@ -27,6 +27,8 @@ METRICS = (
 )
 COMBINED = "cp_cr_tc"
 BLOCK_BITS = 16
+#: Most rows of a pair, of both sides, that go to one task.
+WHOLE_PAIRS = 1 << 20
 
 
 def count_values(rows: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def count_values(rows: DataFrame) -> DataFrame:
     pred, is_row = F.col("side") == "pred", F.col("entry") == 0
     mark = F.when(is_row, F.col("mark")).otherwise(cell_mark(F.col("mark")))
     keyed = rows.select("pair_id", "side", "row_idx", entries.alias("entry", "mark")).select(
-        "pair_id", "side", "row_idx", is_row.alias("is_row"), bounded_key(mark).alias("value")
+        "pair_id", "side", "row_idx", is_row.alias("is_row"), short_key(mark).alias("value")
     )
     is_row = F.col("is_row")
     return keyed.groupBy("pair_id", "is_row", "value").agg(
@@ -71,8 +73,11 @@ def _ranked(shared: DataFrame, position: str, rank: str) -> DataFrame:
     )
 
 
-def order_agreement(counts: DataFrame) -> DataFrame:
-    """``(pair_id, agreement)``: Spearman correlation of the shared rows' first positions, in [0, 1]."""
+def order_agreement(counts: DataFrame, whole: bool = False) -> DataFrame:
+    """``(pair_id, agreement)``: Spearman correlation of the shared rows' first positions, in [0, 1].
+
+    Pairs are ranked in blocks of positions, or ``whole``, which takes no shuffle if ``counts`` are partitioned by pair.
+    """
     # The counts are tested too, so this branch asks for the same columns as the metric
     # branch and Spark reuses one shuffle for both.
     shared = counts.where(
@@ -81,7 +86,11 @@ def order_agreement(counts: DataFrame) -> DataFrame:
         & F.col("first_pred").isNotNull()
         & F.col("first_gold").isNotNull()
     ).select("pair_id", "first_pred", "first_gold")
-    ranked = _ranked(_ranked(shared, "first_pred", "rank_pred"), "first_gold", "rank_gold")
+    if whole:
+        place = lambda position: F.row_number().over(Window.partitionBy("pair_id").orderBy(position))
+        ranked = shared.withColumn("rank_pred", place("first_pred")).withColumn("rank_gold", place("first_gold"))
+    else:
+        ranked = _ranked(_ranked(shared, "first_pred", "rank_pred"), "first_gold", "rank_gold")
     gap = (F.col("rank_pred") - F.col("rank_gold")).cast("double")
     n = F.col("n").cast("double")
     rho = 1 - 6 * F.col("gaps") / (n * (n * n - 1))
@@ -112,17 +121,20 @@ def _roll_up(counts: DataFrame) -> DataFrame:
     )
 
 
-def compare_results(rows: DataFrame, executions: DataFrame, with_order: bool = True) -> DataFrame:
+def compare_results(rows: DataFrame, executions: DataFrame, with_order: bool = True, whole_pairs: int = WHOLE_PAIRS) -> DataFrame:
     """One row per pair of ``executions`` with every metric, each in [0, 1].
 
     A pair with an error on either side scores 0, two empty results score 1, one empty result
     scores 0.
     """
-    counts = count_values(rows)
+    # At most one pair for every whole_pairs rows.
+    large = F.broadcast(rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_pairs).select("pair_id"))
+    whole = count_values(rows.join(large, "pair_id", "left_anti").repartition("pair_id"))
+    spread = count_values(rows.join(large, "pair_id", "left_semi"))
     pairs = executions.select("pair_id", (F.col("pred_ok") & F.col("gold_ok")).alias("both_ran"))
-    pairs = pairs.join(_roll_up(counts), "pair_id", "left")
+    pairs = pairs.join(_roll_up(whole).unionByName(_roll_up(spread)), "pair_id", "left")
     if with_order:
-        pairs = pairs.join(order_agreement(counts), "pair_id", "left")
+        pairs = pairs.join(order_agreement(whole, whole=True).unionByName(order_agreement(spread)), "pair_id", "left")
 
     n_pred, n_gold = F.coalesce("pred_rows", F.lit(0)), F.coalesce("gold_rows", F.lit(0))
 

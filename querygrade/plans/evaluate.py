@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querygrade.functions.cells import query_key, short_key
 from querygrade.functions.text import extract_sql, short_dataset_name, short_model_name, time_limit
 from querygrade.operators.compare import COMBINED, METRICS, compare_results, metrics_long, result_fingerprints, vote
 from querygrade.operators.cache import KEY, with_key
@@ -54,7 +55,7 @@ def prediction_pairs(questions: DataFrame, predictions: DataFrame) -> DataFrame:
     """Every prediction that has a question, with both queries; ``pair_id`` names the two queries, not the prediction."""
     pred_sql = extract_sql(F.col("text"))
     found = predictions.join(_gold(questions), "question_id").select(*KEYS, "db_id", "gold_sql", "text", pred_sql.alias("pred_sql"))
-    return found.withColumn("pair_id", F.sha2(F.to_json(F.struct("db_id", "gold_sql", "pred_sql")), 256))
+    return found.withColumn("pair_id", short_key(F.sha2(F.to_json(F.struct("db_id", "gold_sql", "pred_sql")), 256)))
 
 
 def _voted(pairs: DataFrame, rows: DataFrame, ran: DataFrame) -> DataFrame:
@@ -85,13 +86,15 @@ def pair_prints(pairs: DataFrame, executions: DataFrame, results: DataFrame) ->
 
     Each result is read once, however many pairs use it. A query that failed or was never run has no result.
     """
-    state = executions.join(result_prints(results), KEY, "left")
+    brief = lambda frame: frame.withColumn(KEY, short_key(F.col(KEY)))
+    state = brief(executions).join(result_prints(brief(results)), KEY, "left")
     said = F.when(F.col("status") == "ok", F.coalesce("print", F.lit("0"))).otherwise("failed")
     state = state.select(KEY, said.alias("print"))
-    named = pairs
+    key = lambda side: short_key(query_key(F.col("db_id"), F.col(f"{side}_sql"))).alias(f"{side}_key")
+    named = pairs.select("pair_id", key("gold"), key("pred"))
     for side in ("gold", "pred"):
-        keyed = with_key(named.withColumn("sql", F.col(f"{side}_sql"))).drop("sql")
-        found = keyed.join(state.withColumnRenamed("print", f"{side}_print"), KEY, "left").drop(KEY)
+        own = state.select(F.col(KEY).alias(f"{side}_key"), F.col("print").alias(f"{side}_print"))
+        found = named.join(own, f"{side}_key", "left").drop(f"{side}_key")
         named = found.withColumn(f"{side}_print", F.coalesce(f"{side}_print", F.lit("failed")))
     return named.select("pair_id", F.concat_ws("|", "gold_print", "pred_print").alias("print"))
 
@@ -127,7 +130,8 @@ def evaluate_results(
     same results. A query without a stored execution counts as failed.
     """
     pairs = prediction_pairs(questions, predictions)
-    distinct = pairs.select("pair_id", "db_id", "gold_sql", "pred_sql").dropDuplicates(["pair_id"])
+    # The id is made of the other three. No aggregate of first values, which Spark would not see to be the same when used twice.
+    distinct = pairs.select("pair_id", "db_id", "gold_sql", "pred_sql").distinct()
     compared = compare_with_store(distinct, executions, results, store)
     chosen = _voted(pairs, *result_pairs(distinct, executions, results)) if number_of_completions > 1 else pairs
     metrics = compared.drop("print", "fresh").join(chosen, "pair_id")

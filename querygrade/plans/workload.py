@@ -16,7 +16,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygrade.functions.cells import canonical_cell
+from querygrade.functions.cells import canonical_cell, short_key
 from querygrade.operators.cache import KEY, cache_misses, with_key
 
 EXECUTION_SCHEMA = "hash_key string, status string, error_class string, elapsed_ms bigint, n_cols int"
@@ -155,15 +155,18 @@ def result_pairs(pairs: DataFrame, executions: DataFrame, results: DataFrame) ->
 
     The same result serves every pair that needs it; it was computed once.
     """
-    side = lambda name: with_key(pairs.select("pair_id", "db_id", F.col(f"{name}_sql").alias("sql"))).select(
-        "pair_id", KEY, F.lit(name).alias("side")
+    both_sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"{name}_sql").alias("sql")) for name in ("pred", "gold")]))
+    # One read of the pairs, not a union of two: Spark does not see that two unions are the same, and would shuffle the
+    # result rows again for every use that the comparison makes of them.
+    sides = with_key(pairs.select("pair_id", "db_id", both_sides.alias("s")).select("pair_id", "db_id", "s.side", "s.sql")).select(
+        "pair_id", "side", short_key(F.col(KEY)).alias("_key")
     )
-    sides = side("pred").unionByName(side("gold"))
-    ran = executions.select(KEY, (F.col("status") == "ok").alias("ok"))
-    status = sides.join(ran, KEY, "left")
+    ran = executions.select(short_key(F.col(KEY)).alias("_key"), (F.col("status") == "ok").alias("ok"))
+    status = sides.join(ran, "_key", "left")
     ok = F.coalesce("ok", F.lit(False))
     both = status.groupBy("pair_id").agg(
         F.max((F.col("side") == "pred") & ok).alias("pred_ok"), F.max((F.col("side") == "gold") & ok).alias("gold_ok")
     )
-    good = status.where("ok").select("pair_id", "side", KEY)
-    return good.join(results, KEY).select("pair_id", "side", "row_idx", "cells"), both
+    good = status.where("ok").select("pair_id", "side", "_key")
+    rows = results.select(short_key(F.col(KEY)).alias("_key"), "row_idx", "cells")
+    return good.join(rows, "_key").select("pair_id", "side", "row_idx", "cells"), both

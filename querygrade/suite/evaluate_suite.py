@@ -46,11 +46,13 @@ def predictions(spark, sf_dir):
     )
 
 
-def stored_results(spark, sf_dir):
-    """Executions and result rows of all gold and predicted queries, as a run would have left them."""
+def stored_results(spark, sf_dir, side_by_side=False):
+    """Executions and result rows of all gold and predicted queries; a run leaves the rows of a result side by side."""
     pair, is_pred = F.col("pair_id"), F.col("side") == "pred"
     key = lambda sql: query_key(F.lit(DATABASE), sql).alias("hash_key")
     rows = inputs.result_rows(spark, sf_dir).where(~is_pred | (pair % 6 != 0))
+    if side_by_side:
+        rows = rows.repartition("pair_id", "side").sortWithinPartitions("pair_id", "side")
     results = rows.select(key(F.when(is_pred, _pred_sql(pair)).otherwise(_gold_sql(pair))), "row_idx", "cells")
     ran = inputs.executions(spark, sf_dir)
     status = lambda ok: F.when(ok, "ok").otherwise("error").alias("status")
@@ -68,7 +70,7 @@ def _saved(store, label):
 def evaluate_stored(spark, sf_dir):
     """The same evaluation with no store, with one in which pairs are missing or have other results, and with a whole one."""
     asked, answered = questions(spark, sf_dir), predictions(spark, sf_dir)
-    executions, results = (_saved(frame, name) for frame, name in zip(stored_results(spark, sf_dir), ("executions", "results")))
+    executions, results = (_saved(frame, name) for frame, name in zip(stored_results(spark, sf_dir, side_by_side=True), ("executions", "results")))
     some = inputs.table(spark, sf_dir, "customer").where("c_custkey % 2 = 1 AND c_nationkey > 4").select(F.col("c_custkey").alias("question_id"))
     then = results.withColumn("cells", F.when(F.col("row_idx") < 0, F.reverse("cells")).otherwise(F.col("cells")))  # the reversed answers were others
     earlier = evaluate_results(asked, answered.join(some, "question_id", "left_semi"), executions, then)

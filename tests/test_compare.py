@@ -138,3 +138,13 @@ def test_decimals_keep_their_digits(spark):
     kind = T.DecimalType(30, 8)
     got = [r[0] for r in frame.select(canonical_cell(F.col("s").cast(kind), kind)).collect()]
     assert got == ["12345678901234567890.123457", "12345678901234567891.123457", "1.5", "100.0", "0.0"]
+
+
+def test_large_pairs_are_compared_alike(spark):
+    """Pairs that are spread over their values have the metrics of those that one task compares."""
+    rng = random.Random(5)
+    rows = [(f"p{p}", side, i * 100_000, [rng.choice("abc"), rng.choice("xy")]) for p in range(8) for side in ("pred", "gold") for i in range(p * 3)]
+    results = spark.createDataFrame(rows, RESULT)
+    ran = spark.createDataFrame([(f"p{p}", True, True) for p in range(8)], RAN)
+    all_of = lambda limit: sorted(map(tuple, compare.compare_results(results, ran, whole_pairs=limit).collect()))
+    assert all_of(0) == all_of(20) == all_of(1 << 20)

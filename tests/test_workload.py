@@ -255,3 +255,24 @@ def test_store_of_compared_pairs(spark):
     lost = evaluate.compare_with_store(pairs, ran.where(F.col("hash_key") != keyed["b"]), results(queries), first)
     assert {r.pair_id for r in lost.where("fresh").collect()} == {p.pair_id for p in pairs.collect() if "b" in p.pair_id}
     first.unpersist()
+
+
+def test_result_rows_are_shuffled_once(spark):
+    """All metrics of an evaluation use one shuffle of the stored rows by query, and one by pair."""
+    questions = spark.createDataFrame([(1, "db", "SELECT 1", 1.0)], "question_id int, db_id string, SQL string, sql_execution_time double")
+    predictions = spark.createDataFrame([(1, 0, 0, "m", "d", "SELECT 2")], "question_id int, experiment int, sample_idx int, model_name string, dataset_name string, text string")
+    ran = spark.createDataFrame([], "hash_key string, status string")
+    results = spark.createDataFrame([], "hash_key string, row_idx long, cells array<string>")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        summary = evaluate.evaluate_results(questions, predictions, ran, results).summary
+        plan = summary._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    made = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and "Reused" not in line]
+    with_rows = [plan[i] for i in made if "cells#" in plan[i + 1]]
+    of_values = [plan[i] for i in made if "is_row#" in plan[i]]
+    assert len(with_rows) <= 2 and len(of_values) <= 1, [*with_rows, *of_values]
