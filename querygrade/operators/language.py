@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from querygrade.functions.text import remove_sql_blocks, strip
 
-#: A word is common if it is one in so many of all words; so there are no more common words than that.
-COMMON = 2000
+#: A word is common if it is one in so many of all words; so there are no more common words than that, and a tenth of
+#: it in the texts tried. Common words are sent to every task; each rare word of a text is a row of a shuffle.
+COMMON = 200_000
 SHORTEST_TEXT = 5
 
 
@@ -28,6 +29,11 @@ def language_profile(labelled: DataFrame, text: str, lang: str, languages: list[
     return words.groupBy("word").agg(*counts)
 
 
+def common_word(languages: list[str], everything: float) -> Column:
+    """Is a word of the profile common, among so many words in all?"""
+    return sum((F.col(name) for name in languages), F.lit(0)) * COMMON > everything
+
+
 def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, languages: list[str]) -> DataFrame:
     """``(key, n_words, <language>...)``: log likelihood with add-one smoothing over the profile's vocabulary.
 
@@ -37,9 +43,8 @@ def language_scores(texts: DataFrame, key: str, text: str, profile: DataFrame, l
     mass = [F.sum(name).cast("double").alias(name) for name in languages]
     totals = profile.agg(F.count(F.lit(1)).cast("double").alias("vocabulary"), *mass).first()  # one row
     everything = sum(totals[name] or 0.0 for name in languages)
-    own = sum((F.col(name) for name in languages), F.lit(0))
     logs = lambda prefix: [F.log(F.col(name) + 1.0).alias(prefix + name) for name in languages]
-    is_common = own * COMMON > everything
+    is_common = common_word(languages, everything)
     common = profile.where(is_common).select("word", F.lit(True).alias("common"), *logs("common_"))
     rare = profile.where(~is_common).select(F.col("word").alias("rare_word"), *logs("rare_"))
     words = texts.select(key, F.explode_outer(words_of(F.col(text))).alias("word")).join(F.broadcast(common), "word", "left")

@@ -306,3 +306,10 @@ def test_scaling(spark, by):
     for g, vs in values.items():
         spread = {"group": statistics.stdev(vs) + 1e-4, "batch": statistics.stdev(everything) + 1e-4, "none": 1.0}[by]
         assert [got[g, i] for i in range(len(vs))] == pytest.approx([(v - statistics.mean(vs)) / spread for v in vs])
+
+
+def test_few_words_of_a_text_are_shuffled(spark):
+    """Of texts whose words come up alike, one in 3000 each, no word goes into a shuffle of its own."""
+    profile = spark.range(3000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), F.lit(10).alias("en"), F.lit(0).alias("fr"))
+    assert profile.where(language.common_word(["en", "fr"], 30_000.0)).count() == 3000
+    assert profile.where(language.common_word(["en", "fr"], 30_000_000.0)).count() == 0
