@@ -87,9 +87,9 @@ TABLE_REWARDS: dict[str, Callable[..., DataFrame]] = {"penalty_not_english": lan
 REWARD_NAMES = (*COLUMN_REWARDS, *TABLE_REWARDS, *GROUP_REWARDS)
 
 
-def complex_reward(answers: DataFrame, metric: str, group: str, generations: int, name: str) -> DataFrame:
-    """Metric reward lowered by the length penalty of its prompt group (strength 0.1)."""
-    ready = answers.withColumn("score", metric_reward(metric)).withColumn("length", F.length("text"))
+def complex_reward(answers: DataFrame, metric: str, group: str, generations: int, name: str, length: str = "") -> DataFrame:
+    """Metric reward lowered by the length penalty of its prompt group (strength 0.1); ``length`` may name a column of lengths."""
+    ready = answers.withColumn("score", metric_reward(metric)).withColumn("length", F.col(length) if length else F.length("text"))
     return penalise_length(ready, group, generations).withColumnRenamed("penalised", name).drop("score", "length", "penalty")
 
 
@@ -110,13 +110,15 @@ def named_rewards(
     if unknown:
         raise KeyError(unknown[0])
     plain = {n: COLUMN_REWARDS[n]() for n in wanted if n in COLUMN_REWARDS}
+    if any(n in GROUP_REWARDS for n in wanted):
+        plain["_reward_length"] = F.length("text")  # taken before the joins, which then need not carry the texts along
     result = answers.withColumns(plain) if plain else answers
     for name in wanted:
         if name in TABLE_REWARDS:
             result = TABLE_REWARDS[name](result, key, profile, name)
         elif name in GROUP_REWARDS:
-            result = complex_reward(result, GROUP_REWARDS[name], group, generations, name)
-    return result
+            result = complex_reward(result, GROUP_REWARDS[name], group, generations, name, "_reward_length")
+    return result.drop("_reward_length")
 
 
 def weighted_sum(rewards: dict[str, Column], weights: dict[str, float]) -> Column:

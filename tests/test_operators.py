@@ -313,3 +313,20 @@ def test_few_words_of_a_text_are_shuffled(spark):
     profile = spark.range(3000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), F.lit(10).alias("en"), F.lit(0).alias("fr"))
     assert profile.where(language.common_word(["en", "fr"], 30_000.0)).count() == 3000
     assert profile.where(language.common_word(["en", "fr"], 30_000_000.0)).count() == 0
+
+
+def test_rewards_carry_no_texts_through_shuffles(spark):
+    answers = spark.range(4).select("id", (F.col("id") % 2).alias("prompt"), F.concat(F.lit("the end of it "), "id").alias("text"), F.lit(True).alias("both_ran"), (F.col("id") / 4).alias("bird_ex"))
+    profile = rewards.LanguageProfile(spark.createDataFrame([("the", 9, 0), ("fin", 0, 9)], "word string, en long, fr long"), ["en", "fr"])
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        named = rewards.named_rewards(answers, "penalty_not_english ex_complex format", "prompt", 2, "id", profile)
+        assert named.columns == [*answers.columns, "format", "penalty_not_english", "ex_complex"]
+        plan = named.agg(F.avg("format"), F.avg("ex_complex"), F.avg("penalty_not_english"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    sent = [line for above, line in zip(plan, plan[1:]) if "Exchange hashpartitioning" in above]
+    assert sent and not [line for line in sent if " AS text#" in line or ", text#" in line], "\n".join(plan)
