@@ -17,7 +17,8 @@ from querygrade.operators.completions import CHUNK_BITS, join_in_order
 
 
 def start(stream: DataFrame, mode: str, folder: str, write: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
+    """Start a query that bears the name of its folder."""
+    writer = stream.writeStream.queryName(folder).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

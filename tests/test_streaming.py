@@ -124,6 +124,56 @@ def test_groups_without_an_answer_for_long(spark, tmp_path):
     assert [r.n for r in groups.read_open(spark, folder, batch.schema).collect()] == [7]
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_state_holds_ranges_of_groups(spark, tmp_path, bits):
+    """The entries of the state, and so the calls of Python, are the ranges of the hash and not the groups; rows stay the same."""
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    parts = [
+        [(g / 2, n, at(0)) for g in range(60) for n in range(3 if g < 20 else 1)] + [(None, 0, at(0)), (-0.0, 90, at(0))],
+        [(g / 2, 7, at(20)) for g in range(20, 40)] + [(None, 7, at(20))], [(99.0, 8, at(40)), (99.5, 8, None)],
+    ]
+    stream, batch = source(spark, tmp_path / "in", "g double, n int, arrived timestamp", parts)
+    folder = str(tmp_path / "out")
+    timed = stream.withWatermark("arrived", "0 seconds")
+    query = groups.score_groups_stream(timed, "g", 2, lambda closed: closed, folder, patience=900, arrival="arrived", bits=bits)
+    query.awaitTermination()
+    got = spark.read.parquet(f"{folder}/rows")
+    of = lambda frame: sorted({r.g for r in frame.collect()}, key=repr)
+    assert of(got.where("complete")) == sorted([None, *(g / 2 for g in range(40))], key=repr)
+    assert of(got.where("NOT complete")) == sorted([*(g / 2 for g in range(40, 60)), 99.5], key=repr)
+    assert got.where("g = 0").count() == 4 and of(groups.read_open(spark, folder, batch.schema)) == [99.0]
+    assert got.count() + 1 == batch.count()
+    counts = [n for _, n, _ in groups.open_group_counts(query)]
+    assert counts[0] == 41 and counts[1] == 20 and counts[-1] == 1
+    assert all(s["numRowsTotal"] <= 2**bits for p in query.recentProgress for s in p["stateOperators"])
+
+
+def test_waiting_by_the_clock():
+    """Without event times a group that is silent for too long leaves by the clock, and its neighbours in the state stay."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.types import StructType
+
+    closing = groups._closing(2, 8, False)
+
+    def call(now, rows, value, timed_out=False):
+        state = GroupState(value, now, -1, GroupStateTimeout.ProcessingTimeTimeout, timed_out, False, value is not None, False, False, -1, b"", StructType())
+        out = list(closing((0,), iter([pd.DataFrame(rows, columns=["name", "answer"])]), state))
+        return [tuple(r) for f in out for r in f.values.tolist()], state
+
+    out, state = call(1000, [("a", "1"), ("b", "2")], None)
+    assert out == [] and state._timeout_timestamp == 9000
+    out, state = call(5000, [("c", "3")], state.get)
+    assert out == [] and state._timeout_timestamp == 9000
+    # The silent one leaves, the one that is met goes on although it was silent for as long.
+    out, state = call(9001, [("b", "4"), ("b", "5")], state.get)
+    assert sorted(out) == [("1", False), ("2", True), ("4", True), ("5", True)] and state._timeout_timestamp == 13000
+    out, state = call(13001, [], state.get, timed_out=True)
+    assert out == [("3", False)] and not state.exists
+
+
 def test_untouched_parts_of_the_cache_are_not_read(spark, tmp_path):
     schema = "hash_key string, row_rank int, v string"
     first = [(f"k{i}", i, "first") for i in range(200)] + [(None, i, "keyless") for i in range(20)]
