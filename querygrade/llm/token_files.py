@@ -29,11 +29,22 @@ PERCENTILES = (0.5, 0.75, 0.9, 0.97, 1.0)
 EXCEPTION = 1 + 4
 #: Ids after which a segment ends with the document.
 SEGMENT = 1 << 16
+#: Runs of byte-level vocabularies are not cut at marks, so there are more of them to remember.
+REMEMBERED_SHARE = 2
 
 _HEAD = struct.Struct("<4sIII")  # mark, ids, blocks, exceptions
 _MARK = b"PFOR"
 _INDEX = np.dtype([("start", "<u4"), ("base", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
+#: Widths that are those of a number.
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
+
+
+def _same_width(width: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, stop, width) of the runs of blocks that have one width, which lie one after the other."""
+    cuts = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(width)]
+    return [(a, b, int(width[a])) for a, b in zip(cuts, cuts[1:])]
+
 
 def pack_ids(ids: np.ndarray) -> bytes:
     """Encode ids below 2^32. Layout: head, block index, packed blocks, exception places, exception high bits."""
@@ -47,27 +58,25 @@ def pack_ids(ids: np.ndarray) -> bytes:
         return _HEAD.pack(_MARK, 0, 0, 0)
     index["base"] = full.min(axis=1)
     rest = full - index["base"][:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
-    ranked = np.sort(bits, axis=1)
-    choices = np.stack([ranked[:, int(np.ceil(p * (BLOCK - 1)))] for p in PERCENTILES])
-    costs = np.stack([c.astype(np.int64) * (BLOCK // 8) + EXCEPTION * (bits > c[:, None]).sum(axis=1) for c in choices])
-    width = choices[costs.argmin(axis=0), np.arange(blocks)]
-    over = bits > width[:, None]
-    index["width"], index["exceptions"] = width, over.sum(axis=1)
+    # The width of the id of a rank is that rank's width, so ids are sorted and few of them are measured.
+    ranked = np.sort(rest, axis=1)
+    choices = np.stack([np.frexp(ranked[:, int(np.ceil(p * (BLOCK - 1)))].astype(np.float64))[1] for p in PERCENTILES]).astype(np.uint8)
+    most = ((np.uint64(1) << choices.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    costs = np.stack([c.astype(np.int64) * (BLOCK // 8) + EXCEPTION * np.count_nonzero(rest > m[:, None], axis=1) for c, m in zip(choices, most)])
+    best = costs.argmin(axis=0), np.arange(blocks)
+    width, over = choices[best], rest > most[best][:, None]
+    index["width"], index["exceptions"] = width, np.count_nonzero(over, axis=1)
     sizes = width.astype(np.int64) * (BLOCK // 8)
     starts = np.cumsum(sizes) - sizes
     index["start"] = starts
     body = np.zeros(int(sizes.sum()), np.uint8)
-    for w in np.unique(width).tolist():
-        if w:
-            own = np.flatnonzero(width == w)
-            if w % 8 == 0:  # whole bytes of little-endian ids are the packed bits
-                taken = np.ascontiguousarray(rest[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4)[:, :, : w // 8])
-                body[starts[own][:, None] + np.arange(BLOCK * w // 8)] = taken.reshape(len(own), -1)
-                continue
-            planes = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-            packed = np.packbits(planes.reshape(len(own), BLOCK * w), axis=1, bitorder="little")
-            body[starts[own][:, None] + np.arange(packed.shape[1])] = packed
+    for first, stop, w in _same_width(width):
+        own, at = rest[first:stop], body[starts[first] : starts[first] + (stop - first) * w * (BLOCK // 8)]
+        if w in _WHOLE:  # little-endian ids of that size are the packed bits
+            at[:] = own.astype(_WHOLE[w]).view(np.uint8).ravel()
+        elif w:
+            planes = (own[:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            at[:] = np.packbits(planes.ravel(), bitorder="little")
     which, where = np.nonzero(over)
     high = rest[which, where].astype(np.uint64) >> width[which].astype(np.uint64)
     head = _HEAD.pack(_MARK, n, blocks, len(where))
@@ -88,17 +97,14 @@ def unpack_ids(data: bytes) -> np.ndarray:
     where = np.frombuffer(data, "u1", exceptions, at).astype(np.int64)
     high = np.frombuffer(data, "<u4", exceptions, at + exceptions)
     out = np.zeros((blocks, BLOCK), np.uint32)
-    for w in np.unique(width).tolist():
-        if w:
-            own = np.flatnonzero(width == w)
-            packed = body[index["start"][own].astype(np.int64)[:, None] + np.arange(w * (BLOCK // 8))]
-            if w % 8 == 0:
-                wide = np.zeros((len(own), BLOCK, 4), np.uint8)
-                wide[:, :, : w // 8] = packed.reshape(len(own), BLOCK, w // 8)
-                out[own] = wide.view("<u4").reshape(len(own), BLOCK)
-                continue
-            planes = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-            out[own] = np.packbits(np.pad(planes, ((0, 0), (0, 0), (0, 32 - w))), axis=2, bitorder="little").view("<u4").reshape(len(own), BLOCK)
+    for first, stop, w in _same_width(width):
+        start = int(index["start"][first])
+        packed = body[start : start + (stop - first) * w * (BLOCK // 8)]
+        if w in _WHOLE:
+            out[first:stop] = packed.view(_WHOLE[w]).reshape(-1, BLOCK)
+        elif w:
+            planes = np.unpackbits(packed, bitorder="little").reshape(-1, BLOCK, w)
+            out[first:stop] = np.packbits(np.pad(planes, ((0, 0), (0, 0), (0, 32 - w))), axis=2, bitorder="little").view("<u4").reshape(-1, BLOCK)
     which = np.repeat(np.arange(blocks), index["exceptions"])
     out[which, where] |= high.astype(np.uint32) << width[which].astype(np.uint32)
     return (out + index["base"][:, None]).ravel()[:n]
@@ -109,7 +115,7 @@ def _segments(path: str, end_id: int):
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced=True).encode
+        encode = encoder(path, spaced=True, share=REMEMBERED_SHARE).encode
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         parts: list[np.ndarray] = []

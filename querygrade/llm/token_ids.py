@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from querygrade.llm.common import CACHES, ragged
 
@@ -38,16 +41,19 @@ class _Index(dict):
 
 
 class TextEncoder:
-    """``spaced``: a space belongs to the word after it (byte-level vocabularies); else white space is dropped."""
+    """``spaced``: a space belongs to the word after it (byte-level vocabularies); else white space is dropped.
 
-    spaced = False
+    ``share``: how many times REMEMBERED_BYTES it may remember.
+    """
 
-    def __init__(self, path: str, spaced: bool):
+    spaced, share = False, 1
+
+    def __init__(self, path: str, spaced: bool, share: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = spaced
+        self.spaced, self.share = spaced, share
         # Characters of each token, which are its bytes in a byte-level vocabulary.
         sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} if spaced else {}
         self.token_bytes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)], np.int64)
@@ -110,12 +116,14 @@ class TextEncoder:
     def _joined(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of runs that follow each other, encoded as one text and cut at their bytes, and the number of ids of each.
 
-        None if a token lies across two runs.
+        No key is marked or begins or ends with white space, but for one line end before it. None if a token lies across two runs.
         """
-        strings = [self._string(k) for k in keys]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(strings)], add_special_tokens=False)[0].ids, np.int64)
+        text = (" " + " ".join(keys)).replace(" \n", "\n")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         ends = np.cumsum(self.token_bytes[ids])
-        wanted = np.cumsum(np.fromiter((len(s) if s.isascii() else len(s.encode()) for s in strings), np.int64, len(strings)))
+        column = pa.array(keys, pa.large_string())
+        spaced = pc.invert(pc.starts_with(column, "\n")).cast(pa.int64()).to_numpy()
+        wanted = np.cumsum(pc.binary_length(column).to_numpy() + spaced)
         at = np.searchsorted(ends, wanted)
         if not len(ids) or at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
             return None
@@ -133,9 +141,8 @@ class TextEncoder:
     def _learn_spaced(self) -> bool:
         """Learns the fresh runs of a byte-level vocabulary: those that can follow each other as one text."""
         fresh = self.index.fresh
-        alone = [k for k in fresh if k[0] == _RAW or k[-1] in " \n" or k[0] == " "]
-        chosen = set(alone)
-        rest = [k for k in fresh if k not in chosen]
+        is_alone = np.array([k[0] in "\r " or k[-1] in " \n" for k in fresh])
+        alone, rest = list(compress(fresh, is_alone)), list(compress(fresh, ~is_alone))
         joined = self._joined(rest) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if joined is None:
             return False
@@ -145,7 +152,6 @@ class TextEncoder:
         flat = np.concatenate((flat, np.array([i for ids in single for i in ids], np.uint32)))
         # Back into the order of first sight, which is the runs' numbers.
         place = np.empty(len(fresh), np.int64)
-        is_alone = np.fromiter((k in chosen for k in fresh), bool, len(fresh))
         place[~is_alone], place[is_alone] = np.arange(len(rest)), np.arange(len(rest), len(fresh))
         starts = np.cumsum(lengths) - lengths
         self._append(flat[ragged(starts[place], lengths[place])], lengths[place])
@@ -177,7 +183,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null as empty), each followed by ``end_id`` if there is one."""
-        if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > REMEMBERED_BYTES:
+        if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > self.share * REMEMBERED_BYTES:
             self._forget_rare()
         out: list[np.ndarray | None] = [None] * len(texts)
         numbers, counts, regular, whole = [], [], [], []
@@ -213,12 +219,12 @@ class TextEncoder:
 
 #: Kind of work that keeps encoders in a worker, see ``common.frugal``.
 ENCODING = "encoding"
-_encoders: dict[tuple[str, bool], TextEncoder] = {}
+_encoders: dict[tuple[str, bool, int], TextEncoder] = {}
 CACHES.setdefault(ENCODING, []).append(_encoders)
 
 
-def encoder(path: str, spaced: bool) -> TextEncoder:
+def encoder(path: str, spaced: bool, share: int = 1) -> TextEncoder:
     """One encoder for each vocabulary and worker."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = TextEncoder(path, spaced)
-    return _encoders[path, spaced]
+    if (path, spaced, share) not in _encoders:
+        _encoders[path, spaced, share] = TextEncoder(path, spaced, share)
+    return _encoders[path, spaced, share]

@@ -44,6 +44,30 @@ def test_ids_stay_right_when_runs_are_forgotten(name, spaced, monkeypatch):
     assert most < 250 and len(own.hits) == len(own.index) == len(own.start)
 
 
+def test_a_larger_share_encodes_runs_once(monkeypatch):
+    """Runs that fit in the memory asked for are given to the library once, however often they come back."""
+    monkeypatch.setattr(token_ids, "REMEMBERED_BYTES", 20_000)
+    path, texts = vocabulary("byte_bpe_50k.json"), [" ".join(f"w{chr(97 + i % 26)}{i}" for i in range(a, a + 50)) for a in (0, 50, 100)]
+    given = {}
+    for share in (1, 2):
+        own, given[share] = TextEncoder(path, True, share), 0
+        joined = own._joined
+        own._joined = lambda keys, share=share, joined=joined: (given.update({share: given[share] + len(keys)}), joined(keys))[1]
+        first = [own.encode([t])[0].tolist() for t in texts]
+        assert all([own.encode([t])[0].tolist() for t in texts] == first for _ in range(3))
+    assert given[2] == 147 < given[1]
+
+
+def test_blocks_of_many_widths_round_trip():
+    """Blocks of whole bytes and of other widths in any order; those of one width that follow each other are one piece."""
+    rng = np.random.default_rng(4)
+    widths = [16, 16, 8, 0, 0, 24, 32, 15, 15, 1, 16, 31]
+    ids = np.concatenate([rng.integers(0, 1 << w, token_files.BLOCK) if w else np.full(token_files.BLOCK, 7) for w in widths]).astype(np.uint32)
+    for n in (len(ids), len(ids) - 100):
+        assert (token_files.unpack_ids(token_files.pack_ids(ids[:n])) == ids[:n]).all()
+    assert token_files._same_width(np.array([16, 16, 8, 16])) == [(0, 2, 16), (2, 3, 8), (3, 4, 16)]
+
+
 def test_caches_go_when_another_kind_of_work_begins():
     cache = common.CACHES[token_ids.ENCODING][0]
     held = dict(cache)
