@@ -97,6 +97,34 @@ def test_long_texts_and_words():
     assert all(n > 0 for n in docs["n_a"].to_pylist())
 
 
+def test_runs_of_a_slice_are_encoded_once():
+    class Counting:
+        letters = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def encode(self, texts, **options):
+            Counting.letters += sum(map(len, texts))
+            return self.model.encode(texts, **options)
+
+    one = "words of a text that\ncome back, and come back again: " + " ".join(f"w{i}" for i in range(900))
+    side_a, side_b = token_alignment.ByteLevelSide(A), token_alignment.PieceSide(B)
+    want = token_alignment.aligned_slice(pa.array([one]), (side_a, side_b))[1].to_pylist()
+    side_b.model = Counting(side_b.model)
+    assert token_alignment.aligned_slice(pa.array([one] * 60), (side_a, side_b))[1].to_pylist() == want * 60
+    assert Counting.letters <= len(one)
+
+
+def test_runs_and_whole_texts_agree():
+    sides = token_alignment.sides(A, B)
+    even = [" ".join(f"x{chr(c)}1 {chr(c)}\ny" for c in range(k, k + 64)) for k in range(33, 0x3000, 64)]
+    some = pa.array([t for _, t in texts(1000)] + even)
+    links, docs = token_alignment.aligned_slice(some, sides)
+    whole_links, whole_docs = token_alignment.aligned_slice(some, sides, np.ones(len(some), bool))
+    assert links.equals(whole_links) and docs.equals(whole_docs) and docs["n_groups"].to_pylist()[-1] > 60
+
+
 def test_byte_level_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
