@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import compress
+import unicodedata
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,16 @@ _TAIL = ".,;:!?|"
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
+#: Runs that are encoded as one text.
+_TOGETHER = 500
 _RAW = "\r"  # marks a run without the space before it; no remembered run holds it otherwise
 
 
+def _is_letters(word: str) -> bool:
+    """Whether a word is letters only, also in small letters and after its letters are composed, which takes some apart."""
+    return word.isalpha() and (word.isascii() or (word.lower().isalpha() and max(word) < "\ufb00" and unicodedata.normalize("NFC", word).isalpha()))
+
+
 class _Index(dict):
     """Number of each run, given in order of first sight."""
 
@@ -46,7 +54,7 @@ class TextEncoder:
     ``share``: how many times REMEMBERED_BYTES it may remember.
     """
 
-    spaced, share = False, 1
+    spaced, share, suffixed = False, 1, False
 
     def __init__(self, path: str, spaced: bool, share: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,6 +62,12 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.share = spaced, share
+        # Whether the last token of a word can be told by its end, and the tokens that are one.
+        suffix = "" if spaced else getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.suffixed = bool(suffix)
+        closing = [i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[closing] = True
         # Characters of each token, which are its bytes in a byte-level vocabulary.
         sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} if spaced else {}
         self.token_bytes = np.array([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)], np.int64)
@@ -109,7 +123,7 @@ class TextEncoder:
         head = "\n" if self.spaced and key[0] == "\n" and len(key) > 1 else ""
         body = key[len(head) :].rstrip(_TAIL)
         letters = body[1:] if body[:1] == _RAW else body
-        if letters.isalpha() and letters.lower().isalpha() and max(letters) < "\ufb00" and (head or len(body) < len(key)):
+        if _is_letters(letters) and (head or len(body) < len(key)):
             return head, _RAW + body if head else body, key[len(head) + len(body) :]
         return "", "", ""
 
@@ -129,14 +143,18 @@ class TextEncoder:
             return None
         return ids.astype(np.uint32), np.diff(at, prepend=-1)
 
-    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Remembers some ids; where each stretch of them begins."""
         total = len(flat)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(len(self.flat), total), np.uint32)))
         self.flat[self.used : self.used + total] = flat
-        self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
-        self.length = np.concatenate((self.length, lengths))
         self.used += total
+        return self.used - total + np.cumsum(lengths) - lengths
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, self._keep(flat, lengths)))
+        self.length = np.concatenate((self.length, lengths))
 
     def _learn_spaced(self) -> bool:
         """Learns the fresh runs of a byte-level vocabulary: those that can follow each other as one text."""
@@ -157,9 +175,52 @@ class TextEncoder:
         self._append(flat[ragged(starts[place], lengths[place])], lengths[place])
         return True
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters only, encoded as texts of many, and the number of ids of each; None if one is more than one word to the library."""
+        texts = [" ".join(words[a : a + _TOGETHER]) for a in range(0, len(words), _TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(self._whole(texts)), np.uint32)
+        ends = np.flatnonzero(self.closes[ids])
+        if len(ends) != len(words) or len(ids) != (ends[-1] + 1 if len(ends) else 0):
+            return None
+        return ids, np.diff(ends, prepend=-1)
+
+    def _learn_suffixed(self) -> bool:
+        """Learns the fresh runs of a vocabulary that marks the ends of words: letters as one text, marks at the end once, the rest run by run."""
+        index, known = self.index, len(self.start)
+        words, others, cut, bodies, tails = [], [], [], [], []
+        for n, key in enumerate(index.fresh, known):  # grows with the bodies that are new
+            body = key.rstrip(_TAIL)
+            if not _is_letters(body):
+                others.append(n)
+            elif len(body) == len(key):
+                words.append(n)
+            else:
+                cut.append(n)
+                bodies.append(index[body])
+                tails.append(key[len(body) :])
+        fresh = index.fresh
+        found = self._words([fresh[n - known] for n in words])
+        if found is None:
+            return False
+        marks = {m: k for k, m in enumerate(dict.fromkeys(tails))}
+        single = self._whole([fresh[n - known] for n in others] + list(marks))
+        own, sizes = found[1], np.fromiter(map(len, single), np.int64, len(single))
+        lengths = np.concatenate((own, sizes))
+        starts = self._keep(np.concatenate((found[0], np.fromiter(chain.from_iterable(single), np.uint32))), lengths)
+        plain = len(words) + len(others)
+        start, length = (np.concatenate((old, np.zeros(len(fresh), np.int64))) for old in (self.start, self.length))
+        start[words + others], length[words + others] = starts[:plain], lengths[:plain]
+        mark = plain + np.array([marks[t] for t in tails], np.int64)
+        # Of each cut run its body, then its marks.
+        ids = self.flat[ragged(np.stack((start[bodies], starts[mark]), 1).ravel(), np.stack((length[bodies], lengths[mark]), 1).ravel())]
+        length[cut] = length[bodies] + lengths[mark]
+        start[cut] = self._keep(ids, length[cut])
+        self.start, self.length = start, length
+        return True
+
     def _learn(self) -> None:
         self.letters += sum(map(len, self.index.fresh))
-        if self.spaced and self._learn_spaced():
+        if (self.spaced and self._learn_spaced()) or (self.suffixed and self._learn_suffixed()):
             self.index.fresh = []
             return
         index = self.index
@@ -181,13 +242,19 @@ class TextEncoder:
         self._append(np.array([i for ids in ordered for i in ids], np.uint32), lengths)
         index.fresh = []
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        """Ids of each text (null as empty), each followed by ``end_id`` if there is one."""
-        if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > self.share * REMEMBERED_BYTES:
-            self._forget_rare()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        numbers, counts, regular, whole = [], [], [], []
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        """(numbers of the runs of the regular texts, their count in each, places of the regular texts, of those to be encoded whole)."""
         look_up = self.index.__getitem__
+        if self.suffixed:
+            is_whole = [bool(text) and ("<|" in text or _CONTROL.search(text) is not None) for text in texts]
+            whole, regular = np.flatnonzero(is_whole).tolist(), np.flatnonzero(~np.array(is_whole, bool)).tolist()
+            split = pc.utf8_split_whitespace(pa.array([texts[i] or "" for i in regular], pa.large_string()))
+            coded = pc.list_flatten(split).dictionary_encode()
+            runs = coded.dictionary
+            runs = pc.if_else(pc.string_is_ascii(runs), pc.ascii_lower(runs), runs).to_numpy(zero_copy_only=False).tolist()
+            own = np.fromiter(map(look_up, runs), np.int64, len(runs))
+            return own[coded.indices.to_numpy()], pc.list_value_length(split).to_numpy(), regular, whole
+        numbers, counts, regular, whole = [np.zeros(0, np.int64)], [], [], []
         for i, text in enumerate(texts):
             runs = self._runs(text) if text else []
             if runs is None:
@@ -196,13 +263,20 @@ class TextEncoder:
             regular.append(i)
             counts.append(len(runs))
             numbers.append(np.fromiter(map(look_up, runs), np.int64, len(runs)))
+        return np.concatenate(numbers), np.array(counts, np.int64), regular, whole
+
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text (null as empty), each followed by ``end_id`` if there is one."""
+        if len(self.index) * RUN_BYTES + self.letters + self.used * 4 > self.share * REMEMBERED_BYTES:
+            self._forget_rare()
+        out: list[np.ndarray | None] = [None] * len(texts)
+        joined, counts, regular, whole = self._numbers(texts)
         if self.index.fresh:
             self._learn()
         end = [] if end_id is None else [end_id]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = np.array(ids + end, np.uint32)
         if regular:
-            joined = np.concatenate(numbers)
             met = np.bincount(joined, minlength=len(self.index))
             met[: len(self.hits)] += self.hits
             self.hits = met

@@ -58,6 +58,27 @@ def test_a_larger_share_encodes_runs_once(monkeypatch):
     assert given[2] == 147 < given[1]
 
 
+def test_new_words_are_given_to_the_library_together():
+    own, given = TextEncoder(vocabulary("word_bpe_49k.json"), False), []
+    whole = own._whole
+    own._whole = lambda texts: (given.extend(texts), whole(texts))[1]
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(3000)]
+    text = " ".join(w.title() + ("." if i % 7 == 0 else "") for i, w in enumerate(words)) + " É étude, x1 don't"
+    assert own.encode([text, None, text], 7)[2].tolist() == [*whole([text])[0], 7]
+    assert len(given) < 20 and sum(map(len, given)) < 2 * len(text)
+
+
+def test_words_of_all_letters_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), TextEncoder(vocabulary("word_bpe_49k.json"), False)
+    letters = [chr(c) for c in range(1, 0x30000) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 0x3000) if not chr(c).isalnum()]
+    texts = [" ".join(f"{c} a{c}b. {c}{c}," for c in letters[a : a + 200]) for a in range(0, len(letters), 200)]
+    texts += [f"H{c}a h{c} {c}. K{c}K \u1e96 a{c}'s" for c in marks]
+    assert [g.tolist() for g in own.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_blocks_of_many_widths_round_trip():
     """Blocks of whole bytes and of other widths in any order; those of one width that follow each other are one piece."""
     rng = np.random.default_rng(4)
