@@ -204,7 +204,7 @@ def text_units(texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarr
     even, odd = np.flatnonzero(filled & ~whole), np.flatnonzero(filled & whole)
     split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)).cast(pa.large_string()), "\n", " \n"), " ")
     coded = pc.list_flatten(split).dictionary_encode()
-    runs = [r if r[0] == "\n" else " " + r for r in coded.dictionary.to_pylist()]
+    runs = [r if r[0] == "\n" else " " + r for r in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     counts = np.zeros(len(texts), np.int64)
     counts[even], counts[odd] = pc.list_value_length(split).to_numpy(), 1
     starts = np.cumsum(counts) - counts
