@@ -25,8 +25,8 @@ _TAIL = ".,;:!?|"
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
-#: Runs that are encoded as one text.
-_TOGETHER = 500
+#: Runs that are encoded as one text, and texts given to the library at once.
+_TOGETHER, _AT_ONCE = 500, 32
 _RAW = "\r"  # marks a run without the space before it; no remembered run holds it otherwise
 
 
@@ -95,7 +95,8 @@ class TextEncoder:
         self.hits = hits[kept] // 2
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        calls = (texts[a : a + _AT_ONCE] for a in range(0, len(texts), _AT_ONCE))  # what the library returns takes many times the ids
+        return [e.ids for own in calls for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
 
     def _runs(self, text: str) -> list[str] | None:
         """The runs of a text as keys of the index; None if it has to be encoded whole."""
@@ -178,7 +179,7 @@ class TextEncoder:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of words of letters only, encoded as texts of many, and the number of ids of each; None if one is more than one word to the library."""
         texts = [" ".join(words[a : a + _TOGETHER]) for a in range(0, len(words), _TOGETHER)]
-        ids = np.fromiter(chain.from_iterable(self._whole(texts)), np.uint32)
+        ids = np.fromiter(chain.from_iterable(chain.from_iterable(self._whole([t]) for t in texts)), np.uint32)
         ends = np.flatnonzero(self.closes[ids])
         if len(ends) != len(words) or len(ids) != (ends[-1] + 1 if len(ends) else 0):
             return None
