@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +127,12 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches, max_bytes: int = 2_000_000, max_rows: int = 4096, column: str = "text"):
-    """Cut Arrow batches so that vectorised work on the text column stays in bounded memory; one text may be larger."""
+    """Cut Arrow batches so that vectorised work on the text (or binary) column stays in bounded memory; one text may be larger."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        _, bounds = utf8_of(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(bounds, bounds[start] + max_bytes, side="right")) - 1

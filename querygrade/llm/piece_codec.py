@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrade.llm.common import text_slices
-from querygrade.llm.token_ids import TextEncoder
+from querygrade.llm.common import CACHES, frugal, text_slices
+from querygrade.llm.token_ids import ENCODING, TextEncoder
 
 SPACE = "▁"
 #: What an unknown character scores below the worst piece.
@@ -200,6 +200,7 @@ class PieceModel(TextEncoder):
 
 
 _models: dict[tuple[str, str], PieceModel] = {}
+CACHES.setdefault(ENCODING, []).append(_models)
 
 
 def piece_model(path: str, kind: str) -> PieceModel:
@@ -208,6 +209,20 @@ def piece_model(path: str, kind: str) -> PieceModel:
     return _models[path, kind]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: str, kind: str) -> Iterator[pa.RecordBatch]:
+    encode = piece_model(model, kind).encode
+    for batch in text_slices(batches):
+        ids = [i.astype("<u4").tobytes() for i in encode(batch.column(1).to_pylist())]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: str, kind: str) -> Iterator[pa.RecordBatch]:
+    decode = piece_model(model, kind).decode
+    for batch in text_slices(batches, column="ids"):
+        texts = [decode(np.frombuffer(i or b"", "<u4")) for i in batch.column(2).to_pylist()]
+        yield batch.append_column("decoded", pa.array(texts, pa.string()))
+
+
 def encode_pieces(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """Columns doc_id, text, ids for every row of ``docs``: ids are little-endian unsigned 32-bit piece ids.
 
@@ -216,30 +231,35 @@ def encode_pieces(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_model(model, kind).encode
-        for batch in text_slices(batches):
-            ids = [i.astype("<u4").tobytes() for i in encode(batch.column(1).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i or b"" for i in ids], pa.binary())], ["doc_id", "text", "ids"])
+        return _encoded(batches, model, kind)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run, ENCODING), "doc_id long, text string, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """Adds the column ``decoded``, the text of ``ids``, to columns doc_id, text, ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = piece_model(model, kind).decode
-        for batch in batches:
-            texts = [decode(np.frombuffer(i or b"", "<u4")) for i in batch.column(2).to_pylist()]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+        return _decoded(batches, model, kind)
+
+    return encoded.select("doc_id", "text", "ids").mapInArrow(frugal(run, ENCODING), "doc_id long, text string, ids binary, decoded string")
+
+
+def recode_pieces(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
+    """Columns doc_id, text, ids, decoded: as ``decode_pieces`` after ``encode_pieces``, both in one worker a task.
+
+    Two steps would keep two workers a core, each with the runs it remembers, and batches of whole ids between them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, model, kind), model, kind)
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run, ENCODING), "doc_id long, text string, ids binary, decoded string")
 
 
 def piece_digests(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """Columns doc_id, n_pieces, ids_crc32, decoded_sha256, round_trip of every document (null text as empty)."""
-    coded = decode_pieces(encode_pieces(docs, model, kind), model, kind)
-    return coded.select(
+    return recode_pieces(docs, model, kind).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),

@@ -6,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from querygrade.llm import common, language_id, packing, piece_codec, piecewise_hash, quality_model, token_files, token_ids
@@ -117,6 +119,36 @@ def test_piece_digests(odd_documents):
     assert {r.n_pieces for r in rows if r.doc_id in (1, 2, 8)} == {0}
 
 
+def test_piece_digests_take_one_worker_a_task(odd_documents, capsys):
+    """Encoding and decoding are one Python step, with the rows of the two steps after each other."""
+    path = vocabulary("piece_bpe_32k.model")
+    piece_codec.piece_digests(odd_documents, path).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    rows = piece_codec.recode_pieces(odd_documents, path).collect()
+    steps = piece_codec.decode_pieces(piece_codec.encode_pieces(odd_documents, path), path).collect()
+    assert sorted(rows, key=repr) == sorted(steps, key=repr) and len(rows) == odd_documents.count()
+
+
+def test_whole_batches_of_ids_are_decoded_in_slices():
+    path = vocabulary("piece_bpe_32k.model")
+    texts = [" ".join(f"w{(i * k) % 977} é" for k in range(400)) for i in range(3000)] + ["", None]
+    whole = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    encoded = pa.Table.from_batches(piece_codec._encoded([whole], path, "bpe")).combine_chunks().to_batches()
+    assert len(encoded) == 1 and pc.sum(pc.binary_length(encoded[0].column(2))).as_py() > 8_000_000
+    slices = list(piece_codec._decoded(encoded, path, "bpe"))
+    assert max(pc.sum(pc.binary_length(b.column(2))).as_py() or 0 for b in slices) <= 2_000_000
+    assert [t for b in slices for t in b.column(3).to_pylist()] == [t or "" for t in texts]
+
+
+def test_piece_models_go_when_another_kind_of_work_begins():
+    piece_codec.piece_model(vocabulary("piece_bpe_32k.model"), "bpe")
+    assert list(common.frugal(lambda batches: iter(batches), token_ids.ENCODING)([1])) == [1] and piece_codec._models
+    held = [dict(cache) for cache in common.CACHES[token_ids.ENCODING]]
+    assert list(common.frugal(lambda batches: iter(batches))([])) == [] and not piece_codec._models
+    for cache, old in zip(common.CACHES[token_ids.ENCODING], held):
+        cache.update(old)
+
+
 def test_packs_hold_every_piece_once():
     rng = random.Random(6)
     histogram = {n: rng.randint(1, 400) for n in range(1, 101)}
